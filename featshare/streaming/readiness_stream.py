@@ -41,10 +41,10 @@ def _us(dt: datetime) -> int:
 def _make_fn(start_us: int, deadline_us: int):
     def emit(key, dts_us, dcls):
         if dts_us is not None and dts_us < deadline_us:
-            at = pd.Timestamp(dts_us, unit="us")
-            return pd.DataFrame({"object_name": [key[0]], "verdict": [dcls], "decided_at": [at]})
+            at = pd.Series([pd.Timestamp(dts_us, unit="us")], dtype="datetime64[us]")
+            return pd.DataFrame({"object_name": [key[0]], "verdict": [dcls], "decided_at": at})
         return pd.DataFrame({"object_name": [key[0]], "verdict": ["timeout"],
-                             "decided_at": [pd.NaT]})
+                             "decided_at": pd.Series([pd.NaT], dtype="datetime64[us]")})
 
     def fn(key, pdfs, state: GroupState):
         decided, dts_us, dcls, drank = (state.get if state.exists else (False, None, None, None))
