@@ -17,10 +17,13 @@ def classify(status_events: DataFrame, kind: str = "online_table", state_cols=("
 
 
 def readiness(status_events: DataFrame, timeout_s: int, start=None, kind: str = "online_table",
-              state_cols=("state",), object_col: str = "object_name", ts_col: str = "ts") -> DataFrame:
+              state_cols=("state",), object_col: str = "object_name", ts_col: str = "ts",
+              objects: DataFrame | None = None) -> DataFrame:
     """Per object, the first deciding state (ready or failed) within
     ``[start, start + timeout)`` gives the verdict and its time; otherwise ``timeout``.
     ``start`` defaults to each object's first event. Ready is tested before failed.
+    ``objects`` (one ``object_name`` column) lists the objects being waited on; those
+    without any event in the window get ``timeout`` too.
 
     One aggregation: the earliest deciding event is ``min`` of a (ts, rank, class)
     struct, which combines map-side, so an object with a huge log costs one partial row
@@ -36,7 +39,9 @@ def readiness(status_events: DataFrame, timeout_s: int, start=None, kind: str =
     agg = ev.groupBy("object_name").agg(F.min("ts").alias("first_seen"), F.min(decision).alias("_d"))
     begin = F.col("first_seen") if start is None else F.lit(start).cast(status_events.schema[ts_col].dataType)
     deadline = begin + F.expr(f"INTERVAL {int(timeout_s)} SECONDS")
-    in_time = F.col("_d.ts") < deadline
+    if objects is not None:
+        agg = objects.select("object_name").distinct().join(agg, "object_name", "left")
+    in_time = F.coalesce(F.col("_d.ts") < deadline, F.lit(False))
     return agg.select(
         "object_name", begin.alias("start_ts"), deadline.alias("deadline"),
         F.when(in_time, F.col("_d.state_class")).otherwise(F.lit("timeout")).alias("verdict"),

@@ -24,8 +24,10 @@ def parse_score_requests(df: DataFrame, body_col: str, record_schema, id_cols=()
     rec = _schema(record_schema)
     listed = F.from_json(F.col(body_col), T.StructType([T.StructField(inputs_field, T.ArrayType(rec))]))
     single = F.from_json(F.col(body_col), rec)
-    records = F.when(listed[inputs_field].isNotNull(), listed[inputs_field]) \
-        .otherwise(F.array(single))
+    is_object = F.json_object_keys(F.col(body_col)).isNotNull()
+    records = (F.when(~is_object, F.array().cast(T.ArrayType(rec)))
+               .when(listed[inputs_field].isNotNull(), listed[inputs_field])
+               .otherwise(F.array(single)))
     records = F.filter(records, lambda x: x.isNotNull())
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     exploded = df.select(*id_cols, F.posexplode(records).alias("pos", "rec"))
@@ -34,4 +36,4 @@ def parse_score_requests(df: DataFrame, body_col: str, record_schema, id_cols=()
 
 def request_rejects(df: DataFrame, body_col: str) -> DataFrame:
     """Bodies that are not JSON objects at all."""
-    return df.where(F.from_json(F.col(body_col), "map<string,string>").isNull())
+    return df.where(F.json_object_keys(F.col(body_col)).isNull())
