@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featshare.functions.states import state_class
 
 DECIDING = ("ready", "failed")
 
+_EPOCH_NTZ = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def to_micros(c: Column, dtype) -> Column:
+    """Microseconds since the epoch, without a time zone step for timestamp_ntz."""
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), c)
+    return F.unix_micros(c)
+
+
+def from_micros(c: Column, dtype) -> Column:
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_add("MICROSECOND", c, F.expr(_EPOCH_NTZ))
+    return F.timestamp_micros(c)
+
 
 def classify(status_events: DataFrame, kind: str = "online_table", state_cols=("state",),
              compat: bool = False) -> DataFrame:
@@ -25,27 +41,32 @@ def readiness(status_events: DataFrame, timeout_s: int, start=None, kind: str =
     ``objects`` (one ``object_name`` column) lists the objects being waited on; those
     without any event in the window get ``timeout`` too.
 
-    One aggregation: the earliest deciding event is ``min`` of a (ts, rank, class)
-    struct, which combines map-side, so an object with a huge log costs one partial row
-    per map task. If the earliest deciding event is past the deadline, so is every
-    other one, hence no second pass is needed.
+    One hash aggregation: the earliest deciding event is the ``min`` of one long,
+    ``micros(ts) * 2 + rank`` (rank 0 for ready, 1 for failed, so ready wins a tie).
+    Fixed-width buffers keep it on HashAggregate with map-side combine, so an object
+    with a huge log costs one partial row per map task. If the earliest deciding event
+    is past the deadline, so is every other one, hence no second pass is needed.
     """
+    dtype = status_events.schema[ts_col].dataType
     ev = classify(status_events, kind, state_cols).select(
         F.col(object_col).alias("object_name"), F.col(ts_col).alias("ts"), "state_class")
     if start is not None:
-        ev = ev.where(F.col("ts") >= F.lit(start).cast(status_events.schema[ts_col].dataType))
-    rank = F.when(F.col("state_class") == "ready", 0).otherwise(1)
-    decision = F.when(F.col("state_class").isin(*DECIDING), F.struct("ts", rank.alias("rank"), "state_class"))
-    agg = ev.groupBy("object_name").agg(F.min("ts").alias("first_seen"), F.min(decision).alias("_d"))
-    begin = F.col("first_seen") if start is None else F.lit(start).cast(status_events.schema[ts_col].dataType)
-    deadline = begin + F.expr(f"INTERVAL {int(timeout_s)} SECONDS")
+        ev = ev.where(F.col("ts") >= F.lit(start).cast(dtype))
+    rank = F.when(F.col("state_class") == "ready", F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+    packed = F.when(F.col("state_class").isin(*DECIDING), to_micros(F.col("ts"), dtype) * 2 + rank)
+    agg = ev.groupBy("object_name").agg(F.min("ts").alias("first_seen"), F.min(packed).alias("_p"))
     if objects is not None:
         agg = objects.select("object_name").distinct().join(agg, "object_name", "left")
-    in_time = F.coalesce(F.col("_d.ts") < deadline, F.lit(False))
+    d_rank = F.pmod(F.col("_p"), F.lit(2))
+    d_ts = from_micros(F.expr("(_p - pmod(_p, 2)) div 2"), dtype)
+    d_cls = F.when(d_rank == 0, F.lit("ready")).otherwise(F.lit("failed"))
+    begin = F.col("first_seen") if start is None else F.lit(start).cast(dtype)
+    deadline = begin + F.expr(f"INTERVAL {int(timeout_s)} SECONDS")
+    in_time = F.coalesce(d_ts < deadline, F.lit(False))
     return agg.select(
         "object_name", begin.alias("start_ts"), deadline.alias("deadline"),
-        F.when(in_time, F.col("_d.state_class")).otherwise(F.lit("timeout")).alias("verdict"),
-        F.when(in_time, F.col("_d.ts")).alias("decided_at"))
+        F.when(in_time, d_cls).otherwise(F.lit("timeout")).alias("verdict"),
+        F.when(in_time, d_ts).alias("decided_at"))
 
 
 def poll_samples(status_events: DataFrame, interval_s: int, kind: str = "online_table",

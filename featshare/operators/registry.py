@@ -28,12 +28,20 @@ def version_rejects(model_versions: DataFrame, version_col: str = "version") ->
 
 def latest_model_version(model_versions: DataFrame, model_col: str = "model_name",
                          version_col: str = "version") -> DataFrame:
-    """The highest version per model, as a number, with the rest of its row."""
+    """The highest version per model, as a number, with the rest of its row.
+
+    A hash aggregate finds the top number per model (fixed-width buffer, map-side
+    combine: a model with a third of all versions ships one partial row per map task),
+    then a semi join keeps the rows that carry it; AQE broadcasts the per-model maxima
+    when their measured size allows. Only the few rows left, one per model unless two
+    strings spell the same number ("7", "07"), go through the final ``max_by``.
+    """
     rest = [c for c in model_versions.columns if c != model_col]
-    vnum = version_number(version_col)
-    return (model_versions.where(vnum.isNotNull())
-            .groupBy(model_col)
-            .agg(F.max_by(F.struct(*rest), vnum).alias("_l"))
+    v = model_versions.withColumn("_vnum", version_number(version_col)).where(F.col("_vnum").isNotNull())
+    top = v.groupBy(model_col).agg(F.max("_vnum").alias("_vnum"))
+    hits = v.join(top, [model_col, "_vnum"], "left_semi")
+    return (hits.groupBy(model_col)
+            .agg(F.max_by(F.struct(*rest), F.col(version_col)).alias("_l"))
             .select(model_col, *[F.col("_l")[c].alias(c) for c in rest]))
 
 
