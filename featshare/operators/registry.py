@@ -88,6 +88,14 @@ def distinct_dependencies(deps: DataFrame) -> DataFrame:
             .agg(F.min("pos").alias("pos")))
 
 
+def cut_to_versions(deps: DataFrame, versions: DataFrame) -> DataFrame:
+    """Dependencies of the given (model, version) pairs only: a semi join against the
+    small version list (AQE broadcasts it when its measured size allows), done before
+    any de-duplication or grouping so the bulk of the input is dropped first."""
+    keys = ["model_name", "version"]
+    return deps.join(versions.select(*keys), keys, "left_semi")
+
+
 def _ordered_names(dep_type: str):
     picked = F.collect_list(F.when(F.col("dep_type") == dep_type, F.struct("pos", "dep_name")))
     return F.transform(F.array_sort(picked), lambda x: x["dep_name"])
@@ -104,7 +112,7 @@ def dependency_summary(versions: DataFrame, deps: DataFrame) -> DataFrame:
     """
     keys = ["model_name", "version"]
     wanted = versions.select(*keys)
-    d = distinct_dependencies(deps.join(wanted, keys, "left_semi"))
+    d = distinct_dependencies(cut_to_versions(deps, wanted))
     lists = d.groupBy(*keys).agg(_ordered_names("TABLE").alias("tables"),
                                  _ordered_names("FUNCTION").alias("functions"))
     empty = F.array().cast("array<string>")
@@ -132,7 +140,7 @@ def wanted_objects(requests: DataFrame, model_versions: DataFrame, deps: DataFra
     """
     latest = latest_model_version(model_versions).select("model_name", "version")
     req = requests.select("share_name", "model_name", "recipient_name").join(latest, "model_name", "left")
-    cut = deps.join(latest, ["model_name", "version"], "left_semi")
+    cut = cut_to_versions(deps, latest)
     if include_all_types:
         d = (cut.where(F.col("dep_name").isNotNull())
              .groupBy("model_name", "version", "dep_type", "dep_name").agg(F.min("pos").alias("pos")))

@@ -14,7 +14,7 @@ from featshare.operators.links import broken_links, online_name_collisions, reso
 from featshare.operators.quality import (error_triage, store_name_audit, validate_run_configs,
                                          validate_target_configs)
 from featshare.operators.readiness import poll_samples, publish_rollup, readiness
-from featshare.operators.registry import (dependency_drift, dependency_summary, discover_model,
+from featshare.operators.registry import (cut_to_versions, dependency_drift, dependency_summary, discover_model,
                                           distinct_dependencies, effective_share, latest_model_version,
                                           schema_share, shared_by_many, version_for_run, versions_desc,
                                           wanted_objects)
@@ -108,7 +108,7 @@ join (select dep_type, dep_name, count(distinct model_name) as n_models from lde
 def a8(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     latest = latest_model_version(fx.model_versions).select("model_name", "version")
-    deps = distinct_dependencies(fx.dependencies.join(latest, ["model_name", "version"], "left_semi"))
+    deps = distinct_dependencies(cut_to_versions(fx.dependencies, latest))
     return shared_by_many(deps)
 
 
@@ -621,7 +621,7 @@ group by t.model_name""")
 def a3(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     latest = latest_model_version(fx.model_versions).select("model_name", "version")
-    deps = distinct_dependencies(fx.dependencies.join(latest, ["model_name", "version"], "left_semi"))
+    deps = distinct_dependencies(cut_to_versions(fx.dependencies, latest))
     outcomes = (deps.where(F.col("dep_type") == "TABLE")
                 .select("model_name", online_name("dep_name", "main", "default").alias("online_table_name"))
                 .distinct().withColumn("outcome", F.lit("published")))
@@ -662,7 +662,7 @@ from m""")
 def c9(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     latest = latest_model_version(fx.model_versions).select("model_name", "version")
-    deps = distinct_dependencies(fx.dependencies.join(latest, ["model_name", "version"], "left_semi"))
+    deps = distinct_dependencies(cut_to_versions(fx.dependencies, latest))
     outcomes = (deps.where(F.col("dep_type") == "TABLE")
                 .select("model_name", online_name("dep_name", "main", "default").alias("online_table_name"))
                 .distinct().withColumn("outcome", F.lit("published")))

@@ -25,7 +25,7 @@ from featshare.streaming.publish_stream import publish_stream
 from featshare.streaming.readiness_stream import readiness_stream
 from featshare.streaming.score_stream import score_stream
 
-FILES_PER_BATCH = 4
+FILES_PER_BATCH = 8
 
 
 def stage_events(spark: SparkSession, sf_dir: str, name: str, closing_row: dict | None = None) -> str:

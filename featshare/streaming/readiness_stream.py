@@ -88,14 +88,16 @@ def readiness_stream(events: DataFrame, timeout_s: int, start: datetime, delay:
     ``drop_objects`` (end-of-stream markers) move the watermark but get no verdict."""
     start_us = _us(start)
     deadline_us = _us(start + timedelta(seconds=int(timeout_s)))
-    ev = events.select(F.col(object_col).alias("object_name"),
-                       F.col(ts_col).cast("timestamp").alias("ts"),
-                       state_class(kind, state_col).alias("state_class"))
+    # events before the start do not make an object part of the wait (as in T1); the
+    # bound is compared in the column's own type, so no time zone step is involved
+    ts_type = events.schema[ts_col].dataType
+    ev = events.where(F.col(ts_col) >= F.lit(start.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(ts_type))
+    ev = ev.select(F.col(object_col).alias("object_name"),
+                   F.col(ts_col).cast("timestamp").alias("ts"),
+                   state_class(kind, state_col).alias("state_class"))
     ev = ev.withWatermark("ts", delay)
     if drop_objects:
         ev = ev.where(~F.col("object_name").isin(*drop_objects))
-    # events before the start do not make an object part of the wait (as in T1)
-    ev = ev.where(F.col("ts") >= F.lit(start.replace(tzinfo=timezone.utc)))
     return ev.groupBy("object_name").applyInPandasWithState(
         _make_fn(start_us, deadline_us), OUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
