@@ -1,7 +1,7 @@
 """Registered streaming queries (T3-T5) and their oracles.
 
-Each copies ``events`` once into a fresh folder split by day (one write job; file times
-set in day order so the file source reads the days in order), reads it as a file
+Each copies ``events`` once into a fresh folder split by day (one write job, no shuffle;
+file times set in day order so the file source reads the days in order), reads it as a file
 stream with a few files per micro-batch under ``trigger(availableNow=True)``, writes
 to a file sink or ``foreachBatch`` in the shared work folder, and returns what it
 wrote, read back as a batch frame. No server and no port are involved.
@@ -33,8 +33,7 @@ def stage_events(spark: SparkSession, sf_dir: str, name: str, closing_row: dict
     ``closing_row`` (an end-of-stream marker event) goes last, in its own file."""
     d = work_dir(spark, name)
     ev = base(spark, sf_dir, "events")
-    (ev.withColumn("day", F.to_date("ts")).repartition("day")
-     .write.partitionBy("day").parquet(d))
+    ev.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(d)
     t0 = 1_600_000_000_000
     files = fs.list_files(spark, d)
     by_day = sorted(files, key=lambda p: (p.split("day=")[1].split("/")[0], p))
