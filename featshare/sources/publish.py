@@ -123,26 +123,46 @@ def publish_changes(spark: SparkSession, target: str, changes: DataFrame, primar
     return version
 
 
-def publish_many(spark: SparkSession, tables, target_root: str) -> DataFrame:
+def _publish_one(spark: SparkSession, target_root: str, entry) -> tuple:
+    source_name, online_name, df, keys = entry
+    target = f"{target_root.rstrip('/')}/{online_name}"
+    if current_version(spark, target) is not None:
+        return (source_name, online_name, "exists", None, None)
+    try:
+        v = publish_snapshot(df, target, keys)
+        return (source_name, online_name, "published", v, None)
+    except Exception as exc:  # noqa: BLE001 - every failure becomes an outcome row
+        log.error("publish of %s failed: %s", source_name, exc)
+        return (source_name, online_name, "failed", None, str(exc).split("\n")[0])
+
+
+def publish_many(spark: SparkSession, tables, target_root: str, max_parallel: int = 4) -> DataFrame:
     """Publish each table; per table outcome ``published``, ``exists`` or ``failed``,
     going on after a failure. ``tables`` is a list of
     ``(source_table_name, online_table_name, DataFrame, primary_keys)``.
 
     The list is one model's dependencies (metadata-sized); each table is its own
-    distributed job. Returns the outcomes as a DataFrame (feeds A3).
+    distributed job, and up to ``max_parallel`` of them are submitted at once (Spark
+    schedules concurrent jobs from several driver threads). Tables that share an online
+    name are published in list order, so the first one wins and the others report
+    ``exists``. Returns the outcomes as a DataFrame (feeds A3).
     """
-    rows = []
-    for source_name, online_name, df, keys in tables:
-        target = f"{target_root.rstrip('/')}/{online_name}"
-        if current_version(spark, target) is not None:
-            rows.append((source_name, online_name, "exists", None, None))
-            continue
-        try:
-            v = publish_snapshot(df, target, keys)
-            rows.append((source_name, online_name, "published", v, None))
-        except Exception as exc:  # noqa: BLE001 - every failure becomes an outcome row
-            log.error("publish of %s failed: %s", source_name, exc)
-            rows.append((source_name, online_name, "failed", None, str(exc).split("\n")[0]))
+    from concurrent.futures import ThreadPoolExecutor
+
+    tables = list(tables)
+    # one chain per online name, in list order; the chains run concurrently
+    chains: dict = {}
+    for i, t in enumerate(tables):
+        chains.setdefault(t[1], []).append((i, t))
+    results: dict = {}
+
+    def run_chain(chain):
+        for i, t in chain:
+            results[i] = _publish_one(spark, target_root, t)
+
+    with ThreadPoolExecutor(max_workers=max(1, max_parallel)) as pool:
+        list(pool.map(run_chain, chains.values()))
+    rows = [results[i] for i in range(len(tables))]
     out = spark.createDataFrame(
         rows, "source_table_name string, online_table_name string, outcome string, "
               "version int, message string")
