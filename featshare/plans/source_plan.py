@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from featshare.operators.registry import wanted_objects
 from featshare.operators.sharing import grant_plan, recipient_plan, share_update_plan
+from featshare.session import materialize
 
 
 def source_run_summary(plan: DataFrame, wanted: DataFrame, to_add: DataFrame,
@@ -40,10 +41,15 @@ def source_run_summary(plan: DataFrame, wanted: DataFrame, to_add: DataFrame,
 
 
 def source_plan(requests: DataFrame, model_versions: DataFrame, deps: DataFrame,
-                share_objects: DataFrame, grants: DataFrame, recipients: DataFrame) -> dict:
-    """All source-side results as lazy frames sharing one plan."""
+                share_objects: DataFrame, grants: DataFrame, recipients: DataFrame,
+                stage: bool = True) -> dict:
+    """All source-side results. The recipient plan and the wanted objects feed several
+    results; with ``stage`` they are written once to the shared work folder (both are
+    request-sized) so the version and dependency scans run once, not once per use."""
     plan = recipient_plan(requests, recipients)
     wanted = wanted_objects(requests, model_versions, deps)
+    if stage:
+        plan, wanted = materialize(plan, "recipient-plan"), materialize(wanted, "wanted-objects")
     to_add = share_update_plan(wanted, share_objects)
     missing = grant_plan(plan, grants)
     return {"recipients": plan, "wanted": wanted, "to_add": to_add, "grants": missing,

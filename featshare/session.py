@@ -55,3 +55,12 @@ def checkpoint_root(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused folder under the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/featshare/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "stage"):
+    """Write a frame once to a fresh folder under the shared checkpoint root and read it
+    back: later uses scan the written copy instead of recomputing its lineage, and a
+    lost executor cannot force the upstream work to run again."""
+    path = work_dir(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
