@@ -14,8 +14,33 @@ def _as_list(v):
     return [v] if isinstance(v, str) else list(v)
 
 
+def hot_keys(df: DataFrame, keys, fraction: float) -> DataFrame:
+    """Keys holding more than ``fraction`` of the rows of ``df``: one aggregation with
+    map-side combine, then a filter against the total. At most ``1 / fraction`` keys can
+    qualify, which bounds the size of the result."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return counts.where(F.col("_n") > F.lit(fraction * total)).select(*keys)
+
+
+def _salted_join(left: DataFrame, right: DataFrame, keys, hot: DataFrame, buckets: int) -> DataFrame:
+    """Left join that spreads each hot key over ``buckets`` tasks: left rows of a hot key
+    get a salt from a hash of the whole row (deterministic, so a retried task salts the
+    same way), the right rows of hot keys are copied once per salt, all others use salt
+    0. ``hot`` has a proven size bound (see :func:`hot_keys`), so it is broadcast."""
+    flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    lsalt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(buckets))) \
+        .otherwise(F.lit(0))
+    l2 = left.join(flag, keys, "left").withColumn("_salt", lsalt.cast("long")).drop("_hot")
+    rsalts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))) \
+        .otherwise(F.array(F.lit(0).cast("long")))
+    r2 = right.join(flag, keys, "left").withColumn("_salt", F.explode(rsalts)).drop("_hot")
+    return l2.join(r2, list(keys) + ["_salt"], "left").drop("_salt")
+
+
 def feature_lookup(df: DataFrame, features: DataFrame, lookup_key, feature_names,
-                   table_key=None, rename: dict | None = None) -> DataFrame:
+                   table_key=None, rename: dict | None = None, hot_key_fraction: float | None = None,
+                   salt_buckets: int = 32) -> DataFrame:
     """Add named features by key. Every left row is kept and unmatched features are
     null; the row count does not change because the feature table's key is unique (K2,
     checked when the table was written).
@@ -23,7 +48,8 @@ def feature_lookup(df: DataFrame, features: DataFrame, lookup_key, feature_names
     Only the key and the named features are read from the feature table (pruned at the
     scan). The join strategy is left to AQE: a small feature table is broadcast by its
     measured size, a large one is sort-merge joined, and a hot lookup key on the left is
-    split by the skew-join rule instead of landing in one task.
+    split by the skew-join rule instead of landing in one task. ``hot_key_fraction``
+    salts keys above that share of the rows explicitly (for when AQE cannot split).
     """
     lk, tk = _as_list(lookup_key), _as_list(table_key or lookup_key)
     if len(lk) != len(tk):
@@ -35,6 +61,8 @@ def feature_lookup(df: DataFrame, features: DataFrame, lookup_key, feature_names
         raise ValueError(f"feature name(s) {clash} already in the frame")
     right = features.select(*[F.col(t).alias(l) for t, l in zip(tk, lk)],
                             *[F.col(n).alias(o) for n, o in zip(feature_names, out_names)])
+    if hot_key_fraction:
+        return _salted_join(df, right, lk, hot_keys(df, lk, hot_key_fraction), salt_buckets)
     return df.join(right, on=lk, how="left")
 
 
