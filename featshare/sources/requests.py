@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_CORRUPT = "_corrupt_body"
+
+
 def _schema(record_schema) -> T.StructType:
     if isinstance(record_schema, str):
         return T._parse_datatype_string(record_schema)
@@ -18,19 +21,25 @@ def parse_score_requests(df: DataFrame, body_col: str, record_schema, id_cols=()
     """Parse bodies of the form ``{"inputs": [{...}, ...]}`` or a single record
     ``{...}`` into rows ``(*id_cols, pos, *record fields)``.
 
-    Parsing is ``from_json`` on the executors; records keep their position in the body.
+    Parsing is one ``from_json`` per body on the executors; records keep their position.
     Bodies that do not parse give no rows (see :func:`request_rejects`).
     """
     rec = _schema(record_schema)
-    listed = F.from_json(F.col(body_col), T.StructType([T.StructField(inputs_field, T.ArrayType(rec))]))
-    single = F.from_json(F.col(body_col), rec)
-    is_object = F.json_object_keys(F.col(body_col)).isNotNull()
-    records = (F.when(~is_object, F.array().cast(T.ArrayType(rec)))
-               .when(listed[inputs_field].isNotNull(), listed[inputs_field])
+    if inputs_field in rec.fieldNames() or _CORRUPT in rec.fieldNames():
+        raise ValueError(f"record fields may not be named {inputs_field!r} or {_CORRUPT!r}")
+    # one parse per body: the single-record fields, the listed records and a column that
+    # is set only when the body is not JSON at all
+    both = T.StructType(list(rec.fields) + [T.StructField(inputs_field, T.ArrayType(rec)),
+                                            T.StructField(_CORRUPT, T.StringType())])
+    parsed = F.from_json(F.col(body_col), both, {"columnNameOfCorruptRecord": _CORRUPT})
+    single = F.struct(*[parsed[f.name].alias(f.name) for f in rec.fields])
+    records = (F.when(parsed[_CORRUPT].isNotNull() | parsed.isNull(), F.array().cast(T.ArrayType(rec)))
+               .when(parsed[inputs_field].isNotNull(), parsed[inputs_field])
                .otherwise(F.array(single)))
-    records = F.filter(records, lambda x: x.isNotNull())
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    exploded = df.select(*id_cols, F.posexplode(records).alias("pos", "rec"))
+    # null entries of a list are dropped after the explode (a plain filter, which stays
+    # in whole-stage codegen, unlike a lambda over the array); pos keeps the body position
+    exploded = df.select(*id_cols, F.posexplode(records).alias("pos", "rec")).where(F.col("rec").isNotNull())
     return exploded.select(*id_cols, "pos", *[F.col("rec")[f.name].alias(f.name) for f in rec.fields])
 
 
