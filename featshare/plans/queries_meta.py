@@ -24,7 +24,7 @@ from featshare.operators.sharing import (already_shared, catalog_plan, endpoint_
 from featshare.plans.registry import (HOST, PLAN_CTES, SOURCE_CTES, dns_sql, endpoint_state_sql, joined,
                                       online_table_state_sql, register)
 from featshare.plans.source_plan import source_plan
-from featshare.plans.target_plan import deployment_decision
+from featshare.plans.target_plan import deployment_decision, target_plan
 from featshare.sources.fixtures import Fixtures
 
 REQ_FX = ["model_versions", "dependencies", "share_requests"]
@@ -114,8 +114,7 @@ def a8(spark, sf_dir):
 
 # ---------------------------------------------------------------- W3, W4
 
-@register("w3_discover_model", fixtures=["registered_models", "model_versions", "dependencies"],
-          ctes={
+W3_CTES = {
               "firsts": """select catalog_name, min(schema_name) as schema_name from registered_models
                            where schema_name <> 'information_schema' group by catalog_name""",
               "found0": """select f.catalog_name, f.schema_name, min(r.model_name) as model_name
@@ -130,7 +129,11 @@ def a8(spark, sf_dir):
                           from dependencies d join (select distinct model_name, version from found) f
                             on d.model_name = f.model_name and d.version = f.version
                           where d.dep_type in ('TABLE', 'FUNCTION') and d.dep_name is not null
-                          group by 1, 2, 3, 4"""},
+                          group by 1, 2, 3, 4"""}
+
+
+@register("w3_discover_model", fixtures=["registered_models", "model_versions", "dependencies"],
+          ctes=W3_CTES,
           oracle="""
 select f.catalog_name, f.schema_name, f.model_name, f.version,
        coalesce(string_agg(case when d.dep_type = 'TABLE' then d.dep_name end, ',' order by d.pos, d.dep_name), '') as tables,
@@ -701,3 +704,53 @@ def c10(spark, sf_dir):
     plan = source_plan(fx.share_requests, fx.model_versions, fx.dependencies, fx.share_objects,
                        fx.share_grants, fx.recipients)
     return plan["summary"]
+
+
+def _catalog_settings(registered_models):
+    num = F.substring("catalog_name", 8, 1000).cast("int")
+    return registered_models.select("catalog_name").distinct().select(
+        "catalog_name", (num % 3 != 0).alias("create_online_table"), (num % 2 == 0).alias("deploy_serving"))
+
+
+@register("c10_target_summary", fixtures=["registered_models", "model_versions", "dependencies",
+                                          "table_status_events"], ctes={
+    **W3_CTES,
+    **_readiness_sql("table_status_events", TABLE_TIMEOUT_S),
+    "fsum": """select f.catalog_name, f.schema_name, f.model_name, f.version,
+                      count(case when d.dep_type = 'TABLE' then 1 end) as n_tables,
+                      count(case when d.dep_type = 'FUNCTION' then 1 end) as n_functions
+               from found f left join fdeps d on f.model_name = d.model_name and f.version = d.version
+               group by 1, 2, 3, 4""",
+    "tabs": """select f.catalog_name, f.model_name,
+                      'main.default.' || regexp_extract(d.dep_name, '[^.]*$') || '_online' as online_table_name
+               from found f join fdeps d on f.model_name = d.model_name and f.version = d.version
+               where d.dep_type = 'TABLE'""",
+    "roll": """select t.catalog_name, t.model_name, count(case when r.verdict = 'ready' then 1 end) as n_ready,
+                      bool_and(coalesce(r.verdict = 'ready', false)) as all_ready
+               from tabs t left join rd r on t.online_table_name = r.object_name group by 1, 2""",
+    "m": """select s.*, coalesce(r.n_ready, 0) as n_ready, r.all_ready,
+                   cast(substr(s.catalog_name, 8) as integer) % 3 <> 0 as create_online_table,
+                   cast(substr(s.catalog_name, 8) as integer) % 2 = 0 as deploy_serving
+            from fsum s left join roll r on s.catalog_name = r.catalog_name and s.model_name = r.model_name""",
+    "d": """select *,
+                   case when create_online_table and n_tables > 0 then 'run'
+                        when create_online_table then 'skip_none_needed' else 'disabled' end as online_step,
+                   case when create_online_table and n_tables > 0 then coalesce(all_ready, false)
+                        when create_online_table then true else false end as tables_ready
+            from m"""},
+    oracle=f"""
+select catalog_name, model_name, version, n_tables, n_functions, n_ready, online_step, tables_ready,
+       case when not deploy_serving then 'off' when n_tables > 0 and not tables_ready then 'blocked'
+            else 'yes' end as deploy,
+       case when deploy_serving and not (n_tables > 0 and not tables_ready)
+            then 'target-' || {dns_sql("regexp_extract(model_name, '[^.]*$')")} || '-endpoint' end as endpoint_name,
+       case when deploy_serving and not (n_tables > 0 and not tables_ready)
+            then '{HOST}/serving-endpoints/target-' || {dns_sql("regexp_extract(model_name, '[^.]*$')")}
+                 || '-endpoint/invocations' end as invocation_url,
+       'main.default' as online_location
+from d""")
+def c10t(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    plan = target_plan(fx.registered_models, fx.model_versions, fx.dependencies, fx.table_status_events,
+                       _catalog_settings(fx.registered_models), HOST, "main", "default", TABLE_TIMEOUT_S)
+    return plan["summary"]
