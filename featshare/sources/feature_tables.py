@@ -116,8 +116,9 @@ def create_feature_table(df: DataFrame, path: str, primary_keys, description: st
 
 def ensure_feature_table(df: DataFrame, path: str, primary_keys, description: str = "") -> str:
     """S3: ``created`` when absent; ``reused`` when present with recorded keys equal to
-    ``primary_keys``; otherwise ``recreated``: written to a new folder first, and only
-    then swapped in, so a failure leaves the old folder in place."""
+    ``primary_keys``; otherwise ``recreated``: written to a new folder first, then swapped
+    in by renames (old aside, new in, old deleted), so a failure at any step leaves a
+    complete copy in place."""
     spark = df.sparkSession
     keys = [primary_keys] if isinstance(primary_keys, str) else list(primary_keys)
     if not fs.exists(spark, path):
@@ -126,11 +127,17 @@ def ensure_feature_table(df: DataFrame, path: str, primary_keys, description: st
     meta = read_metadata(spark, path)
     if meta is not None and meta["primary_keys"] == keys:
         return "reused"
-    staging = f"{path.rstrip('/')}.__rebuild-{uuid.uuid4().hex[:8]}"
+    tag = uuid.uuid4().hex[:8]
+    staging = f"{path.rstrip('/')}.__rebuild-{tag}"
+    retired = f"{path.rstrip('/')}.__retired-{tag}"
     create_feature_table(df, staging, keys, description)
-    fs.delete(spark, path)
+    # swap by renames: at every moment one complete copy exists under a known name
+    if not fs.rename(spark, path, retired):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(spark, staging, path):
+        fs.rename(spark, retired, path)
         raise OSError(f"could not move {staging} to {path}")
+    fs.delete(spark, retired)
     return "recreated"
 
 
