@@ -58,3 +58,8 @@ def set_mtime(spark: SparkSession, path: str, mtime_ms: int) -> None:
     """Set a file's modification time (file stream sources read oldest first)."""
     fs, p = _fs(spark, path)
     fs.setTimes(p, int(mtime_ms), -1)
+
+
+def mkdirs(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.mkdirs(p))
