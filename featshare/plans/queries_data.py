@@ -21,9 +21,6 @@ from featshare.sources.publish import (current_version, publish_changes, publish
 from featshare.sources.requests import parse_score_requests
 from featshare.sources.shares import mount_share, view_name
 
-V_COLS = ["id", "feature_1", "feature_2", "segment"]
-
-
 # ---------------------------------------------------------------- flagship (entry)
 
 def training_by_segment(spark, sf_dir):

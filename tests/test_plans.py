@@ -2,8 +2,6 @@
 
 from datetime import datetime
 
-from pyspark.sql import functions as F
-
 from featshare.operators import (latest_model_version, poll_samples, readiness, recipient_plan,
                                  validate_run_configs, validate_target_configs, versions_desc)
 from featshare.operators.registry import distinct_dependencies, flatten_dependencies, version_rejects
@@ -112,4 +110,3 @@ def test_readiness_ready_first_and_timeout(spark):
     assert {r.object_name: r.verdict for r in waited.collect()} == {"a": "ready", "b": "timeout", "c": "timeout"}
     polls = poll_samples(ev, 15).where("object_name = 'a'").orderBy("window_start").collect()
     assert [(p.state, p.state_class, p.n_events) for p in polls] == [("OFFLINE_FAILED", "failed", 3)]
-    assert F is not None
