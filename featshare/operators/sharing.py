@@ -14,6 +14,13 @@ from featshare.functions.states import endpoint_state
 
 PRESENT_KEYS = ["share_name", "object_name"]
 
+# Recipient authentication types, as the recipient records spell them.
+# Models and functions go only to recipients of the first kind; tables to either.
+AUTH_D2D = "DATABRICKS"
+AUTH_TOKEN = "TOKEN"
+# Fixed value: the marker in a catalog type that says the catalog was made from a share.
+SHARING_CATALOG_MARK = "DELTASHARING"
+
 
 def share_update_plan(wanted: DataFrame, share_objects: DataFrame) -> DataFrame:
     """Objects to ADD: wanted minus present, matched by name only (not type), as
@@ -46,7 +53,7 @@ def recipient_plan(requests: DataFrame, recipients: DataFrame) -> DataFrame:
     same = known & tgt.eqNullSafe(src)
     exists = F.coalesce(F.col("_exists"), F.lit(False))
     create = F.coalesce(F.col("create_recipient"), F.lit(False))
-    token = F.upper(F.coalesce(F.col("existing_auth"), F.lit(""))).contains("TOKEN")
+    token = F.upper(F.coalesce(F.col("existing_auth"), F.lit(""))).contains(AUTH_TOKEN)
     action = (F.when(same, F.lit("use_self"))
               .when(known & exists & token, F.lit("keep_token_warn"))
               .when(known & exists, F.lit("update_metastore"))
@@ -60,8 +67,8 @@ def recipient_plan(requests: DataFrame, recipients: DataFrame) -> DataFrame:
         F.col("recipient_name").alias("requested_recipient"),
         F.when(same, F.lit("self")).otherwise(F.col("recipient_name")).alias("recipient_name"),
         "existing_auth", action.alias("action"))
-    eff = (F.when(F.col("action").isin("use_self", "create_d2d"), F.lit("DATABRICKS"))
-           .when(F.col("action") == "create_token", F.lit("TOKEN"))
+    eff = (F.when(F.col("action").isin("use_self", "create_d2d"), F.lit(AUTH_D2D))
+           .when(F.col("action") == "create_token", F.lit(AUTH_TOKEN))
            .when(F.col("action") == "error", F.lit(None).cast("string"))
            .otherwise(F.col("existing_auth")))
     return out.withColumn("effective_auth", eff)
@@ -79,7 +86,8 @@ def grant_plan(plan: DataFrame, grants: DataFrame, privilege: str = "SELECT") ->
 
 def shareable(objects: DataFrame, plan: DataFrame) -> DataFrame:
     """P5: can each wanted object go to the request's recipient? MODEL and FUNCTION
-    need DATABRICKS (D2D) authentication, TABLE may also go to TOKEN, CONNECTION never.
+    need D2D authentication (``AUTH_D2D``), TABLE may also go to ``AUTH_TOKEN``,
+    CONNECTION never.
     ``objects`` has (share_name, model_name, object_name, object_type); ``plan`` is J6."""
     p = plan.select("share_name", "model_name", "recipient_name", "effective_auth")
     j = objects.select("share_name", "model_name", "object_name", "object_type") \
@@ -87,7 +95,7 @@ def shareable(objects: DataFrame, plan: DataFrame) -> DataFrame:
     auth, typ = F.col("effective_auth"), F.col("object_type")
     reason = (F.when(typ == "CONNECTION", F.lit("connection_never_shared"))
               .when(auth.isNull(), F.lit("no_recipient"))
-              .when(typ.isin("MODEL", "FUNCTION") & (auth != "DATABRICKS"), F.lit("needs_d2d"))
+              .when(typ.isin("MODEL", "FUNCTION") & (auth != AUTH_D2D), F.lit("needs_d2d"))
               .when(typ.isin("MODEL", "FUNCTION", "TABLE"), F.lit(None).cast("string"))
               .otherwise(F.lit("unsupported_type")))
     return j.select("share_name", "model_name", "recipient_name", "object_name", "object_type",
@@ -97,7 +105,7 @@ def shareable(objects: DataFrame, plan: DataFrame) -> DataFrame:
 def catalog_plan(wanted: DataFrame, catalogs: DataFrame) -> DataFrame:
     """Per wanted catalog (``catalog_name``, ``use_existing``): ``reuse`` if it
     exists, else ``error`` when told to use an existing one, else ``create``. Sharing
-    catalogs are flagged by DELTASHARING in their type."""
+    catalogs are flagged by ``SHARING_CATALOG_MARK`` in their type."""
     c = catalogs.select("catalog_name", "catalog_type", F.lit(True).alias("_exists"))
     j = wanted.join(c, "catalog_name", "left")
     exists = F.coalesce(F.col("_exists"), F.lit(False))
@@ -105,7 +113,7 @@ def catalog_plan(wanted: DataFrame, catalogs: DataFrame) -> DataFrame:
               .when(F.coalesce(F.col("use_existing"), F.lit(False)), F.lit("error"))
               .otherwise(F.lit("create")))
     return j.select("catalog_name", "use_existing", action.alias("action"), "catalog_type",
-                    F.col("catalog_type").contains("DELTASHARING").alias("is_sharing_catalog"))
+                    F.col("catalog_type").contains(SHARING_CATALOG_MARK).alias("is_sharing_catalog"))
 
 
 # The served entity settings every created or updated endpoint gets.

@@ -26,6 +26,8 @@ def publish_batch(batch: DataFrame, batch_id: int, target: str, keys, columns, o
     cur = current_version(spark, target)
     if cur is not None and cur >= version:
         return version
+    if batch.isEmpty():
+        return cur or 0  # nothing changed: no copy of the table is written for this batch
     if cur is None:
         current = batch.select(*columns).limit(0)
     else:
@@ -36,9 +38,9 @@ def publish_batch(batch: DataFrame, batch_id: int, target: str, keys, columns, o
 
 
 def publish_stream(changes: DataFrame, target: str, keys, columns, checkpoint: str,
-                   order_col: str | None = None, available_now: bool = True,
-                   max_files_per_trigger: int | None = None):
-    """Start the publishing query; returns the StreamingQuery."""
+                   order_col: str | None = None, available_now: bool = True):
+    """Start the publishing query; returns the StreamingQuery. The size of a micro-batch
+    is the source's business (for a file source, ``maxFilesPerTrigger``)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     writer = (changes.writeStream
               .foreachBatch(lambda df, bid: publish_batch(df, bid, target, keys, list(columns), order_col))

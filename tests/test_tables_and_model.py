@@ -118,3 +118,20 @@ def test_feature_function_pandas_path(spark, demo):
                               FeatureFunction("f_py", clip, ("feature_1",))])
     got = sorted((r.f_sql, r.f_py) for r in out.collect())
     assert got == [(2.0, 1.0), (4.0, 2.0), (6.0, 3.0), (8.0, 3.0), (10.0, 3.0)]
+
+
+def test_mount_share_reads_the_same_files(spark):
+    from featshare.sources import mount_share
+    from featshare.sources.shares import view_name
+    from conftest import SF_SMALL
+
+    objects = spark.createDataFrame([("prod.tpch.customer", "TABLE"), ("prod.tpch.m", "MODEL"),
+                                     ("prod.tpch.gone", "TABLE")], "object_name string, object_type string")
+    src = f"{SF_SMALL}/customer.parquet"
+    out = {r.object_name: r for r in mount_share(spark, objects, "tgt", {"prod.tpch.customer": src}).collect()}
+    assert set(out) == {"prod.tpch.customer", "prod.tpch.gone"}  # models get no view
+    assert out["prod.tpch.customer"].mounted_name == "tgt.tpch.customer"
+    assert out["prod.tpch.gone"].location is None
+    mounted = spark.table(view_name("tgt.tpch.customer"))
+    assert mounted.inputFiles() == spark.read.parquet(src).inputFiles()  # no copy
+    assert mounted.count() == spark.read.parquet(src).count()
