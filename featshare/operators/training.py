@@ -16,11 +16,34 @@ from featshare.operators.lookup import feature_lookup
 from featshare.sources.requests import parse_score_requests
 
 
+WIDE = 32  # above this many features the fit goes through MLlib's normal-equation solver
+
+
+def _train_mllib(df: DataFrame, features, label: str) -> LinearModel:
+    """Wide feature sets: MLlib assembles the Gram matrix with a tree aggregation on the
+    executors (one d x d matrix per task, merged in a tree) and solves it on the driver,
+    falling back to L-BFGS when the system is singular."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    n_all = df.count()
+    data = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip") \
+        .transform(df.where(F.col(label).isNotNull()))
+    fit = LinearRegression(featuresCol="_x", labelCol=label, regParam=0.0, elasticNetParam=0.0,
+                           solver="auto", standardization=False).fit(data)
+    n = fit.summary.numInstances
+    return LinearModel(tuple(features), tuple(float(c) for c in fit.coefficients), float(fit.intercept),
+                       label, int(n), int(n_all - n))
+
+
 def train_linear(df: DataFrame, features, label: str) -> LinearModel:
     """A4: OLS with intercept. Rows with a null feature or label are dropped and
     counted. Collinear features get the minimum-norm solution (predictions are still
-    the least-squares fit)."""
+    the least-squares fit). Up to ``WIDE`` features: one aggregation of means and
+    covariances (d(d+1)/2 expressions); wider: :func:`_train_mllib`."""
     features = list(features)
+    if len(features) > WIDE:
+        return _train_mllib(df, features, label)
     valid = F.col(label).isNotNull()
     for f in features:
         valid = valid & F.col(f).isNotNull()

@@ -135,3 +135,20 @@ def test_mount_share_reads_the_same_files(spark):
     mounted = spark.table(view_name("tgt.tpch.customer"))
     assert mounted.inputFiles() == spark.read.parquet(src).inputFiles()  # no copy
     assert mounted.count() == spark.read.parquet(src).count()
+
+
+def test_wide_fit_matches_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    d, n = 40, 400
+    x = rng.normal(size=(n, d))
+    y = 3.0 + x @ rng.normal(size=d) + rng.normal(scale=0.01, size=n)
+    cols = [f"f{i}" for i in range(d)]
+    pdf = __import__("pandas").DataFrame(x, columns=cols).assign(target=y)
+    df = spark.createDataFrame(pdf)
+    model = train_linear(df, cols, "target")
+    assert model.n_rows == n and model.n_dropped == 0
+    want = np.linalg.lstsq(np.c_[np.ones(n), x], y, rcond=None)[0]
+    assert abs(model.intercept - want[0]) < 1e-6
+    assert np.allclose(model.coefficients, want[1:], atol=1e-6)
