@@ -97,29 +97,42 @@ def cut_to_versions(deps: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def _ordered_names(dep_type: str):
-    picked = F.collect_list(F.when(F.col("dep_type") == dep_type, F.struct("pos", "dep_name")))
+    picked = F.collect_list(F.when((F.col("dep_type") == dep_type) & F.col("dep_name").isNotNull(),
+                                   F.struct("pos", "dep_name")))
     return F.transform(F.array_sort(picked), lambda x: x["dep_name"])
 
 
 def dependency_summary(versions: DataFrame, deps: DataFrame) -> DataFrame:
     """A1: per (model, version) of ``versions``: ordered table and function lists,
     counts, ``has_feature_lookups`` and online table specs. No dependencies gives empty
-    lists.
+    lists; dependencies of other types (connections: detected, never shared) and rows
+    without a type or name are counted apart (``n_other_types``, ``n_unreadable``), so
+    "none" and "could not be read" are told apart.
 
     Dependencies are first cut to the wanted versions (a semi join against the small
-    version list), then de-duplicated (W2), then listed. A list holds one model
-    version's distinct dependencies, which is bounded by that version's definition.
+    version list), then grouped once per (model, version, type, name) with the first
+    position and the row count (W2 and the counts come from this one pass), then
+    listed. A list holds one model version's distinct dependencies, which is bounded by
+    that version's definition.
     """
     keys = ["model_name", "version"]
     wanted = versions.select(*keys)
-    d = distinct_dependencies(cut_to_versions(deps, wanted))
-    lists = d.groupBy(*keys).agg(_ordered_names("TABLE").alias("tables"),
-                                 _ordered_names("FUNCTION").alias("functions"))
+    g = (cut_to_versions(deps, wanted)
+         .groupBy("model_name", "version", "dep_type", "dep_name")
+         .agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("_rows")))
+    readable = F.col("dep_type").isNotNull() & F.col("dep_name").isNotNull()
+    lists = g.groupBy(*keys).agg(
+        _ordered_names("TABLE").alias("tables"),
+        _ordered_names("FUNCTION").alias("functions"),
+        F.count_if(readable & ~F.col("dep_type").isin(*DEP_TYPES)).alias("n_other_types"),
+        F.sum(F.when(~readable, F.col("_rows"))).alias("n_unreadable"))
     empty = F.array().cast("array<string>")
     out = wanted.join(lists, keys, "left").select(
         *keys,
         F.coalesce("tables", empty).alias("tables"),
-        F.coalesce("functions", empty).alias("functions"))
+        F.coalesce("functions", empty).alias("functions"),
+        F.coalesce("n_other_types", F.lit(0)).cast("bigint").alias("n_other_types"),
+        F.coalesce("n_unreadable", F.lit(0)).cast("bigint").alias("n_unreadable"))
     return out.select(
         *keys, "tables", "functions",
         F.size("tables").cast("bigint").alias("n_tables"),
@@ -127,7 +140,8 @@ def dependency_summary(versions: DataFrame, deps: DataFrame) -> DataFrame:
         (F.size("tables") > 0).alias("has_feature_lookups"),
         F.transform("tables", lambda t: F.struct(t.alias("source_table"),
                                                  short_name(t).alias("table_name_short")))
-        .alias("online_table_specs"))
+        .alias("online_table_specs"),
+        "n_other_types", "n_unreadable")
 
 
 def wanted_objects(requests: DataFrame, model_versions: DataFrame, deps: DataFrame,

@@ -77,7 +77,7 @@ def _summary_cols(df):
                      joined("functions").alias("functions"), "n_tables", "n_functions",
                      "has_feature_lookups",
                      joined(F.transform("online_table_specs", lambda s: s["table_name_short"]))
-                     .alias("online_table_names"))
+                     .alias("online_table_names"), "n_other_types", "n_unreadable")
 
 
 @register("a1_dependency_summary", fixtures=["model_versions", "dependencies"],
@@ -89,8 +89,16 @@ select l.model_name, l.version,
        count(case when d.dep_type = 'FUNCTION' then 1 end) as n_functions,
        count(case when d.dep_type = 'TABLE' then 1 end) > 0 as has_feature_lookups,
        coalesce(string_agg(case when d.dep_type = 'TABLE' then regexp_extract(d.dep_name, '[^.]*$') end, ','
-                           order by d.pos, d.dep_name), '') as online_table_names
+                           order by d.pos, d.dep_name), '') as online_table_names,
+       coalesce(max(o.n_other_types), 0) as n_other_types, coalesce(max(o.n_unreadable), 0) as n_unreadable
 from latest l left join ldeps d on l.model_name = d.model_name and l.version = d.version
+left join (select x.model_name, x.version,
+                  count(distinct case when x.dep_type is not null and x.dep_name is not null
+                                       and x.dep_type not in ('TABLE', 'FUNCTION')
+                                      then x.dep_type || '|' || x.dep_name end) as n_other_types,
+                  count(case when x.dep_type is null or x.dep_name is null then 1 end) as n_unreadable
+           from dependencies x join latest y on x.model_name = y.model_name and x.version = y.version
+           group by x.model_name, x.version) o on l.model_name = o.model_name and l.version = o.version
 group by l.model_name, l.version""")
 def a1(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)

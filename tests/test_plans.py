@@ -110,3 +110,20 @@ def test_readiness_ready_first_and_timeout(spark):
     assert {r.object_name: r.verdict for r in waited.collect()} == {"a": "ready", "b": "timeout", "c": "timeout"}
     polls = poll_samples(ev, 15).where("object_name = 'a'").orderBy("window_start").collect()
     assert [(p.state, p.state_class, p.n_events) for p in polls] == [("OFFLINE_FAILED", "failed", 3)]
+
+
+def test_dependency_summary_tells_none_from_unreadable(spark):
+    from featshare.operators import dependency_summary
+
+    deps = spark.createDataFrame([
+        ("m", "1", 1, "TABLE", "c.s.t2"), ("m", "1", 2, "CONNECTION", "c.s.conn"),
+        ("m", "1", 3, "TABLE", None), ("m", "1", 4, "FUNCTION", "c.s.f"), ("m", "1", 5, "TABLE", "c.s.t2"),
+        ("m", "2", 1, "TABLE", "c.s.x")],
+        "model_name string, version string, pos int, dep_type string, dep_name string")
+    versions = spark.createDataFrame([("m", "1"), ("n", "7")], "model_name string, version string")
+    got = {r.model_name: r for r in dependency_summary(versions, deps).collect()}
+    m, n = got["m"], got["n"]
+    assert (m.tables, m.functions, m.n_other_types, m.n_unreadable) == (["c.s.t2"], ["c.s.f"], 1, 1)
+    assert [s.table_name_short for s in m.online_table_specs] == ["t2"]
+    assert (n.tables, n.functions, n.n_tables, n.n_other_types, n.n_unreadable, n.has_feature_lookups) == \
+        ([], [], 0, 0, 0, False)
