@@ -92,3 +92,11 @@ def test_result_json(spark):
     assert doc == {"status": "success", "data": {"name": "s1", "comment": "c", "n": 1}}
     kept = result_json(df, data_cols=["comment"]).first()
     assert kept["name"] == "s1" and json.loads(kept["result"])["data"] == {"comment": "c"}
+
+
+def test_error_envelope(spark):
+    from featshare.functions.envelope import error_json
+
+    df = spark.createDataFrame([("ValueError", "Recipient r does not exist")], "t string, m string")
+    doc = json.loads(df.select(error_json(F.col("t"), F.col("m")).alias("j")).first().j)
+    assert doc == {"status": "error", "error_type": "ValueError", "message": "Recipient r does not exist"}
