@@ -173,11 +173,14 @@ def wanted_objects(requests: DataFrame, model_versions: DataFrame, deps: DataFra
     return model_rows.unionByName(dep_rows)
 
 
-def dependency_drift(wanted: DataFrame, share_objects: DataFrame) -> DataFrame:
+def dependency_drift(wanted: DataFrame, share_objects: DataFrame, shares: DataFrame | None = None) -> DataFrame:
     """Per share, objects the latest models need that are missing, and objects no
-    longer needed. Only shares that have requests are compared. One full outer join."""
+    longer needed. Only shares that have requests are compared. One full outer join.
+
+    ``shares`` (the requests' share names) saves a second evaluation of ``wanted``; every
+    request contributes its model row to ``wanted``, so both give the same set."""
     w = wanted.select("share_name", "object_name", F.col("object_type").alias("w_type")).distinct()
-    shares = w.select("share_name").distinct()
+    shares = (w if shares is None else shares).select("share_name").distinct()
     s = (share_objects.join(shares, "share_name", "left_semi")
          .select("share_name", "object_name", F.col("object_type").alias("s_type")))
     j = w.join(s, ["share_name", "object_name"], "full_outer")

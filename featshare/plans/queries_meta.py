@@ -207,7 +207,7 @@ where s.share_name in (select share_name from wanted)
 def u2(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     return dependency_drift(wanted_objects(fx.share_requests, fx.model_versions, fx.dependencies),
-                            fx.share_objects)
+                            fx.share_objects, shares=fx.share_requests)
 
 
 @register("u3_schema_share", fixtures=["share_schemas", "table_registry"], oracle="""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from featshare.functions.names import endpoint_name, invocation_url, online_name
 from featshare.operators.readiness import publish_rollup, readiness
 from featshare.operators.registry import discover_model
+from featshare.session import materialize
 
 
 def deployment_decision(df: DataFrame) -> DataFrame:
@@ -31,10 +32,15 @@ def deployment_decision(df: DataFrame) -> DataFrame:
 
 def target_plan(registered_models: DataFrame, model_versions: DataFrame, deps: DataFrame,
                 status_events: DataFrame, settings: DataFrame, host: str,
-                online_catalog: str, online_schema: str, timeout_s: int = 600) -> dict:
-    """All target-side results as lazy frames. ``settings`` has one row per catalog
-    with ``create_online_table`` and ``deploy_serving``."""
+                online_catalog: str, online_schema: str, timeout_s: int = 600,
+                stage: bool = True) -> dict:
+    """All target-side results. ``settings`` has one row per catalog with
+    ``create_online_table`` and ``deploy_serving``. The discovered models (one row per
+    catalog) feed both the table list and the summary; with ``stage`` they are written
+    once to the shared work folder so discovery runs once."""
     found = discover_model(registered_models, model_versions, deps)
+    if stage:
+        found = materialize(found, "discovered-models")
     tables = found.select("catalog_name", "model_name",
                           F.explode("tables").alias("source_table_name")) \
         .withColumn("online_table_name", online_name("source_table_name", online_catalog, online_schema)) \
