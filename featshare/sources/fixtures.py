@@ -7,6 +7,8 @@ with the base tables (model versions with orders, dependencies with line items,
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -195,9 +197,31 @@ from customer""", ("customer",)),
 }
 
 
+# Per session: (folder, table) -> DataFrame. Only the analyzed plan and its file index are
+# kept (no rows): listing a folder and reading footers is paid once per session instead of
+# at every use, which on a large table folder is the expensive part. clear_cache() drops
+# them when the files change.
+_PLANS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def _cached(spark: SparkSession, key: tuple, build):
+    plans = _PLANS.setdefault(spark, {})
+    if key not in plans:
+        plans[key] = build()
+    return plans[key]
+
+
+def clear_cache(spark: SparkSession | None = None) -> None:
+    if spark is None:
+        _PLANS.clear()
+    else:
+        _PLANS.pop(spark, None)
+
+
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return _cached(spark, ("base", path), lambda: spark.read.parquet(path))
 
 
 def register_base(spark: SparkSession, sf_dir: str, names) -> None:
@@ -208,8 +232,12 @@ def register_base(spark: SparkSession, sf_dir: str, names) -> None:
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived metadata table, planned by Spark SQL over the base tables."""
     sql, bases = DERIVED[name]
-    register_base(spark, sf_dir, bases)
-    return spark.sql(sql)
+
+    def build():
+        register_base(spark, sf_dir, bases)
+        return spark.sql(sql)
+
+    return _cached(spark, ("derived", sf_dir.rstrip("/"), name), build)
 
 
 class Fixtures:
