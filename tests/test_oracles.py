@@ -9,13 +9,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from featshare.plans.registry import ORACLES, QUERIES
 from featshare.sources.fixtures import BASE_TABLES
 
 from conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con():

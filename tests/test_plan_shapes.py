@@ -2,7 +2,8 @@
 
 import pytest
 
-import __spark_entry__ as E
+import __spark_entry__  # noqa: F401  (registers the streaming queries)
+from featshare.plans.registry import QUERIES
 from featshare.operators import readiness
 from featshare.operators.registry import latest_model_version
 from featshare.sources.fixtures import Fixtures
@@ -19,13 +20,13 @@ def plan(df) -> str:
 
 
 def test_s1_pushdown_and_pruning(spark):
-    p = plan(E.queries()["s1_read_feature_table"](spark, SF_SMALL))
+    p = plan(QUERIES["s1_read_feature_table"](spark, SF_SMALL))
     assert "PushedFilters: [IsNotNull(c_acctbal), GreaterThan(c_acctbal,0.0)]" in p
     assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double,c_mktsegment:string>" in p
 
 
 def test_lookup_reads_only_key_and_features(spark):
-    p = plan(E.queries()["j1_feature_lookup"](spark, SF_SMALL))
+    p = plan(QUERIES["j1_feature_lookup"](spark, SF_SMALL))
     assert "ReadSchema: struct<c_custkey:bigint,c_nationkey:int,c_acctbal:double>" in p
     assert "c_mktsegment" not in p
 
@@ -42,12 +43,12 @@ def test_latest_version_heavy_step_is_hash_based(spark):
 
 
 def test_top_k_per_model_uses_window_group_limit(spark):
-    p = plan(E.queries()["l2_versions_desc"](spark, SF_SMALL))
+    p = plan(QUERIES["l2_versions_desc"](spark, SF_SMALL))
     assert "WindowGroupLimit" in p
 
 
-@pytest.mark.parametrize("key", sorted(k for k in E.queries() if k not in STREAMING_OR_WRITING))
+@pytest.mark.parametrize("key", sorted(k for k in QUERIES if k not in STREAMING_OR_WRITING))
 def test_no_cross_or_nested_loop_joins(spark, key):
-    p = plan(E.queries()[key](spark, SF_SMALL))
+    p = plan(QUERIES[key](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "BatchEvalPython" not in p  # no row-at-a-time Python UDF in any registered query
