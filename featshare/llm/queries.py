@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .simhash import simhash_groups
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -31,3 +32,10 @@ def op8(spark, sf_dir):
     """Whole-table exact dedup."""
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long"), "kept", "text_sha256")
+
+
+@query("op2_simhash_near_dedup")
+def op2(spark, sf_dir):
+    """Fingerprint and near-duplicate group of every document."""
+    out = simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
