@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
 from .simhash import simhash_groups
 
 QUERIES: dict = {}
@@ -39,3 +41,9 @@ def op2(spark, sf_dir):
     """Fingerprint and near-duplicate group of every document."""
     out = simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op1_best_fit_packing")
+def op1(spark, sf_dir):
+    """All documents packed into sequences of 4096 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
