@@ -17,10 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark drops a query's shuffle files when it ends instead of when the driver collects garbage
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written once to the shared folder and read back: cuts lineage, and a
-    lost executor doesn't make the work before it run again."""
-    return materialize(df, f"llm-{name}")
+    lost executor doesn't make the work before it run again. The shuffle files behind it
+    go as soon as it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return materialize(df, f"llm-{name}")
+    finally:
+        conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .simhash import simhash_groups
+from .substring_dedup import substring_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -47,3 +48,20 @@ def op2(spark, sf_dir):
 def op1(spark, sf_dir):
     """All documents packed into sequences of 4096 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_substring_dedup", """
+with w as (select doc_id, row_number() over () as r,
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws
+           from documents),
+p as (select r, i, md5(array_to_string(ws[i:i + 34], ' ')) as m
+      from w, unnest(range(1, len(ws) - 33)) u(i) where len(ws) >= 35),
+d as (select m from p group by m having count(*) > 1),
+g as (select distinct r, i + o as i from p join d using (m), range(0, 35) t(o)),
+t as (select r, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as x from w),
+k as (select r, count(*) as n, string_agg(x, ' ' order by i) as kept from t anti join g using (r, i) group by r)
+select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join k using (r)""")
+def op10(spark, sf_dir):
+    """Words under 35-word windows that occur elsewhere, removed from every document."""
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
