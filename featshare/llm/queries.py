@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import contaminated_spans
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .simhash import simhash_groups
@@ -65,3 +66,32 @@ from w left join k using (r)""")
 def op10(spark, sf_dir):
     """Words under 35-word windows that occur elsewhere, removed from every document."""
     return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
+WORDS_SQL = ("list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+             "'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')")
+
+
+@query("op5_benchmark_decontamination", f"""
+with b as (select item_id, {WORDS_SQL} as ws from benchmark),
+win as (select item_id, unnest(range(1, greatest(2, len(ws) - 8))) as i, ws from b where len(ws) > 0),
+pat as (select distinct item_id, array_to_string(ws[i:i + 9], ' ') as p, len(ws[i:i + 9]) as n from win),
+sizes as (select distinct n from pat),
+d as (select row_number() over () as r, doc_id, {WORDS_SQL} as ws from documents),
+dw as (select r, i, n, array_to_string(ws[i:i + n - 1], ' ') as p
+       from d, sizes, unnest(range(1, len(ws) - n + 2)) u(i) where len(ws) >= n),
+hit as (select r, i, dw.n, item_id from dw join pat using (p)),
+cov as (select r, count(distinct i + o) as n_hit from hit, range(0, 10) t(o) where o < n group by r),
+its as (select r, count(distinct item_id) as n_items,
+               string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids
+        from hit group by r)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join cov using (r) left join its using (r)""")
+def op5(spark, sf_dir):
+    """Benchmark windows found in every document."""
+    out = contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                      (n_hit > 0).alias("contaminated"))
