@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
+from .toxicity import toxicity, train
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -95,3 +96,11 @@ def op5(spark, sf_dir):
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
                       (n_hit > 0).alias("contaminated"))
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    """Toxicity of every document; rows of fold 1 are held out from training."""
+    docs, fold = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = train(docs, table(spark, sf_dir, "labels"), usable=fold != 1)
+    return toxicity(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
