@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import contaminated_spans
 from .exact_dedup import exact_dedup
+from .html_extract import extract_main_text
 from .packing import pack_documents
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
@@ -104,3 +105,9 @@ def op9(spark, sf_dir):
     docs, fold = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     model = train(docs, table(spark, sf_dir, "labels"), usable=fold != 1)
     return toxicity(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op3_html_extraction")
+def op3(spark, sf_dir):
+    """Main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
