@@ -10,6 +10,8 @@ from .decontamination import contaminated_spans
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .packing import pack_documents
+from .quality import quality
+from .quality import train as train_quality
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity, train
@@ -111,3 +113,11 @@ def op9(spark, sf_dir):
 def op3(spark, sf_dir):
     """Main text of every page."""
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op4_quality_classifier")
+def op4(spark, sf_dir):
+    """Posterior quality of every document; rows of fold 1 are held out from training."""
+    docs, fold = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = train_quality(docs, table(spark, sf_dir, "labels"), usable=fold != 1)
+    return quality(docs, model).withColumn("held_out", fold == 1)

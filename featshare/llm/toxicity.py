@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_text
+from .logistic import logistic
 
 SAMPLE = 4000
 #: characters taken from one sampled text for training
@@ -121,21 +122,6 @@ class Distance:
                 float(top[0]), float(top.mean()), float(d.sum()) / n, math.log1p(n)]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30):
-    """Ridge logistic regression on scaled features: (mean, scale, weights)."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    a = np.column_stack(((x - mean) / scale, np.ones(len(x))))
-    penalty = ridge * np.append(np.ones(x.shape[1]), 1e-6)
-    w = np.zeros(a.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (p - y) + penalty * w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return mean, scale, w
-
-
 class Model:
     """Dictionaries and calibration. Without both classes the score is the label rate."""
 
@@ -154,7 +140,7 @@ class Model:
         self.distance = Distance(content[1], content[0])
         x = np.array([self.distance.features(t) for texts in by for t in texts[1::2]])
         y = np.repeat([0.0, 1.0], [len(t[1::2]) for t in by])
-        self.fit = _logistic(x, y)
+        self.fit = logistic(x, y)
         self.content = content
 
     def __getstate__(self):  # compressors don't travel; tasks make their own
