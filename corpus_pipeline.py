@@ -1,11 +1,25 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from featshare.llm.common import table, written
+from featshare.llm.decontamination import drop_contaminated
 from featshare.llm.exact_dedup import drop_exact_copies
+from featshare.llm.packing import pack_documents
+from featshare.llm.quality import keep_good, train
+from featshare.llm.simhash import keep_one_per_group
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects."""
+    return keep_good(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +27,31 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return drop_exact_copies(docs)
 
 
-STAGES = [("exact dedup", exact_dedup_stage)]
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of every SimHash group (4-word shingles,
+    at most 4 differing bits)."""
+    return keep_one_per_group(docs, shingle=4, max_bits=4)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark window."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 4096 tokens, tokens included."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), tokens=True)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_dedup_stage),
+    ("simhash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("best-fit packing", packing_stage),
+]
 
-#: packing and the learned filter are not SQL; tests hold the stages against brute force
+#: the learned filter, fingerprints and packing are not SQL; tests hold each stage against brute force
 ORACLE_SQL = None
 
 
