@@ -9,6 +9,7 @@ from .common import table
 from .decontamination import contaminated_spans
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
+from .lm_scoring import lm_scores
 from .packing import pack_documents
 from .quality import quality
 from .quality import train as train_quality
@@ -121,3 +122,37 @@ def op4(spark, sf_dir):
     docs, fold = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     model = train_quality(docs, table(spark, sf_dir, "labels"), usable=fold != 1)
     return quality(docs, model).withColumn("held_out", fold == 1)
+
+
+@query("op7_lm_scoring", f"""
+with d as (select row_number() over () as r, doc_id,
+                  list_filter(regexp_split_to_array({LOWER_SQL}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+t as (select r, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as w from d),
+g as (select r, i, w, lag(w) over p as v, lag(w, 2) over p as u, count(*) over (partition by r) as n_words
+      from t window p as (partition by r order by i)),
+one as (select w, count(*) as c from g group by w), one_d as (select r, w, count(*) as c from g group by r, w),
+two as (select v, w, count(*) as c from g where i >= 2 group by v, w),
+two_d as (select r, v, w, count(*) as c from g where i >= 2 group by r, v, w),
+three as (select u, v, w, count(*) as c from g where i >= 3 group by u, v, w),
+three_d as (select r, u, v, w, count(*) as c from g where i >= 3 group by r, u, v, w),
+total as (select count(*) as n from g),
+s as (select g.r, g.i, total.n - g.n_words as rest, o1.c - d1.c as c1, o2.c - d2.c as c2, o3.c - d3.c as c3,
+             ov.c - dv.c as cv, ouv.c - duv.c as cuv
+      from g cross join total join one o1 using (w) join one_d d1 on g.r = d1.r and g.w = d1.w
+      left join two o2 on g.v = o2.v and g.w = o2.w left join two_d d2 on g.r = d2.r and g.v = d2.v and g.w = d2.w
+      left join three o3 on g.u = o3.u and g.v = o3.v and g.w = o3.w
+      left join three_d d3 on g.r = d3.r and g.u = d3.u and g.v = d3.v and g.w = d3.w
+      left join one ov on g.v = ov.w left join one_d dv on g.r = dv.r and g.v = dv.w
+      left join two ouv on g.u = ouv.v and g.v = ouv.w left join two_d duv on g.r = duv.r and g.u = duv.v and g.v = duv.w),
+s1 as (select *, case when c1 > 0 then c1 / cast(rest as double) else 1 / (rest + 1.0::double) end as p1 from s),
+s2 as (select *, case when i < 2 then p1 when c2 > 0 then c2 / cast(cv as double) else 0.4::double * p1 end as p2 from s1),
+s3 as (select *, case when i < 3 then p2 when c3 > 0 then c3 / cast(cuv as double) else 0.4::double * p2 end as p3 from s2),
+x as (select r, sum(ln(p3)) as log_score from s3 group by r)
+select doc_id, len(ws) as n_words, round(coalesce(log_score, 0), 4) as log_score,
+       round(log_score / len(ws), 6) as mean_log_score
+from d left join x using (r)""")
+def op7(spark, sf_dir):
+    """Trigram stupid-backoff score of every document by the counts of all the others."""
+    out = lm_scores(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"),
+                      F.round("mean_log_score", 6).alias("mean_log_score"))
