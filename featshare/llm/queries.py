@@ -9,6 +9,7 @@ from .common import table
 from .decontamination import contaminated_spans
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
+from .licenses import scan_licenses
 from .lm_scoring import lm_scores
 from .packing import pack_documents
 from .quality import quality
@@ -156,3 +157,12 @@ def op7(spark, sf_dir):
     out = lm_scores(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"),
                       F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+@query("op6_license_scans")
+def op6(spark, sf_dir):
+    """Licences named in every document, with the number and the best of their matches."""
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"),
+                      F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
+                      F.round(F.array_max("matches.dice"), 6).alias("best_dice"), "matches")
