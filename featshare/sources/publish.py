@@ -1,19 +1,24 @@
 """Published copies for fast key lookup.
 
 Without a table format, a published table is a folder of version folders
-``<target>/v0000000001/``. A version is written once, to a folder nobody reads yet, and
-becomes current when its ``_SUCCESS`` marker exists; readers take the highest complete
-version. A path that is being read is never overwritten, and re-running a publish with
-the same version number is a no-op, so a retried task or a replayed stream batch is
-harmless.
+``<target>/v0000000001/``. Rows are dealt to key buckets (``_bucket=K`` folders, sorted by
+key), and a version writes only the buckets that changed: its manifest names, per bucket,
+the version folder that holds it. The manifest is written last, so a version exists when its
+manifest is complete; a path that is being read is never overwritten.
+
+Besides the table's columns a row keeps ``_order``, the order value of the change that wrote
+it (null: unknown, older than any), and ``_deleted``: a deleted key stays as a tombstone, so
+that an older change arriving late cannot bring it back. Readers see neither.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featshare.functions.states import error_class
 from featshare.sources import fs
@@ -22,17 +27,38 @@ from featshare.sources.feature_tables import assert_keys
 log = logging.getLogger(__name__)
 
 _PREFIX = "v"
+_ORDER, _DELETED, _BUCKET = "_order", "_deleted", "_bucket"
+#: rows of one bucket, about; the number of buckets is fixed by the first version
+ROWS_PER_BUCKET = 1_000_000
+
+
+def _order_value(df: DataFrame, order_col: str | None) -> Column:
+    """An order column as the one type ``_order`` has in every version."""
+    kind = T.DecimalType(38, 6)
+    if order_col is None:
+        return F.lit(None).cast(kind)
+    own = df.schema[order_col].dataType
+    if isinstance(own, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_micros(F.col(order_col).cast("timestamp")).cast(kind)
+    if isinstance(own, T.NumericType):
+        return F.col(order_col).cast(kind)
+    raise ValueError(f"{order_col} is {own.simpleString()}: an order column is a number, date or timestamp")
 
 
 def _vpath(target: str, version: int) -> str:
     return f"{target.rstrip('/')}/{_PREFIX}{version:010d}"
 
 
+def _manifest_path(target: str, version: int) -> str:
+    return f"{_vpath(target, version)}/_manifest"
+
+
 def versions(spark: SparkSession, target: str) -> list[int]:
     """Complete versions of a published table, ascending."""
     out = []
     for name in fs.list_dirs(spark, target):
-        if name.startswith(_PREFIX) and name[1:].isdigit() and fs.is_complete(spark, _vpath(target, int(name[1:]))):
+        if name.startswith(_PREFIX) and name[1:].isdigit() \
+                and fs.is_complete(spark, _manifest_path(target, int(name[1:]))):
             out.append(int(name[1:]))
     return sorted(out)
 
@@ -42,93 +68,156 @@ def current_version(spark: SparkSession, target: str) -> int | None:
     return vs[-1] if vs else None
 
 
+def _manifest(spark: SparkSession, target: str, version: int) -> dict:
+    """``buckets``: bucket -> version that holds it; ``n``: number of buckets; ``schema``: of
+    the stored rows; ``applied``: last batch per streaming query. One row per bucket at most."""
+    row = spark.read.text(_manifest_path(target, version)).first()
+    m = json.loads(row["value"])
+    m["buckets"] = {int(k): v for k, v in m["buckets"].items()}
+    return m
+
+
+def _state(spark: SparkSession, target: str, manifest: dict, buckets=None) -> DataFrame:
+    """Stored rows (tombstones and bookkeeping columns included) of all or some buckets."""
+    schema = T.StructType.fromJson(manifest["schema"])
+    paths = [f"{_vpath(target, v)}/{_BUCKET}={b}" for b, v in sorted(manifest["buckets"].items())
+             if buckets is None or b in buckets]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths)
+
+
 def read_published(spark: SparkSession, target: str, version: int | None = None) -> DataFrame:
     """The current (or a given) version of a published table."""
     v = current_version(spark, target) if version is None else version
     if v is None:
         raise FileNotFoundError(f"nothing published at {target}")
-    return spark.read.parquet(_vpath(target, v))
+    return _state(spark, target, _manifest(spark, target, v)).where(f"not {_DELETED}").drop(_ORDER, _DELETED)
 
 
-def _write_version(df: DataFrame, target: str, version: int, keys) -> str:
-    path = _vpath(target, version)
-    spark = df.sparkSession
-    if fs.is_complete(spark, path):
-        return path  # same version already written: a replay, nothing to do
-    if fs.exists(spark, path):
-        fs.delete(spark, path)  # debris of a failed attempt at this version
-    # Range partitioning on the key gives each file a disjoint key range and sorted row
-    # groups, so a point lookup reads one file and skips most row groups. No explicit
-    # partition count: AQE sizes the output from the data.
-    (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-     .write.mode("errorifexists").parquet(path))
-    return path
+def _with_bucket(df: DataFrame, keys, n: int) -> DataFrame:
+    return df.withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
 
 
-def publish_snapshot(source_df: DataFrame, target: str, primary_keys, version: int | None = None,
-                     check: bool = True) -> int:
-    """Full refresh of the online copy, one row per key. Returns the version."""
+def _write_version(df: DataFrame, target: str, version: int, keys, n: int, kept: dict, applied: dict) -> None:
+    """Write rows (with their bookkeeping columns) as the buckets they fall in, then the
+    manifest that joins them with the ``kept`` buckets of older versions."""
+    path, spark = _vpath(target, version), df.sparkSession
+    if fs.exists(spark, path):
+        fs.delete(spark, path)  # debris of a failed attempt at this version
+    # sorted by key inside a bucket: a point lookup reads one bucket and skips most row groups
+    (_with_bucket(df, keys, n).repartition(_BUCKET).sortWithinPartitions(_BUCKET, *keys)
+     .write.mode("errorifexists").partitionBy(_BUCKET).parquet(path))
+    written = [int(d.split("=")[1]) for d in fs.list_dirs(spark, path) if d.startswith(f"{_BUCKET}=")]
+    manifest = {"n": n, "buckets": {**kept, **{b: version for b in written}}, "applied": applied,
+                "schema": json.loads(df.schema.json())}
+    (spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1)
+     .write.mode("errorifexists").text(_manifest_path(target, version)))
+
+
+def publish_snapshot(source_df: DataFrame, target: str, primary_keys, check: bool = True,
+                     order_col: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Full refresh of the online copy, one row per key. Returns the version. With
+    ``order_col`` the rows keep that order value, and later changes must exceed it."""
     spark = source_df.sparkSession
     keys = [primary_keys] if isinstance(primary_keys, str) else list(primary_keys)
     if check:
         assert_keys(source_df, keys)
-    if version is None:
-        cur = current_version(spark, target)
-        version = 1 if cur is None else cur + 1
-    _write_version(source_df, target, version, keys)
+    cur = current_version(spark, target)
+    n = max(1, -(-source_df.select(*keys).count() // rows_per_bucket))
+    applied = _manifest(spark, target, cur)["applied"] if cur is not None else {}
+    rows = source_df.withColumn(_ORDER, _order_value(source_df, order_col)).withColumn(_DELETED, F.lit(False))
+    version = 1 if cur is None else cur + 1
+    _write_version(rows, target, version, keys, n, {}, applied)
     return version
 
 
 def last_change_per_key(changes: DataFrame, keys, order_col: str | None = None,
                         change_col: str = "change_type") -> DataFrame:
-    """The effective change per key: pre-images dropped, then the highest ``order_col``.
+    """The effective change per key: pre-images dropped, then the highest ``order_col`` (a
+    null order is lower than any; rows with equal order are told apart by their values).
 
     ``max_by`` is an aggregate with a map-side partial step, so a key with millions of
-    changes ships one partial row per map task, not its whole history.
+    changes ships one partial row per map task, not its whole history. Without
+    ``order_col`` a key with several changes has no last one: that is an error.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     ch = changes.where(F.col(change_col) != F.lit("update_preimage"))
     if order_col is None:
+        assert_keys(ch, keys)
         return ch
     rest = [c for c in ch.columns if c not in keys]
-    last = ch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order_col)).alias("_last"))
+    # order first: the largest struct is the last change, whatever order the rows arrive in
+    ranked = F.struct(F.col(order_col).alias("_o"), *rest)
+    last = ch.groupBy(*keys).agg(F.max(ranked).alias("_last"))
     return last.select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
 
 
-def apply_changes(target_df: DataFrame, changes: DataFrame, primary_keys, order_col: str | None = None,
+def apply_changes(state: DataFrame, changes: DataFrame, primary_keys, order_col: str | None = None,
                   change_col: str = "change_type") -> DataFrame:
-    """S9 core: the new state = rows whose key did not change, plus inserted and updated
-    rows. ``changes`` holds the target's columns plus ``change_col`` (insert, delete,
-    update_preimage, update_postimage) and optionally ``order_col``."""
+    """S9 core: the stored rows after the changes. ``state`` holds the table's columns plus
+    ``_order`` and ``_deleted``; ``changes`` holds the table's columns plus ``change_col``
+    (insert, delete, update_preimage, update_postimage) and optionally ``order_col``.
+
+    With ``order_col``, a change applies only if its order exceeds that of the stored row or
+    tombstone, so changes may arrive in any order and any number of times. Without, the
+    changes apply as they come, one per key.
+    """
     keys = [primary_keys] if isinstance(primary_keys, str) else list(primary_keys)
     eff = last_change_per_key(changes, keys, order_col, change_col)
-    kept = target_df.join(eff.select(*keys), on=keys, how="left_anti")
-    upserts = eff.where(F.col(change_col).isin("insert", "update_postimage")).select(*target_df.columns)
-    return kept.unionByName(upserts)
+    values = [c for c in state.columns if c not in (*keys, _ORDER, _DELETED)]
+    new = eff.select(*keys, F.struct(
+        *values, _order_value(eff, order_col).alias(_ORDER),
+        (F.col(change_col) == "delete").alias(_DELETED)).alias("_new"))
+    old = state.select(*keys, F.struct(*values, _ORDER, _DELETED).alias("_old"))
+    j = old.join(new, keys, "full_outer")
+    wins = F.col("_new").isNotNull()
+    if order_col:
+        wins = wins & (F.col("_old").isNull() | F.col("_old")[_ORDER].isNull()
+                       | (F.col("_new")[_ORDER] > F.col("_old")[_ORDER]))
+    row = F.when(wins, F.col("_new")).otherwise(F.col("_old"))
+    return j.select(*keys, row.alias("_r")).select(
+        *[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in state.columns])
 
 
 def publish_changes(spark: SparkSession, target: str, changes: DataFrame, primary_keys,
-                    version: int | None = None, order_col: str | None = None) -> int:
-    """Incremental publish. Reads the current version, applies the changes, and
-    writes the next version (or ``version``, for idempotent replays)."""
+                    order_col: str | None = None, batch: tuple[str, int] | None = None) -> int:
+    """Incremental publish: the next version is the current one with the changes applied,
+    and only the buckets of changed keys are written. Returns the current version afterwards.
+
+    ``batch`` = (query, batch id) is recorded with the version; a batch of that query that
+    was applied before is a replay and changes nothing. An empty change set writes nothing.
+    """
     keys = [primary_keys] if isinstance(primary_keys, str) else list(primary_keys)
     cur = current_version(spark, target)
-    if version is not None and fs.is_complete(spark, _vpath(target, version)):
-        return version
     if cur is None:
         raise FileNotFoundError(f"publish a snapshot to {target} before publishing changes")
-    new = apply_changes(read_published(spark, target, cur), changes, keys, order_col)
-    version = cur + 1 if version is None else version
-    _write_version(new, target, version, keys)
-    return version
+    manifest = _manifest(spark, target, cur)
+    applied = dict(manifest["applied"])
+    if batch is not None:
+        if applied.get(batch[0], -1) >= batch[1]:
+            return cur
+        applied[batch[0]] = batch[1]
+    n = manifest["n"]
+    any_null = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    touched = _with_bucket(changes.select(*keys, any_null.alias("_null")), keys, n).select(_BUCKET, "_null").distinct().collect()
+    if any(r["_null"] for r in touched):
+        raise ValueError(f"changes with a null key {keys}")
+    touched = {r[_BUCKET] for r in touched}  # bucket numbers, n at most
+    if not touched:
+        return cur
+    new = apply_changes(_state(spark, target, manifest, touched), changes, keys, order_col)
+    kept = {b: v for b, v in manifest["buckets"].items() if b not in touched}
+    _write_version(new, target, cur + 1, keys, n, kept, applied)
+    return cur + 1
 
 
 def _publish_one(spark: SparkSession, target_root: str, entry) -> tuple:
     source_name, online_name, df, keys = entry
     target = f"{target_root.rstrip('/')}/{online_name}"
-    if current_version(spark, target) is not None:
-        return (source_name, online_name, "exists", None, None)
     try:
+        if current_version(spark, target) is not None:
+            return (source_name, online_name, "exists", None, None)
         v = publish_snapshot(df, target, keys)
         return (source_name, online_name, "published", v, None)
     except Exception as exc:  # noqa: BLE001 - every failure becomes an outcome row

@@ -1,9 +1,9 @@
 """T5: incremental publish of a change stream, one new version per micro-batch.
 
-``foreachBatch`` applies S9 to the current published version and writes version
-``base + batch_id + 1``. The version folder is named by the batch id, so a batch that is
-replayed after a failure finds its folder complete and does nothing (exactly-once effect
-without a transactional sink). ``trigger(availableNow=True)`` gives the triggered mode,
+``foreachBatch`` applies S9 to the current version, whoever wrote it. The version records the
+query and batch id that made it, so a batch replayed after a failure is recognised and does
+nothing; a new query (a new checkpoint) has an id of its own, and its batches are judged by
+the order of their changes alone. ``trigger(availableNow=True)`` gives the triggered mode,
 the default trigger the continuous one.
 """
 
@@ -11,39 +11,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from featshare.sources.publish import (_vpath, _write_version, apply_changes, current_version,
-                                       read_published)
-from featshare.sources import fs
+from featshare.sources.publish import current_version, publish_changes, publish_snapshot
 
 
-def publish_batch(batch: DataFrame, batch_id: int, target: str, keys, columns, order_col=None,
-                  base_version: int = 0) -> int:
-    """Apply one micro-batch of changes to ``target`` as version ``base + batch_id + 1``."""
+def publish_batch(batch: DataFrame, batch_id: int, target: str, keys, columns, order_col: str,
+                  query: str = "") -> int | None:
+    """Apply one micro-batch of changes to ``target``; a target without a version starts
+    empty. Returns the current version afterwards."""
     spark = batch.sparkSession
-    version = base_version + batch_id + 1
-    if fs.is_complete(spark, _vpath(target, version)):
-        return version
-    cur = current_version(spark, target)
-    if cur is not None and cur >= version:
-        return version
-    if batch.isEmpty():
-        return cur or 0  # nothing changed: no copy of the table is written for this batch
-    if cur is None:
-        current = batch.select(*columns).limit(0)
-    else:
-        current = read_published(spark, target, cur)
-    new = apply_changes(current, batch, keys, order_col)
-    _write_version(new, target, version, keys)
-    return version
+    if current_version(spark, target) is None:
+        publish_snapshot(batch.select(*columns).limit(0), target, keys)
+    return publish_changes(spark, target, batch, keys, order_col, (query, batch_id))
 
 
 def publish_stream(changes: DataFrame, target: str, keys, columns, checkpoint: str,
-                   order_col: str | None = None, available_now: bool = True):
-    """Start the publishing query; returns the StreamingQuery. The size of a micro-batch
+                   order_col: str, available_now: bool = True):
+    """Start the publishing query; returns the StreamingQuery. ``order_col`` is required:
+    micro-batches may hold a key several times and out of order. The size of a micro-batch
     is the source's business (for a file source, ``maxFilesPerTrigger``)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    writer = (changes.writeStream
-              .foreachBatch(lambda df, bid: publish_batch(df, bid, target, keys, list(columns), order_col))
-              .option("checkpointLocation", checkpoint))
+
+    def apply(df: DataFrame, batch_id: int) -> None:
+        query = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        publish_batch(df, batch_id, target, keys, list(columns), order_col, query)
+
+    writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from featshare.operators import change_feed, publish_rollup, snapshot_as_of
 from featshare.session import work_dir
 from featshare.sources import publish_changes, publish_many, publish_snapshot, read_published
+from featshare.sources import fs
 from featshare.sources.fixtures import Fixtures
 from featshare.sources.publish import versions
-from featshare.streaming.publish_stream import publish_batch
+from featshare.streaming.publish_stream import publish_batch, publish_stream
 
 from conftest import SF_SMALL
 
@@ -34,12 +35,52 @@ def test_publish_round_trip_v0_to_v1(spark):
     assert publish_changes(spark, target, change_feed(fx.features_v0, fx.features_v1, ["id"]), ["id"]) == 2
     assert rows(read_published(spark, target)) == rows(fx.features_v1)
     assert rows(read_published(spark, target, 1)) == rows(fx.features_v0)
-    # replaying a version that exists is a no-op
-    assert publish_changes(spark, target, change_feed(fx.features_v0, fx.features_v1, ["id"]), ["id"],
-                           version=2) == 2
     assert versions(spark, target) == [1, 2]
 
 
+def test_only_touched_buckets_are_written(spark):
+    target = work_dir(spark, "t-buckets")
+    base = spark.createDataFrame([(i, float(i), "x") for i in range(100)], SCHEMA)
+    publish_snapshot(base, target, ["id"], rows_per_bucket=10)
+    change = spark.createDataFrame([(7, 70.0, "y", "update_postimage", 1)], SCHEMA + ", change_type string, o int")
+    assert publish_changes(spark, target, change, ["id"], "o") == 2
+    assert len([d for d in fs.list_dirs(spark, f"{target}/v0000000002") if d.startswith("_bucket=")]) == 1
+    want = [(i, 70.0, "y") if i == 7 else (i, float(i), "x") for i in range(100)]
+    assert rows(read_published(spark, target)) == want
+    assert publish_changes(spark, target, change.limit(0), ["id"], "o") == 2
+
+
+CHANGES = "id bigint, a double, b string, change_type string, o bigint"
+
+
+def test_late_changes_lose(spark):
+    target = work_dir(spark, "t-late")
+    publish_snapshot(spark.createDataFrame([(1, 0.0, "s"), (2, 0.0, "s"), (3, 0.0, "s")], SCHEMA), target, ["id"])
+
+    def go(*changes):
+        publish_changes(spark, target, spark.createDataFrame(changes, CHANGES), ["id"], "o")
+        return rows(read_published(spark, target))
+
+    assert go((1, 5.0, "x", "update_postimage", 5), (2, None, None, "delete", 6)) == [(1, 5.0, "x"), (3, 0.0, "s")]
+    # older than the stored row, older than the tombstone, an older insert of a deleted key
+    assert go((1, 4.0, "x", "update_postimage", 4), (2, 5.0, "x", "insert", 5)) == [(1, 5.0, "x"), (3, 0.0, "s")]
+    # equal order is a replay; newer ones apply; several per key: the last
+    assert go((1, 5.5, "z", "update_postimage", 5), (2, 7.0, "x", "insert", 7), (3, 1.0, "x", "update_postimage", 1),
+              (3, 3.0, "x", "update_postimage", 3), (3, 2.0, "x", "update_preimage", 9)) == \
+        [(1, 5.0, "x"), (2, 7.0, "x"), (3, 3.0, "x")]
+
+
+def test_unordered_duplicates_are_refused(spark):
+    target = work_dir(spark, "t-unordered")
+    publish_snapshot(spark.createDataFrame([(1, 0.0, "s")], SCHEMA), target, ["id"])
+    twice = spark.createDataFrame([(1, 1.0, "x", "update_postimage", 1), (1, 2.0, "x", "update_postimage", 2)], CHANGES)
+    with pytest.raises(ValueError):
+        publish_changes(spark, target, twice, ["id"])
+    with pytest.raises(ValueError):
+        publish_changes(spark, target, spark.createDataFrame([(None, 1.0, "x", "insert", 1)], CHANGES), ["id"], "o")
+    assert rows(read_published(spark, target)) == [(1, 0.0, "s")]
+
+
 def test_publish_snapshot_rejects_duplicates(spark):
     df = spark.createDataFrame([(1, 1.0, "a"), (1, 2.0, "b")], SCHEMA)
     with pytest.raises(ValueError):
@@ -72,9 +113,45 @@ def test_publish_batch_is_idempotent(spark):
         "user_id bigint, commit_version bigint, change_type string, value double")
     target = work_dir(spark, "t-batch")
     cols = ["user_id", "commit_version", "value"]
-    assert publish_batch(changes.where("commit_version <= 2"), 0, target, ["user_id"], cols, "commit_version") == 1
-    assert publish_batch(changes.where("commit_version > 2"), 1, target, ["user_id"], cols, "commit_version") == 2
-    # a replay of batch 1 after a failure changes nothing
-    assert publish_batch(changes.where("commit_version > 2"), 1, target, ["user_id"], cols, "commit_version") == 2
-    assert versions(spark, target) == [1, 2]
+
+    def go(where, batch, query="q"):
+        publish_batch(changes.where(where), batch, target, ["user_id"], cols, "commit_version", query)
+
+    go("commit_version <= 2", 0)
+    go("commit_version > 2", 1)
+    before = versions(spark, target)
+    go("commit_version > 2", 1)  # a replay of batch 1 after a failure changes nothing
+    assert versions(spark, target) == before
     assert rows(read_published(spark, target)) == [(1, 3, 3.0)]
+    go("true", 0, "new checkpoint")  # all changes again, under a query of its own
+    assert rows(read_published(spark, target)) == [(1, 3, 3.0)]
+
+
+def test_stream_after_a_snapshot_loses_nothing(spark):
+    """A target with versions, a restart and a new checkpoint: every change arrives once."""
+    schema = "user_id bigint, commit_version bigint, change_type string, value double"
+    cols = ["user_id", "commit_version", "value"]
+    target, src = work_dir(spark, "t-after"), work_dir(spark, "t-after-src")
+    publish_snapshot(spark.createDataFrame([(1, 2, 2.0), (9, 1, 9.0)], "user_id bigint, commit_version bigint, value double"),
+                     target, ["user_id"], order_col="commit_version")
+
+    def run(ckpt):
+        q = publish_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), target,
+                           ["user_id"], cols, ckpt, "commit_version")
+        q.awaitTermination()
+        assert q.exception() is None
+
+    def add(*changes):
+        spark.createDataFrame(changes, schema).coalesce(1).write.mode("append").parquet(src)
+
+    a, b = work_dir(spark, "t-ckpt-a"), work_dir(spark, "t-ckpt-b")
+    add((1, 1, "update_postimage", 1.0), (2, 3, "insert", 3.0))
+    add((9, 4, "delete", None))
+    run(a)
+    assert rows(read_published(spark, target)) == [(1, 2, 2.0), (2, 3, 3.0)]
+    add((1, 6, "update_postimage", 6.0), (9, 2, "insert", 2.0))
+    run(a)  # restart
+    want = [(1, 6, 6.0), (2, 3, 3.0)]
+    assert rows(read_published(spark, target)) == want
+    run(b)  # a new checkpoint reads everything again
+    assert rows(read_published(spark, target)) == want
