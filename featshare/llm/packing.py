@@ -12,11 +12,16 @@ a round saves nothing.
 
 from __future__ import annotations
 
+import re
+import string
+import sys
+import types
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,92 +40,135 @@ ROUNDS = 4
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer whose pieces never cross white space.
-
-    Every distinct white-space word is encoded once; a text's ids are then gathered. Words
-    are encoded in bulk, parted by the marker ``0``, whose id is known. Texts with the
-    control characters that Python's split and the tokenizer see differently, and words
-    holding the marker, are encoded directly.
+    """Ids of whole texts by a tokenizer that parts words at white space, lower-cases, and
+    never joins letters with punctuation.
+
+    A distinct white-space word is looked up, not encoded again. A new one is lowered and
+    parted into a base and its trailing punctuation, and bases and tails not met before are
+    encoded in bulk, set apart by the marker ``0`` whose id is known. Words outside Latin
+    letters, and words that hold the marker or may hold a special token, go through the
+    tokenizer as they are.
     """
 
     MARK = "0"
+    ODD = re.compile("[^\x00-\u024f]|0|<[|]")
 
-    def __init__(self, spec: str, room: int = 400_000):
+    def __init__(self, spec: str, room: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_str(spec)
-        (self.mark,) = self.tok.encode(self.MARK, add_special_tokens=False).ids
+        self.whole = Tokenizer.from_str(spec)
+        self.lowered = Tokenizer.from_str(spec)
+        self.lowered.normalizer = None  # its input is lowered, and Latin letters are composed
+        (self.mark,) = self.whole.encode(self.MARK, add_special_tokens=False).ids
         self.room = room
         self._clear()
 
-    def _clear(self):
-        self.index: dict[str, int] = {}
-        self.starts = self.lengths = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    @classmethod
+    def of_worker(cls, spec: str) -> WordTokenizer:
+        """The worker process's tokenizer: later tasks of one worker find its words."""
+        kept = sys.modules.setdefault("_word_tokenizers", types.ModuleType("_word_tokenizers")).__dict__
+        if spec not in kept:
+            kept[spec] = cls(spec)
+        return kept[spec]
 
-    def _learn(self, words: list[str]):
-        plain = [w for w in words if self.MARK not in w]
-        odd = [w for w in words if self.MARK in w]
-        starts, lengths, pools, base = [self.starts], [self.lengths], [self.pool], len(self.pool)
-        for k in range(0, len(plain), 4000):
-            part = plain[k:k + 4000]
-            ids = self._encode([f" {self.MARK} ".join(part)])[0]
+    def _clear(self):
+        none = np.zeros(0, np.int64)
+        self.words, self.parts = {}, {}
+        self.word_at, self.part_at = (none, none, none.astype(np.uint32)), (none, none, none.astype(np.uint32))
+
+    @staticmethod
+    def _encode(tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _append(index: dict, at: tuple, keys: list[str], lengths: np.ndarray, ids: np.ndarray) -> tuple:
+        index.update(zip(keys, range(len(index), len(index) + len(keys))))
+        starts = len(at[2]) + np.cumsum(lengths) - lengths
+        return tuple(np.concatenate(x) for x in zip(at, (starts, lengths, ids)))
+
+    def _learn_parts(self, parts: list[str]):
+        lengths, pools, keys, alone = [], [], [], []
+        for k in range(0, len(parts), 4000):
+            some = parts[k:k + 4000]
+            ids = self._encode(self.lowered, [f" {self.MARK} ".join(some)])[0]
             cut = np.flatnonzero(ids == self.mark)
-            if len(cut) != len(part) - 1:  # a word gave the marker itself: one by one
-                odd += part
+            if len(cut) != len(some) - 1:  # a part gave the marker itself: one by one
+                alone += some
                 continue
-            self.index.update(zip(part, range(len(self.index), len(self.index) + len(part))))
-            first = np.concatenate(([0], cut + 1))
-            starts.append(base + first)
-            lengths.append(np.concatenate((cut, [len(ids)])) - first)
-            pools.append(ids)
-            base += len(ids)
-        for w, ids in zip(odd, self._encode(odd) if odd else []):
-            self.index[w] = len(self.index)
-            starts.append(np.array([base]))
+            bounds = np.concatenate(([-1], cut, [len(ids)]))
+            lengths.append(np.diff(bounds) - 1)
+            pools.append(ids[ids != self.mark])
+            keys += some
+        for part, ids in zip(alone, self._encode(self.lowered, alone) if alone else []):
             lengths.append(np.array([len(ids)]))
             pools.append(ids)
-            base += len(ids)
-        self.starts, self.lengths, self.pool = map(np.concatenate, (starts, lengths, pools))
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as the tokenizer gives them for the whole text."""
-        out: list = [None] * len(texts)
-        strange = [i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")]
-        for i, ids in zip(strange, self._encode([texts[i] for i in strange]) if strange else []):
-            out[i] = ids
-        words = [t.split() if out[i] is None else [] for i, t in enumerate(texts)]
-        if len(self.index) > self.room:
+            keys.append(part)
+        if keys:
+            self.part_at = self._append(self.parts, self.part_at, keys, np.concatenate(lengths), np.concatenate(pools))
+
+    def _learn(self, words: list[str]):
+        odd = self.ODD.search
+        direct, plain = [], []
+        for w in words:
+            (direct if odd(w) else plain).append(w)
+        low = [w.lower() for w in plain]
+        base = [w.rstrip(string.punctuation) for w in low]
+        tail = [w[len(b):] for w, b in zip(low, base)]
+        fresh = set(base).union(tail).difference(self.parts)
+        if fresh:
+            self._learn_parts(list(fresh))
+        pair = np.empty(2 * len(plain), np.int64)
+        pair[::2] = np.fromiter(map(self.parts.__getitem__, base), np.int64, len(plain))
+        pair[1::2] = np.fromiter(map(self.parts.__getitem__, tail), np.int64, len(plain))
+        starts, lengths, pool = self.part_at
+        ids = pool[ragged(starts[pair], lengths[pair])]
+        own = lengths[pair[::2]] + lengths[pair[1::2]]
+        self.word_at = self._append(self.words, self.word_at, plain, own, ids)
+        if direct:
+            ids = self._encode(self.whole, direct)
+            self.word_at = self._append(self.words, self.word_at, direct, np.array([len(i) for i in ids]),
+                                        np.concatenate(ids))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one text after the other, and where each text ends; a text's ids
+        are those the tokenizer gives for the whole text."""
+        split = pa.compute.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.words) > self.room:
             self._clear()
-        fresh = set().union(*words).difference(self.index)
+        fresh = [w for w in words if w not in self.words]
         if fresh:
-            self._learn(list(fresh))
-        for i, ws in enumerate(words):
-            if out[i] is None:
-                at = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-                out[i] = self.pool[ragged(self.starts[at], self.lengths[at])]
-        return out
+            self._learn(fresh)
+        number = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        at = number[coded.indices.to_numpy(zero_copy_only=False)]
+        starts, lengths, pool = self.word_at
+        sizes = lengths[at]
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        offsets = split.offsets.to_numpy()
+        return pool[ragged(starts[at], sizes)], total[offsets[1:] - offsets[0]]
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
-           capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, part, idx, tokens): the ids of each row's text
-    and the end id, cut into pieces of at most ``capacity``. Null text is empty: one piece
-    with the end id. (part, idx) names a piece; write the frame before using it twice."""
+           capacity: int = CAPACITY, end_id: int = 1, tokens: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, part, idx) and, if asked for, tokens: the ids of
+    each row's text and the end id, cut into pieces of at most ``capacity``. Null text is
+    empty: one piece with the end id. (part, idx) names a piece; write the frame before using
+    it twice."""
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary: 1-2 MB
 
     def run(batches):
-        tok, part, n = WordTokenizer(spec.value), TaskContext.get().partitionId(), 0
+        tok, part, n = WordTokenizer.of_worker(spec.value), TaskContext.get().partitionId(), 0
         for b in batches:
-            keys, raw = b.column(0), b.column(1).to_pylist()
-            for lo, hi in slices([len(t) + 1 for t in raw], 4 << 20):
-                row, piece, start, length, crc, tokens = [], [], [], [], [], []
-                for i, ids in enumerate(tok.ids([t.decode() for t in raw[lo:hi]]), lo):
-                    ids = np.concatenate((ids, [end_id])).astype("<u4")
+            keys, texts = b.column(0), b.column(1).cast(pa.string())
+            for lo, hi in slices((pa.compute.binary_length(b.column(1)).to_numpy() + 1).tolist(), 8 << 20):
+                row, piece, start, length, crc, held = [], [], [], [], [], []
+                flat, ends = tok.ids(texts.slice(lo, hi - lo))
+                flat = np.insert(flat, ends, end_id).astype("<u4")
+                ends = (ends + np.arange(1, len(ends) + 1)).tolist()
+                for i, (begin, end) in enumerate(zip([0, *ends], ends), lo):
+                    ids = flat[begin:end]
                     for k, s in enumerate(range(0, len(ids), capacity)):
                         own = ids[s:s + capacity]
                         row.append(i)
@@ -128,19 +176,24 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                         start.append(s)
                         length.append(len(own))
                         crc.append(zlib.crc32(own.tobytes()))
-                        tokens.append(own.astype(np.int32))
+                        if tokens:
+                            held.append(own.astype(np.int32))
                 m = len(row)
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                     pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * m, pa.int32()),
-                     pa.array(range(n, n + m), pa.int64()), pa.array(tokens, pa.list_(pa.int32()))],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "idx", "tokens"])
+                columns = [keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                           pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * m, pa.int32()),
+                           pa.array(range(n, n + m), pa.int64())]
+                if tokens:
+                    cut = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(held))))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 n += m
 
     rows = docs.select(F.col(key).alias("doc_id"), binary_text(text).alias("t"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, "
-                                "part int, idx long, tokens array<int>")
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, idx long"
+    schema += ", tokens array<int>" if tokens else ""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return rows.mapInArrow(run, schema)
 
 
 class OpenBins:
@@ -354,7 +407,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset, and its ``tokens`` if asked for. Repeated rows are packed each;
     null text packs the end id alone; other columns are ignored."""
-    cut = pieces(docs, tokenizer, key, text, capacity, end_id)
-    cut = written(cut if tokens else cut.drop("tokens"), "pieces")
+    cut = written(pieces(docs, tokenizer, key, text, capacity, end_id, tokens), "pieces")
     place = pack(cut.select("part", "idx", "length"), capacity)
     return cut.join(place, ["part", "idx"]).drop("part", "idx")
