@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +27,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written once to the shared folder and read back: cuts lineage, and a
     lost executor doesn't make the work before it run again. The shuffle files behind it
     go as soon as it is written."""
-    conf = df.sparkSession.conf
-    before = conf.get(SHUFFLE_CLEANUP, None)
-    conf.set(SHUFFLE_CLEANUP, "true")
+    conf, before = df.sparkSession.conf, {}
+    for setting, value in ((SHUFFLE_CLEANUP, "true"), ("spark.sql.parquet.compression.codec", "zstd")):
+        before[setting] = conf.get(setting, None)
+        conf.set(setting, value)
     try:
         return materialize(df, f"llm-{name}")
     finally:
-        conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
+        for setting, value in before.items():
+            conf.unset(setting) if value is None else conf.set(setting, value)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -57,6 +61,14 @@ def slices(sizes: list[int], limit: int):
         yield start, len(sizes)
 
 
+def text_slices(texts: pa.Array, limit: int):
+    """Runs of about ``limit`` bytes of a binary column: (first row, list of its texts). Only one
+    run at a time is held as Python objects."""
+    sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False) + 1
+    for lo, hi in slices(sizes.tolist(), limit):
+        yield lo, texts.slice(lo, hi - lo).to_pylist()
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of every run, one run after the other."""
     total = int(lengths.sum())

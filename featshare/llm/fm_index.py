@@ -70,7 +70,7 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         second = np.zeros(n, np.int64)
         second[:-k] = rank[k:] + 1
         pair = rank * (n + 1) + second
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         sorted_ = pair[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1])))
@@ -124,7 +124,8 @@ class FMIndex:
             a[same] += 1 << j
             b[same] += 1 << j
             total[same] += 1 << j
-        low = np.concatenate(([0], total, [0])).astype(np.int32)  # low[i]: rows i-1 and i
+        low = np.concatenate(([0], total, [0]))  # low[i]: rows i-1 and i
+        low = low.astype(np.uint8 if low.max() < 256 else np.int32)
         table, k = [low], 1
         while 2 * k <= len(low):
             low = np.minimum(low[:-k], low[k:])
@@ -190,36 +191,40 @@ class FMIndex:
         return (np.where(depth > 0, left, 0), np.where(depth > 0, right, self.n), depth.astype(np.int64))
 
     def matching_statistics(self, words: np.ndarray, lengths: np.ndarray, weight: np.ndarray,
-                            least: int = 2) -> np.ndarray:
+                            least: int = 2, window: int = 1) -> np.ndarray:
         """For each place of the streamed sequences (all their words indexed): the length of
         the longest match that starts there and occurs with a total weight of ``least``.
-        ``weight`` is per index position; sequences are streamed from their ends."""
+        ``weight`` is per index position; sequences are streamed from their ends. Matches only
+        move left, so a sequence whose match ends before word ``window`` holds no match of
+        that length any more and is streamed no further (zeros remain)."""
         total = np.zeros(self.n + 1, np.int64)
-        row_weight = np.where(self.word_rows, weight[np.minimum(self.positions_in_order, len(weight) - 1)], 0) \
-            if len(weight) else np.zeros(self.n, np.int64)
-        np.cumsum(row_weight, out=total[1:])
+        if len(weight):
+            row_weight = np.where(self.word_rows, weight[np.minimum(self.positions_in_order, len(weight) - 1)], 0)
+            np.cumsum(row_weight, out=total[1:])
         out = np.zeros(len(words), np.int64)
-        ends = np.cumsum(lengths)
+        first = np.cumsum(lengths) - lengths
+        at = lengths.copy()  # words of each sequence not yet streamed
         lo, hi = self.full(len(lengths))
         depth = np.zeros(len(lengths), np.int64)
-        by_length = np.argsort(-lengths, kind="stable")
-        active_until = -lengths[by_length]
-        for t in range(int(lengths.max()) if len(lengths) else 0):
-            lanes = by_length[:np.searchsorted(active_until, -t, side="left")]
-            place = ends[lanes] - 1 - t
-            todo = np.arange(len(lanes))
+        lanes = np.flatnonzero(lengths >= window)
+        while lanes.size:
+            at[lanes] -= 1
+            c = words[first[lanes] + at[lanes]]
+            todo = lanes
             while todo.size:
-                lane = lanes[todo]
-                a, b = self.extend(words[place[todo]], lo[lane], hi[lane])
+                a, b = self.extend(c, lo[todo], hi[todo])
                 good = total[b] - total[a] >= least
-                won = lane[good]
+                won = todo[good]
                 lo[won], hi[won] = a[good], b[good]
                 depth[won] += 1
-                lane, todo = lane[~good], todo[~good]
-                stuck = depth[lane] == 0  # not even the word alone: no match starts here
-                lo[lane[stuck]], hi[lane[stuck]] = 0, self.n
-                lane, todo = lane[~stuck], todo[~stuck]
+                todo, c = todo[~good], c[~good]
+                # the word alone matches nothing, or no window is left: no more attempts
+                done = (depth[todo] == 0) | (at[todo] + depth[todo] < window)
+                lost = todo[done]
+                lo[lost], hi[lost], depth[lost] = 0, self.n, 0
+                todo, c = todo[~done], c[~done]
                 if todo.size:
-                    lo[lane], hi[lane], depth[lane] = self.parent(lo[lane], hi[lane])
-            out[place] = depth[lanes]
+                    lo[todo], hi[todo], depth[todo] = self.parent(lo[todo], hi[todo])
+            out[first[lanes] + at[lanes]] = depth[lanes]
+            lanes = lanes[(at[lanes] > 0) & (at[lanes] + depth[lanes] >= window)]
         return out

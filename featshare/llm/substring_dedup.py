@@ -25,16 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_text, ragged, slices, written
+from .common import binary_text, ragged, text_slices, written
 from .fm_index import FMIndex
 
 WINDOW = 35
 GRAM = 16
+#: windows of one segment at most
+RUN = 40
 CROWD = 1000
 SHARD_WORDS = 300_000
 #: bytes kept of a word's hash; 48 bits, and a window compares all its words
 WORD_BYTES = 6
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def _mix(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
@@ -69,6 +71,9 @@ def segments(hashes: np.ndarray, lengths: np.ndarray, window: int, gram: int):
         return none, none, none, none.view(np.uint64), none
     anchor, text = low[at], np.repeat(np.arange(len(lengths)), n)
     head = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))))
+    size = np.diff(np.append(head, len(at)))  # periodic text repeats its anchor: cut its runs
+    cuts = -(-size // RUN)
+    head = np.repeat(head, cuts) + RUN * ragged(np.zeros(len(cuts), np.int64), cuts)
     count = np.diff(np.append(head, len(at)))
     grams = count + width - 1  # gram places under the segment's windows
     same = g[ragged(at[head], grams)] == np.repeat(anchor[head], grams)
@@ -78,9 +83,8 @@ def segments(hashes: np.ndarray, lengths: np.ndarray, window: int, gram: int):
 
 def _batches(b, column: int):
     """Slices of a batch: (first row, word lists, lengths, hashes)."""
-    raw = b.column(column).to_pylist()
-    for lo, hi in slices([len(t) + 1 for t in raw], SLICE):
-        words = [t.split() for t in raw[lo:hi]]
+    for lo, texts in text_slices(b.column(column), SLICE):
+        words = [t.split() for t in texts]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         yield lo, words, lengths
 
@@ -162,7 +166,8 @@ def repeated_intervals(segs: DataFrame, window: int, n_shards: int) -> DataFrame
         wide[:, :WORD_BYTES] = np.concatenate(raw)
         vocab, words = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
         index = FMIndex(words, lengths, len(vocab), lcp=True)
-        match = index.matching_statistics(words, lengths, np.repeat(pdf["mult"].to_numpy(np.int64), lengths))
+        match = index.matching_statistics(words, lengths, np.repeat(pdf["mult"].to_numpy(np.int64), lengths),
+                                          window=window)
         out, at = [], np.cumsum(lengths) - lengths
         hit = np.flatnonzero(match >= window)
         owner = np.searchsorted(at, hit, side="right") - 1
@@ -191,9 +196,9 @@ def _shards(segs: DataFrame, shard_words: int) -> int:
 def _kept(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            removed, sha, texts = [], [], []
-            for t, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                words = t.split()
+            removed, sha = [], []
+            for t, spans in zip(b.column(2), b.column(3)):
+                words, spans = t.as_py().split(), spans.as_py()
                 gone = np.zeros(len(words) + 1, np.int64)
                 np.add.at(gone, [s["a"] for s in spans], 1)
                 np.add.at(gone, [s["b"] for s in spans], -1)
