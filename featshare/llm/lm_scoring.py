@@ -26,7 +26,7 @@ from .common import ASCII_LOWER, binary_text, slices, written
 
 ORDER = 3
 ALPHA = 0.4
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 PART_KEYS = 2_000_000
 
 
@@ -76,26 +76,25 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray],
 
 
 def _distinct(gram: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams by partition, then value: (keys, counts, end of each partition)."""
+    """Distinct n-grams in order: (keys, counts, end of each partition)."""
     keys, counts = np.unique(gram[gram != 0], return_counts=True)
-    part = (keys >> np.uint64(40)) % np.uint64(n_parts)
-    order = np.argsort(part, kind="stable")
-    ends = np.cumsum(np.bincount(part.astype(np.int64), minlength=n_parts))
-    return keys[order], counts[order], ends
+    part = ((keys >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)  # equal ranges of the hash
+    return keys, counts, np.cumsum(np.bincount(part.astype(np.int64), minlength=n_parts))
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences in as few bytes as the largest needs."""
-    steps = np.diff(keys, prepend=np.uint64(0))
+    """Sorted 64-bit keys, not none: the first, then differences in as few bytes as the largest
+    needs."""
+    steps = np.diff(keys)
     wide = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([wide]) + steps.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+    return bytes([wide]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
-    wide = raw[0]
-    steps = np.zeros((len(raw) // wide, 8), np.uint8)
-    steps[:, :wide] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, wide)
-    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+    wide, first = raw[0], np.frombuffer(raw, np.uint64, 1, offset=1)
+    steps = np.zeros(((len(raw) - 9) // wide, 8), np.uint8)
+    steps[:, :wide] = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, wide)
+    return np.cumsum(np.concatenate((first, steps.view(np.uint64).ravel())), dtype=np.uint64)
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -123,10 +122,10 @@ def _tables(texts: DataFrame, order: int, n_parts: int, block_bytes: int) -> Dat
             if not b.num_rows:
                 continue
             block, place = (b.column(i).to_numpy() for i in (0, 1))
-            raw = b.column(2).to_pylist()
-            for lo, hi in _runs(block, [len(t) + 16 for t in raw], block_bytes):
+            sizes = pa.compute.binary_length(b.column(2)).to_numpy(zero_copy_only=False) + 16
+            for lo, hi in _runs(block, sizes.tolist(), block_bytes):
                 out = []
-                for n, gram in enumerate(grams(raw[lo:hi], order)[1], 1):
+                for n, gram in enumerate(grams(b.column(2).slice(lo, hi - lo).to_pylist(), order)[1], 1):
                     keys, counts, ends = _distinct(gram, n_parts)
                     start = 0
                     for p, end in enumerate(ends.tolist()):
@@ -160,26 +159,23 @@ def _answers(tables: DataFrame) -> DataFrame:
         run, "block long, lo long, hi long, n long, part long, rest binary")
 
 
-def score_texts(raw: list[bytes], rest: list[np.ndarray], order: int, n_parts: int, total: int, alpha: float):
+def score_texts(raw: list[bytes], rest: list[np.ndarray], order: int, total: int, alpha: float):
     """(words, sum of log scores) per text. ``rest``: per order, the other runs' counts of the
-    run's distinct n-grams in partition order; ``total``: words of the corpus."""
+    run's distinct n-grams in their order; ``total``: words of the corpus."""
     lengths, gram, owner = grams(raw, order)
     others, has = [], [g != 0 for g in gram]
     for n in range(order):
-        keys, counts, _ = _distinct(gram[n], n_parts)
-        if not len(keys):
-            others.append(np.zeros(len(owner), np.int64))
-            continue
-        by_key = np.argsort(keys, kind="stable")
-        at = by_key[np.minimum(np.searchsorted(keys[by_key], gram[n]), len(keys) - 1)]
-        # what the text itself holds of each of its n-grams
-        pair = np.lexsort((at, owner))
-        new = np.ones(len(pair), bool)
-        new[1:] = (at[pair[1:]] != at[pair[:-1]]) | (owner[pair[1:]] != owner[pair[:-1]])
-        group = np.cumsum(new) - 1
-        mine = np.empty(len(pair), np.int64)
-        mine[pair] = np.bincount(group)[group]
-        others.append(np.where(has[n], (rest[n] + counts)[at] - mine, 0))
+        count = np.zeros(len(owner), np.int64)
+        # sorted by n-gram, and within one by place, so also by text
+        place = np.argsort(gram[n], kind="stable")
+        place = place[len(place) - int(has[n].sum()):]
+        if len(place):
+            own, text = gram[n][place], owner[place]
+            key = np.concatenate(([True], own[1:] != own[:-1]))
+            pair = np.concatenate(([True], key[1:] | (text[1:] != text[:-1])))
+            number, group = np.cumsum(key) - 1, np.cumsum(pair) - 1
+            count[place] = (rest[n] + np.bincount(number))[number] - np.bincount(group)[group]
+        others.append(count)
     rows = np.maximum(total - lengths, 0)[owner].astype(float)
     value = np.where(others[0] > 0, others[0] / np.maximum(rows, 1), 1 / (rows + 1))
     for n in range(1, order):  # a longer context, where the text has one
@@ -216,7 +212,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: i
             rest = [np.concatenate([_counts(c) for c in own.loc[own["n"] == n, "rest"]] or [np.zeros(0, np.int64)])
                     for n in range(1, order + 1)]
             at = np.flatnonzero((place >= lo) & (place < hi))
-            n_words[at], logs[at] = score_texts([bytes(t) for t in rows["t"].iloc[at]], rest, order, n_parts, total, alpha)
+            n_words[at], logs[at] = score_texts([bytes(t) for t in rows["t"].iloc[at]], rest, order, total, alpha)
         return pd.DataFrame({"doc_id": rows["doc_id"], "n_words": n_words, "log_score": logs})
 
     kind = texts.schema["doc_id"].dataType.simpleString()
