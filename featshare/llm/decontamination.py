@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, binary_text, ragged, slices
+from .common import ASCII_LOWER, binary_text, ragged, text_slices
 from .fm_index import FMIndex
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 
 #: word bytes lowered; every other ASCII byte becomes a space (bytes of other characters are word bytes)
 WORD_TABLE = bytes(c if re.fullmatch(rb"[0-9a-z\x80-\xff]", bytes([c])) else 32 for c in ASCII_LOWER)
@@ -118,9 +118,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
     def run(batches):
         for b in batches:
-            raw = b.column(1).to_pylist()
-            for lo, hi in slices([len(t) + 1 for t in raw], SHARD_BYTES):
-                words = [split_words(t) for t in raw[lo:hi]]
+            for lo, texts in text_slices(b.column(1), SHARD_BYTES):
+                words = [split_words(t) for t in texts]
                 lengths = np.fromiter(map(len, words), np.int64, len(words))
                 offset = np.cumsum(lengths + 1) - lengths - 1
                 cover = np.zeros(int((lengths + 1).sum()) + 1, np.int64)

@@ -241,7 +241,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     """
     def run(batches):
         for b in batches:
-            got = [main_text(h.decode()) for h in b.column(2).to_pylist()]
+            got = [main_text(h.as_py().decode()) for h in b.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([t for t, _ in got], pa.string()),
                  pa.array([len(t) for t, _ in got], pa.int64()), pa.array([k for _, k in got], pa.int64())],

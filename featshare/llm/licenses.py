@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, binary_text, slices
+from .common import ASCII_LOWER, binary_text, text_slices
 
 THRESHOLD = 0.8
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 #: (licence, template): short public notices and permission texts
 TEMPLATES: list[tuple[str, str]] = [
@@ -146,9 +146,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def run(batches):
         for b in batches:
-            raw = b.column(1).to_pylist()
-            for lo, hi in slices([len(t) + 1 for t in raw], SLICE):
-                found = catalog.scan(raw[lo:hi])
+            for lo, texts in text_slices(b.column(1), SLICE):
+                found = catalog.scan(texts)
                 cut = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 flat = list(chain.from_iterable(found))
                 matches = pa.StructArray.from_arrays(
@@ -156,7 +155,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text",
                      pa.array([m[1] for m in flat], pa.int64()), pa.array([m[2] for m in flat], pa.int64()),
                      pa.array([m[3] for m in flat], pa.float64())],
                     names=["license", "template", "first_word", "n_words", "dice"])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo),
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)),
                                                   pa.ListArray.from_arrays(pa.array(cut), matches)],
                                                  names=["doc_id", "matches"])
 

@@ -12,6 +12,7 @@ likelihood ratio; sparse sites fall back on the global prior.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -80,11 +81,12 @@ class Model:
             self.fit = logistic(np.array([features(t) for t, _ in rows]), y)
             self.base = math.log(y.sum() / (len(y) - y.sum()))
 
-    def evidence(self, texts: list[bytes]) -> np.ndarray:
-        if self.fit is None or not texts:
-            return np.zeros(len(texts))
+    def evidence(self, texts: Iterable[bytes]) -> np.ndarray:
+        x = np.array([features(t) for t in texts])
+        if self.fit is None or not len(x):
+            return np.zeros(len(x))
         mean, scale, w = self.fit
-        x = (np.array([features(t) for t in texts]) - mean) / scale
+        x = (x - mean) / scale
         return np.clip(x @ w[:-1] + w[-1], -20, 20) - self.base
 
 
@@ -111,7 +113,7 @@ def score(docs: DataFrame, model: Model, key: str, text: str, host: Column, path
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sent.value.evidence(b.column(3).to_pylist()))],
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sent.value.evidence(t.as_py() for t in b.column(3)))],
                                              names=["doc_id", "host", "path", "evidence"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"),

@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     """(doc_id, fp): one row per row; null text has no words, so fingerprint zero."""
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t, shingle) for t in b.column(1).to_pylist()]
+            fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))],
                                              names=["doc_id", "fp"])
 

@@ -17,6 +17,7 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -150,9 +151,9 @@ class Model:
         self.__dict__.update(state)
         self.distance = Distance(self.content[1], self.content[0]) if self.content else None
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: Iterable[str]) -> np.ndarray:
         if self.distance is None:
-            return np.full(len(texts), self.rate)
+            return np.array([self.rate for _ in texts])
         mean, scale, w = self.fit
         x = (np.array([self.distance.features(t) for t in texts]) - mean) / scale
         return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
@@ -184,7 +185,7 @@ def toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         for b in batches:
             if not b.num_rows:
                 continue
-            score = own.score([t.decode() for t in b.column(1).to_pylist()])
+            score = own.score(t.as_py().decode() for t in b.column(1))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
                 names=["doc_id", "score", "predicted"])
