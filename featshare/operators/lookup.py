@@ -14,28 +14,38 @@ def _as_list(v):
     return [v] if isinstance(v, str) else list(v)
 
 
+#: least share of the rows a hot key may be asked to hold, which bounds their number
+LEAST_HOT_FRACTION = 1e-4
+
+
 def hot_keys(df: DataFrame, keys, fraction: float) -> DataFrame:
     """Keys holding more than ``fraction`` of the rows of ``df``: one aggregation with
     map-side combine, then a filter against the total. At most ``1 / fraction`` keys can
-    qualify, which bounds the size of the result."""
+    qualify, and ``fraction`` is checked, so the result has 10,000 keys at most."""
+    if not LEAST_HOT_FRACTION <= fraction < 1:
+        raise ValueError(f"hot key fraction {fraction} is not in [{LEAST_HOT_FRACTION}, 1)")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     return counts.where(F.col("_n") > F.lit(fraction * total)).select(*keys)
 
 
 def _salted_join(left: DataFrame, right: DataFrame, keys, hot: DataFrame, buckets: int) -> DataFrame:
-    """Left join that spreads each hot key over ``buckets`` tasks: left rows of a hot key
-    get a salt from a hash of the whole row (deterministic, so a retried task salts the
-    same way), the right rows of hot keys are copied once per salt, all others use salt
-    0. ``hot`` has a proven size bound (see :func:`hot_keys`), so it is broadcast."""
-    flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    lsalt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(buckets))) \
-        .otherwise(F.lit(0))
-    l2 = left.join(flag, keys, "left").withColumn("_salt", lsalt.cast("long")).drop("_hot")
-    rsalts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))) \
-        .otherwise(F.array(F.lit(0).cast("long")))
-    r2 = right.join(flag, keys, "left").withColumn("_salt", F.explode(rsalts)).drop("_hot")
-    return l2.join(r2, list(keys) + ["_salt"], "left").drop("_salt")
+    """Left join that spreads each hot key over ``buckets`` tasks. Hot rows that are equal
+    become one with a count, so that many repeats cannot share a salt; the others get a salt
+    from a hash of the whole row (deterministic, so a retried task salts the same way), the
+    right rows of hot keys are copied once per salt, and the counts are unfolded after the
+    join. All other rows are joined as they are. ``hot`` has a proven size bound (see
+    :func:`hot_keys`), so it is broadcast."""
+    flag = F.broadcast(hot)
+    calm = left.join(flag, keys, "left_anti").join(right, list(keys), "left")
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(buckets))
+    counted = (left.join(flag, keys, "left_semi").groupBy(*left.columns).agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_salt", salt))
+    copies = right.join(flag, keys, "left_semi").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    joined = counted.join(copies, list(keys) + ["_salt"], "left")
+    spread = joined.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return calm.unionByName(spread.select(*calm.columns))
 
 
 def feature_lookup(df: DataFrame, features: DataFrame, lookup_key, feature_names,
@@ -61,7 +71,7 @@ def feature_lookup(df: DataFrame, features: DataFrame, lookup_key, feature_names
         raise ValueError(f"feature name(s) {clash} already in the frame")
     right = features.select(*[F.col(t).alias(l) for t, l in zip(tk, lk)],
                             *[F.col(n).alias(o) for n, o in zip(feature_names, out_names)])
-    if hot_key_fraction:
+    if hot_key_fraction is not None:
         return _salted_join(df, right, lk, hot_keys(df, lk, hot_key_fraction), salt_buckets)
     return df.join(right, on=lk, how="left")
 

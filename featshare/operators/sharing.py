@@ -168,7 +168,9 @@ def endpoint_status(endpoints: DataFrame, host) -> DataFrame:
 def share_details(shares: DataFrame, share_objects: DataFrame, grants: DataFrame) -> DataFrame:
     """A2: share details, flattened: one row per (share, object) and per (share,
     principal) with the principal's sorted privileges, plus per-share counts. Shares
-    with neither still get one row. Nothing collects a whole share into one value."""
+    with neither still get one row. Nothing collects a whole share into one value, and the
+    items are joined from their own side: a share with a third of all objects is split by the
+    skew-join rule, or broadcast as the small list of shares it is."""
     objs = share_objects.select("share_name", F.lit("object").alias("item_kind"),
                                 F.col("object_name").alias("item_name"),
                                 F.col("object_type").alias("item_detail"))
@@ -180,8 +182,13 @@ def share_details(shares: DataFrame, share_objects: DataFrame, grants: DataFrame
     counts = items.groupBy("share_name").agg(
         F.count(F.when(F.col("item_kind") == "object", 1)).alias("n_objects"),
         F.count(F.when(F.col("item_kind") == "permission", 1)).alias("n_permissions"))
-    s = shares.select("share_name", "comment")
-    return (s.join(items, "share_name", "left").join(counts, "share_name", "left")
-            .select("share_name", "comment", "item_kind", "item_name", "item_detail",
-                    F.coalesce("n_objects", F.lit(0)).alias("n_objects"),
-                    F.coalesce("n_permissions", F.lit(0)).alias("n_permissions")))
+    # dealt anew, else the join below has no exchange of its own to split
+    s = (shares.select("share_name", "comment").join(counts, "share_name", "left")
+         .repartition(F.xxhash64("share_name")))
+    full = items.join(s, "share_name")
+    none = (s.where(F.col("n_objects").isNull())
+            .withColumns({c: F.lit(None).cast("string") for c in ("item_kind", "item_name", "item_detail")}))
+    return full.unionByName(none, allowMissingColumns=True).select(
+        "share_name", "comment", "item_kind", "item_name", "item_detail",
+        F.coalesce("n_objects", F.lit(0)).alias("n_objects"),
+        F.coalesce("n_permissions", F.lit(0)).alias("n_permissions"))

@@ -1,13 +1,16 @@
 """Fit and score (A4, D3).
 
-A4 solves ordinary least squares from sufficient statistics gathered in one distributed
-aggregation (means and population covariances, combined map-side); only the d x d
-system (d = number of features) reaches the driver.
+A4 solves ordinary least squares from sufficient statistics (count, means, centred cross
+products). Tasks compute them on Arrow batches, groups of tasks are merged on the executors,
+and at most ``MERGED`` small matrices of d x d (d = number of features) reach the driver. The
+path is the same for every width.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,61 +18,67 @@ from featshare.functions.model import LinearModel, predict
 from featshare.operators.lookup import feature_lookup
 from featshare.sources.requests import parse_score_requests
 
+#: groups that the tasks' statistics are merged to before they reach the driver
+MERGED = 32
 
-WIDE = 32  # above this many features the fit goes through MLlib's normal-equation solver
 
+def _moments(frames, d: int):
+    """(rows, complete rows, means, centred cross products) of some statistics, merged."""
+    seen, n, mean, cross = 0, 0, np.zeros(d), np.zeros((d, d))
+    for more, m, other, products in frames:
+        seen += more
+        if m:
+            step = other - mean
+            cross = cross + products + np.outer(step, step) * (n * m / (n + m))
+            mean = mean + step * (m / (n + m))
+            n += m
+    return seen, n, mean, cross
 
-def _train_mllib(df: DataFrame, features, label: str) -> LinearModel:
-    """Wide feature sets: MLlib assembles the Gram matrix with a tree aggregation on the
-    executors (one d x d matrix per task, merged in a tree) and solves it on the driver,
-    falling back to L-BFGS when the system is singular."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
 
-    n_all = df.count()
-    data = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip") \
-        .transform(df.where(F.col(label).isNotNull()))
-    fit = LinearRegression(featuresCol="_x", labelCol=label, regParam=0.0, elasticNetParam=0.0,
-                           solver="auto", standardization=False).fit(data)
-    n = fit.summary.numInstances
-    return LinearModel(tuple(features), tuple(float(c) for c in fit.coefficients), float(fit.intercept),
-                       label, int(n), int(n_all - n))
+def _sufficient(df: DataFrame, columns: list[str]):
+    """Statistics of the rows whose columns are all finite."""
+    d = len(columns)
+
+    def batch(pdf: pd.DataFrame):
+        x = pdf.to_numpy(np.float64)
+        x = x[np.isfinite(x).all(axis=1)]
+        mean = x.mean(axis=0) if len(x) else np.zeros(d)
+        return len(pdf), len(x), mean, (x - mean).T @ (x - mean)
+
+    def row(key, stats):
+        seen, n, mean, cross = stats
+        return pd.DataFrame({"part": [key], "seen": [seen], "n": [n], "mean": [mean.tobytes()], "cross": [cross.tobytes()]})
+
+    def read(pdf):
+        return ((r.seen, r.n, np.frombuffer(r.mean), np.frombuffer(r.cross).reshape(d, d))
+                for r in pdf.sort_values("part").itertuples())
+
+    def task(frames):
+        yield row(TaskContext.get().partitionId(), _moments(map(batch, frames), d))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return row(int(pdf["part"].min()), _moments(read(pdf), d))
+
+    schema = "part int, seen long, n long, mean binary, cross binary"
+    parts = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).mapInPandas(task, schema)
+    merged = parts.groupBy((F.col("part") % MERGED).alias("_g")).applyInPandas(merge, schema)
+    return _moments(read(merged.toPandas()), d)
 
 
 def train_linear(df: DataFrame, features, label: str) -> LinearModel:
-    """A4: OLS with intercept. Rows with a null feature or label are dropped and
-    counted. Collinear features get the minimum-norm solution (predictions are still
-    the least-squares fit). Up to ``WIDE`` features: one aggregation of means and
-    covariances (d(d+1)/2 expressions); wider: :func:`_train_mllib`."""
+    """A4: OLS with intercept, for any number of features. Rows with a null, NaN or infinite
+    feature or label are dropped and counted. Collinear features get the minimum-norm
+    solution (predictions are still the least-squares fit). Without a complete row there is
+    nothing to fit: an error."""
     features = list(features)
-    if len(features) > WIDE:
-        return _train_mllib(df, features, label)
-    valid = F.col(label).isNotNull()
-    for f in features:
-        valid = valid & F.col(f).isNotNull()
-    x = [F.when(valid, F.col(f).cast("double")) for f in features]
-    y = F.when(valid, F.col(label).cast("double"))
-    aggs = [F.count(F.lit(1)).alias("n_all"), F.count(y).alias("n"), F.avg(y).alias("my")]
-    d = len(features)
-    for i in range(d):
-        aggs.append(F.avg(x[i]).alias(f"m{i}"))
-        aggs.append(F.covar_pop(x[i], y).alias(f"cy{i}"))
-        for j in range(i, d):
-            aggs.append(F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}"))
-    s = df.agg(*aggs).first()
-    n = int(s["n"])
+    seen, n, mean, cross = _sufficient(df, [*features, label])
     if n == 0:
         raise ValueError("no complete rows to fit")
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = s[f"c{i}_{j}"]
-    cxy = np.array([s[f"cy{i}"] for i in range(d)])
-    coef = np.linalg.lstsq(cov, cxy, rcond=None)[0] if d else np.zeros(0)
-    means = np.array([s[f"m{i}"] for i in range(d)])
-    intercept = float(s["my"] - coef @ means) if d else float(s["my"])
-    return LinearModel(tuple(features), tuple(float(c) for c in coef), intercept, label,
-                       n, int(s["n_all"]) - n)
+    d = len(features)
+    cov = cross / n
+    coef = np.linalg.lstsq(cov[:d, :d], cov[:d, d], rcond=None)[0] if d else np.zeros(0)
+    return LinearModel(tuple(features), tuple(float(c) for c in coef), float(mean[d] - coef @ mean[:d]), label,
+                       n, int(seen - n))
 
 
 def model_frame(spark: SparkSession, model: LinearModel, digits: int = 6) -> DataFrame:

@@ -18,7 +18,7 @@ from featshare.sources.feature_tables import (check_not_null, check_primary_key,
 from featshare.sources.fixtures import Fixtures, base
 from featshare.sources.publish import (current_version, publish_changes, publish_many, publish_snapshot,
                                        read_published)
-from featshare.sources.requests import parse_score_requests
+from featshare.sources.requests import parse_score_requests, request_rejects
 from featshare.sources.shares import mount_share, view_name
 
 # ---------------------------------------------------------------- flagship (entry)
@@ -123,10 +123,36 @@ def l1(spark, sf_dir):
 
 # ---------------------------------------------------------------- S6, S7
 
-@register("s6_parse_score_requests", oracle="""
-select event_id, 0 as pos, cast(json_extract(props, '$.k') as bigint) as k from events""")
+# what score_requests holds, record by record: the good ones and the bad ones with their reason
+REQUEST_CTES = {
+    "received": """
+select event_id, 0 as pos, cast(json_extract(props, '$.k') as bigint) as k, null as reason, props as record
+from events where event_id % 8 in (0, 7)
+union all select event_id, 0, user_id, null, null from events where event_id % 8 in (1, 2)
+union all select event_id, 1, user_id + 1, null, null from events where event_id % 8 = 1
+union all select event_id, 4, null, null, null from events where event_id % 8 = 2
+union all select event_id, 1, null, 'null_record', null from events where event_id % 8 = 2
+union all select event_id, 2, null, 'mistyped', '{"k":"x"}' from events where event_id % 8 = 2
+union all select event_id, 3, null, 'mistyped', '5' from events where event_id % 8 = 2
+union all select event_id, 0, null, 'mistyped', '{"k": "x"}' from events where event_id % 8 = 3
+union all select event_id, 0, null, 'malformed', '{"k": ' || user_id from events where event_id % 8 = 4
+union all select event_id, 0, null, 'inputs_not_a_list', '{"inputs": ' || user_id || '}' from events where event_id % 8 = 6""",
+    "good": "select event_id, pos, k from received where reason is null",
+}
+
+
+@register("s6_parse_score_requests", ctes=REQUEST_CTES, oracle="select event_id, pos, k from good")
 def s6(spark, sf_dir):
-    return parse_score_requests(base(spark, sf_dir, "events"), "props", "k bigint", ["event_id"])
+    return parse_score_requests(Fixtures(spark, sf_dir).score_requests, "body", "k bigint", ["event_id"])
+
+
+@register("p2_request_rejects", ctes=REQUEST_CTES, oracle="""
+select event_id, pos, coalesce(reason, 'missing') as reason,
+       case when reason is null then '{"k":null}' else record end as record
+from received where reason is not null or k is null""")
+def p2_rejects(spark, sf_dir):
+    """Requests against a recorded signature whose field is required."""
+    return request_rejects(Fixtures(spark, sf_dir).score_requests, "body", "k bigint", ["event_id"], required=["k"])
 
 
 MOUNTED = ["customer", "orders", "part", "supplier"]
@@ -144,16 +170,14 @@ def s7(spark, sf_dir):
     mounted = mount_share(spark, objects, "shared_cat", locations)
     measure = {"customer": "c_acctbal", "orders": "o_totalprice", "part": "p_retailprice",
                "supplier": "s_acctbal"}
-    parts = []
-    for t in MOUNTED:
-        name = f"shared_cat.tpch.{t}"
-        v = spark.table(view_name(name))
-        parts.append(v.agg(F.lit(name).alias("mounted_name"), F.count(F.lit(1)).alias("n_rows"),
-                           F.round(F.sum(measure[t]), 2).alias("checksum")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.join(mounted.select("mounted_name"), "mounted_name", "left_semi")
+    # one union of the mounted views, name as a column, aggregated once
+    rows = None
+    for r in mounted.collect():  # the mounts of one share
+        t = r["mounted_name"].rsplit(".", 1)[1]
+        v = spark.table(view_name(r["mounted_name"])).select(
+            F.lit(r["mounted_name"]).alias("mounted_name"), F.col(measure[t]).cast("double").alias("v"))
+        rows = v if rows is None else rows.unionByName(v)
+    return rows.groupBy("mounted_name").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("v"), 2).alias("checksum"))
 
 
 # ---------------------------------------------------------------- S8-S10
@@ -176,6 +200,29 @@ def s9(spark, sf_dir):
     return read_published(spark, target)
 
 
+BATCHES = 3
+
+
+@register("s9_publish_unordered", fixtures=["change_rows"], oracle="""
+select c.user_id, c.commit_version, c.commit_ts, c.value
+from change_rows c join (
+    select user_id, max(commit_version) as v from change_rows
+    where change_type <> 'update_preimage' group by user_id) m
+  on c.user_id = m.user_id and c.commit_version = m.v
+where c.change_type <> 'delete'""")
+def s9_unordered(spark, sf_dir):
+    """All changes in batches that mix old and new, the last batch replayed: the copy holds
+    the last change per key."""
+    changes = Fixtures(spark, sf_dir).change_rows
+    target = work_dir(spark, "s9u")
+    columns = ["user_id", "commit_version", "commit_ts", "value"]
+    publish_snapshot(changes.select(*columns).limit(0), target, ["user_id"])
+    for i in (2, 0, 1, 1):
+        publish_changes(spark, target, changes.where(F.col("commit_version") % BATCHES == i), ["user_id"],
+                        "commit_version")
+    return read_published(spark, target).select(*columns)
+
+
 @register("s10_publish_many", fixtures=["features_v0", "features_v1"], oracle="""
 select 'prod.ml.features_v0' as source_table_name, 'main.default.features_v0_online' as online_table_name,
        'published' as outcome, cast(null as varchar) as error_class, (select count(*) from features_v0) as n_rows
@@ -300,16 +347,18 @@ def d2(spark, sf_dir):
     return predict(rows, m).select("row_id", F.round("prediction", 2).alias("prediction"))
 
 
-@register("d3_score_batch", fixtures=["labels_frame", "feature_gap"], ctes=OLS_CTES, oracle="""
-select e.event_id, 0 as pos, cast(json_extract(e.props, '$.k') as bigint) as k,
-       g.feature_1, g.feature_2,
+SCORED = """
+select e.event_id, e.pos, e.k, g.feature_1, g.feature_2,
        round((select b0 from model) + (select b1 from model) * g.feature_1
              + (select b2 from model) * g.feature_2, 2) as prediction
-from events e left join feature_gap g on cast(json_extract(e.props, '$.k') as bigint) = g.id""")
+from good e left join feature_gap g on e.k = g.id"""
+
+
+@register("d3_score_batch", fixtures=["labels_frame", "feature_gap"], ctes={**OLS_CTES, **REQUEST_CTES}, oracle=SCORED)
 def d3(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     m = fitted(spark, sf_dir)
-    out = score_batch(fx.events, "props", "k bigint", m, features=fx.feature_gap,
+    out = score_batch(fx.score_requests, "body", "k bigint", m, features=fx.feature_gap,
                       lookup_key="k", table_key="id", id_cols=["event_id"])
     return out.withColumn("prediction", F.round("prediction", 2))
 

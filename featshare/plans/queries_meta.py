@@ -313,7 +313,7 @@ def j11(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     wanted = fx.registered_models.select(
         "catalog_name",
-        (F.substring("catalog_name", 8, 1000).cast("int") % 2 == 0).alias("use_existing")).distinct()
+        (F.expr("substring(catalog_name, 8)").cast("int") % 2 == 0).alias("use_existing")).distinct()
     return catalog_plan(wanted, fx.catalogs)
 
 
@@ -715,7 +715,7 @@ def c10(spark, sf_dir):
 
 
 def _catalog_settings(registered_models):
-    num = F.substring("catalog_name", 8, 1000).cast("int")
+    num = F.expr("substring(catalog_name, 8)").cast("int")
     return registered_models.select("catalog_name").distinct().select(
         "catalog_name", (num % 3 != 0).alias("create_online_table"), (num % 2 == 0).alias("deploy_serving"))
 

@@ -1,8 +1,9 @@
 """Session construction and the shared work folder.
 
 Outputs that must outlive a task (published copies, stream checkpoints, checkpointed
-lineage) go under the folder the cluster names in ``spark.checkpoint.dir``. Only when
-that is unset (local tests) do we create one of our own.
+lineage) go under the folder the cluster names in ``spark.checkpoint.dir``. Only a local
+session may leave it unset and gets a temporary folder; on a cluster that is an error,
+because executors would not see it.
 """
 
 from __future__ import annotations
@@ -42,10 +43,13 @@ def get_session(master: str | None = None, app: str = "featshare",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; set a local one only if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a local session without one gets
+    its own."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="featshare-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root

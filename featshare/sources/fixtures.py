@@ -7,8 +7,6 @@ with the base tables (model versions with orders, dependencies with line items,
 
 from __future__ import annotations
 
-import weakref
-
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -49,7 +47,7 @@ select distinct concat('share_', cast(p_partkey % 5 as string)) as share_name,
        concat('prod.ml.', case when p_partkey % 4 = 0 then 'fn_' else 'features_' end,
               cast(p_partkey % 40 as string)) as object_name,
        case when p_partkey % 4 = 0 then 'FUNCTION' else 'TABLE' end as object_type
-from part where p_partkey % 3 = 0 and p_partkey % 40 <> 7 and p_partkey < 100
+from part where p_partkey % 3 = 0 and p_partkey % 40 <> 7
 union
 select distinct concat('share_', cast(o_custkey % 5 as string)) as share_name,
        concat('prod.ml.model_', cast(o_custkey % 50 as string)) as object_name,
@@ -67,7 +65,7 @@ select concat('recipient_', cast(s_suppkey as string)) as recipient_name,
        case when s_suppkey % 4 = 0 then 'TOKEN' else 'DATABRICKS' end as authentication_type,
        case when s_suppkey % 4 = 0 then null
             else concat('aws:ms-', cast(s_nationkey % 5 as string)) end as global_metastore_id
-from supplier where s_suppkey % 2 = 0 or s_suppkey < 20""", ("supplier",)),
+from supplier where s_suppkey % 3 <> 1""", ("supplier",)),
 
     "status_events": ("""
 select concat('main.default.t', cast(user_id as string), '_online') as object_name, ts,
@@ -76,6 +74,19 @@ select concat('main.default.t', cast(user_id as string), '_online') as object_na
             else 'OFFLINE_FAILED' end as state
 from events""", ("events",)),
 
+    # Added here: request bodies of every kind a scoring service receives.
+    "score_requests": ("""
+select event_id, user_id,
+       case event_id % 8
+         when 1 then concat('{"inputs": [{"k": ', cast(user_id as string), '}, {"k": ', cast(user_id + 1 as string), '}]}')
+         when 2 then concat('{"inputs": [{"k": ', cast(user_id as string), '}, null, {"k": "x"}, 5, {"k": null}]}')
+         when 3 then '{"k": "x"}'
+         when 4 then concat('{"k": ', cast(user_id as string))
+         when 5 then '{"inputs": []}'
+         when 6 then concat('{"inputs": ', cast(user_id as string), '}')
+         else props end as body
+from events""", ("events",)),
+
     "log_messages": ("""
 select event_id, case event_type when 'view' then 'Share does NOT EXIST'
        when 'click' then 'Recipient not_found' when 'purchase' then 'Object already exists in share'
@@ -197,31 +208,9 @@ from customer""", ("customer",)),
 }
 
 
-# Per session: (folder, table) -> DataFrame. Only the analyzed plan and its file index are
-# kept (no rows): listing a folder and reading footers is paid once per session instead of
-# at every use, which on a large table folder is the expensive part. clear_cache() drops
-# them when the files change.
-_PLANS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
-
-
-def _cached(spark: SparkSession, key: tuple, build):
-    plans = _PLANS.setdefault(spark, {})
-    if key not in plans:
-        plans[key] = build()
-    return plans[key]
-
-
-def clear_cache(spark: SparkSession | None = None) -> None:
-    if spark is None:
-        _PLANS.clear()
-    else:
-        _PLANS.pop(spark, None)
-
-
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return _cached(spark, ("base", path), lambda: spark.read.parquet(path))
+    """One of the driver's parquet tables, as its files are now."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def register_base(spark: SparkSession, sf_dir: str, names) -> None:
@@ -232,12 +221,8 @@ def register_base(spark: SparkSession, sf_dir: str, names) -> None:
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived metadata table, planned by Spark SQL over the base tables."""
     sql, bases = DERIVED[name]
-
-    def build():
-        register_base(spark, sf_dir, bases)
-        return spark.sql(sql)
-
-    return _cached(spark, ("derived", sf_dir.rstrip("/"), name), build)
+    register_base(spark, sf_dir, bases)
+    return spark.sql(sql)
 
 
 class Fixtures:

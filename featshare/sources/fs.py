@@ -17,6 +17,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def is_dir(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """A folder written by a finished Spark job carries a ``_SUCCESS`` marker."""
     return exists(spark, f"{path.rstrip('/')}/_SUCCESS")

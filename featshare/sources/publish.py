@@ -156,7 +156,8 @@ def last_change_per_key(changes: DataFrame, keys, order_col: str | None = None,
 def apply_changes(state: DataFrame, changes: DataFrame, primary_keys, order_col: str | None = None,
                   change_col: str = "change_type") -> DataFrame:
     """S9 core: the stored rows after the changes. ``state`` holds the table's columns plus
-    ``_order`` and ``_deleted``; ``changes`` holds the table's columns plus ``change_col``
+    ``_order`` and ``_deleted`` (a plain table, without them, gives the plain new table);
+    ``changes`` holds the table's columns plus ``change_col``
     (insert, delete, update_preimage, update_postimage) and optionally ``order_col``.
 
     With ``order_col``, a change applies only if its order exceeds that of the stored row or
@@ -164,6 +165,10 @@ def apply_changes(state: DataFrame, changes: DataFrame, primary_keys, order_col:
     changes apply as they come, one per key.
     """
     keys = [primary_keys] if isinstance(primary_keys, str) else list(primary_keys)
+    if _DELETED not in state.columns:
+        stored = state.withColumn(_ORDER, _order_value(state, None)).withColumn(_DELETED, F.lit(False))
+        after = apply_changes(stored, changes, keys, order_col, change_col)
+        return after.where(f"not {_DELETED}").drop(_ORDER, _DELETED)
     eff = last_change_per_key(changes, keys, order_col, change_col)
     values = [c for c in state.columns if c not in (*keys, _ORDER, _DELETED)]
     new = eff.select(*keys, F.struct(

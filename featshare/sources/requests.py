@@ -1,4 +1,4 @@
-"""Score request bodies (JSON) to one row per input record."""
+"""Score request bodies (JSON) to one row per input record, good and bad ones apart."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
 _CORRUPT = "_corrupt_body"
 
 
@@ -16,33 +15,58 @@ def _schema(record_schema) -> T.StructType:
     return record_schema
 
 
-def parse_score_requests(df: DataFrame, body_col: str, record_schema, id_cols=(),
-                         inputs_field: str = "inputs") -> DataFrame:
-    """Parse bodies of the form ``{"inputs": [{...}, ...]}`` or a single record
-    ``{...}`` into rows ``(*id_cols, pos, *record fields)``.
+def read_score_requests(df: DataFrame, body_col: str, record_schema, id_cols=(), inputs_field: str = "inputs",
+                        required=()) -> DataFrame:
+    """Every record received: ``(*id_cols, pos, rec, record, reason)``.
 
-    Parsing is one ``from_json`` per body on the executors; records keep their position.
-    Bodies that do not parse give no rows (see :func:`request_rejects`).
+    A body is ``{"inputs": [{...}, ...]}`` or a single record ``{...}``. ``rec`` is the typed
+    record, ``record`` its JSON text, ``reason`` null for a good record, else ``malformed`` (the
+    body is no JSON object), ``inputs_not_a_list``, ``null_record``, ``mistyped`` (no object, or
+    a field that is not of its type) or ``missing`` (a ``required`` field is absent or null).
+    A bad record leaves its neighbours alone; a bad body counts as one record; an empty list
+    has none. Fields the schema doesn't name are ignored. Built-in functions only.
     """
     rec = _schema(record_schema)
     if inputs_field in rec.fieldNames() or _CORRUPT in rec.fieldNames():
         raise ValueError(f"record fields may not be named {inputs_field!r} or {_CORRUPT!r}")
-    # one parse per body: the single-record fields, the listed records and a column that
-    # is set only when the body is not JSON at all
-    both = T.StructType(list(rec.fields) + [T.StructField(inputs_field, T.ArrayType(rec)),
-                                            T.StructField(_CORRUPT, T.StringType())])
-    parsed = F.from_json(F.col(body_col), both, {"columnNameOfCorruptRecord": _CORRUPT})
-    single = F.struct(*[parsed[f.name].alias(f.name) for f in rec.fields])
-    records = (F.when(parsed[_CORRUPT].isNotNull() | parsed.isNull(), F.array().cast(T.ArrayType(rec)))
-               .when(parsed[inputs_field].isNotNull(), parsed[inputs_field])
-               .otherwise(F.array(single)))
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    # null entries of a list are dropped after the explode (a plain filter, which stays
-    # in whole-stage codegen, unlike a lambda over the array); pos keeps the body position
-    exploded = df.select(*id_cols, F.posexplode(records).alias("pos", "rec")).where(F.col("rec").isNotNull())
-    return exploded.select(*id_cols, "pos", *[F.col("rec")[f.name].alias(f.name) for f in rec.fields])
+    body = F.col(body_col)
+    outer = F.from_json(body, T.StructType([T.StructField(inputs_field, T.StringType()),
+                                            T.StructField(_CORRUPT, T.StringType())]),
+                        {"columnNameOfCorruptRecord": _CORRUPT})
+    listed = F.coalesce(F.array_contains(F.json_object_keys(body), inputs_field), F.lit(False))
+    entries = F.from_json(outer[inputs_field], T.ArrayType(T.StringType()))
+    none = F.lit(None).cast("string")
+    wrong = (F.when(outer.isNull() | outer[_CORRUPT].isNotNull(), F.lit("malformed"))
+             .when(listed & entries.isNull(), F.lit("inputs_not_a_list")))
+    one = F.array(F.when(wrong.isNull(), body).otherwise(none))
+    rows = df.select(*id_cols, wrong.alias("_wrong"), body.alias("_body"), F.posexplode(
+        F.when(wrong.isNull() & listed, entries).otherwise(one)).alias("pos", "_record"))
+    typed = F.from_json("_record", T.StructType([*rec.fields, T.StructField(_CORRUPT, T.StringType())]),
+                        {"columnNameOfCorruptRecord": _CORRUPT})
+    rows = rows.withColumn("_typed", typed)
+    reason = (F.when(F.col("_wrong").isNotNull(), F.col("_wrong"))
+              .when(F.col("_record").isNull(), F.lit("null_record"))
+              .when(F.col("_typed").isNull() | F.col("_typed")[_CORRUPT].isNotNull(), F.lit("mistyped")))
+    for name in required:
+        reason = reason.when(F.col("_typed")[name].isNull(), F.lit("missing"))
+    return rows.select(
+        *id_cols, "pos", F.struct(*[F.col("_typed")[f.name].alias(f.name) for f in rec.fields]).alias("rec"),
+        F.when(F.col("_wrong").isNotNull(), F.col("_body")).otherwise(F.col("_record")).alias("record"),
+        reason.alias("reason"))
+
+
+def parse_score_requests(df: DataFrame, body_col: str, record_schema, id_cols=(),
+                         inputs_field: str = "inputs", required=()) -> DataFrame:
+    """The good records as rows ``(*id_cols, pos, *record fields)``; with
+    :func:`request_rejects` they are all that was received."""
+    rows = read_score_requests(df, body_col, record_schema, id_cols, inputs_field, required).where("reason is null")
+    return rows.select(*[c for c in rows.columns if c not in ("rec", "record", "reason")], "rec.*")
 
 
-def request_rejects(df: DataFrame, body_col: str) -> DataFrame:
-    """Bodies that are not JSON objects at all."""
-    return df.where(F.json_object_keys(F.col(body_col)).isNull())
+def request_rejects(df: DataFrame, body_col: str, record_schema, id_cols=(), inputs_field: str = "inputs",
+                    required=()) -> DataFrame:
+    """The bad records: ``(*id_cols, pos, reason, record)``."""
+    rows = read_score_requests(df, body_col, record_schema, id_cols, inputs_field, required)
+    return rows.where("reason is not null").drop("rec").select(
+        *[c for c in rows.columns if c not in ("rec", "record", "reason")], "reason", "record")

@@ -1,7 +1,6 @@
-"""Structured Streaming operators: readiness with state (T3), scoring (T4), publishing (T5)."""
+"""Structured Streaming operators: readiness (T3), publishing (T5); T4 is D3 on a stream."""
 
 from featshare.streaming.publish_stream import publish_batch, publish_stream
 from featshare.streaming.readiness_stream import readiness_stream
-from featshare.streaming.score_stream import score_stream
 
-__all__ = ["publish_batch", "publish_stream", "readiness_stream", "score_stream"]
+__all__ = ["publish_batch", "publish_stream", "readiness_stream"]

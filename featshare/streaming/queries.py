@@ -1,10 +1,9 @@
 """Registered streaming queries (T3-T5) and their oracles.
 
-Each copies ``events`` once into a fresh folder split by day (one write job, no shuffle;
-file times set in day order so the file source reads the days in order), reads it as a file
-stream with a few files per micro-batch under ``trigger(availableNow=True)``, writes
-to a file sink or ``foreachBatch`` in the shared work folder, and returns what it
-wrote, read back as a batch frame. No server and no port are involved.
+Each reads the given ``events`` parquet in place as a file stream under
+``trigger(availableNow=True)``, writes to a file sink or ``foreachBatch`` in the shared work
+folder, and returns what it wrote, read back as a batch frame. No server and no port are
+involved.
 """
 
 from __future__ import annotations
@@ -15,42 +14,25 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featshare.plans.queries_data import OLS_CTES, fitted
+from featshare.operators.changes import snapshot_as_of
+from featshare.operators.training import score_batch
+from featshare.plans.queries_data import OLS_CTES, REQUEST_CTES, SCORED, fitted
 from featshare.plans.registry import online_table_state_sql, register
 from featshare.session import work_dir
 from featshare.sources import fs
 from featshare.sources.fixtures import DERIVED, base, derived
-from featshare.sources.publish import read_published
+from featshare.sources.publish import publish_snapshot, read_published
 from featshare.streaming.publish_stream import publish_stream
 from featshare.streaming.readiness_stream import readiness_stream
-from featshare.streaming.score_stream import score_stream
 
-FILES_PER_BATCH = 8
 
-
-def stage_events(spark: SparkSession, sf_dir: str, name: str, closing_row: dict | None = None) -> str:
-    """Copy ``events`` into ``<work>/day=YYYY-MM-DD/`` files, oldest day oldest file.
-    ``closing_row`` (an end-of-stream marker event) goes last, in its own file."""
-    d = work_dir(spark, name)
-    ev = base(spark, sf_dir, "events")
-    ev.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(d)
-    t0 = 1_600_000_000_000
-    files = fs.list_files(spark, d)
-    by_day = sorted(files, key=lambda p: (p.split("day=")[1].split("/")[0], p))
-    for i, p in enumerate(by_day):
-        fs.set_mtime(spark, p, t0 + i * 1000)
-    if closing_row is not None:
-        close_dir = f"{d}/day=9999-12-31"
-        spark.createDataFrame([closing_row], ev.schema).coalesce(1).write.parquet(close_dir)
-        for p in fs.list_files(spark, close_dir):
-            fs.set_mtime(spark, p, t0 + (len(by_day) + 10) * 1000)
-    return d
-
-
-def events_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    schema = base(spark, sf_dir, "events").schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
-            .parquet(folder))
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as a stream, read where it is. A file source lists folders: a
+    table that is one file is named by a filter on its folder."""
+    folder, reader = sf_dir.rstrip("/"), spark.readStream.schema(base(spark, sf_dir, "events").schema)
+    if fs.is_dir(spark, f"{folder}/events.parquet"):
+        return reader.parquet(f"{folder}/events.parquet")
+    return reader.option("pathGlobFilter", "events.parquet").parquet(folder)
 
 
 def derived_on(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -97,23 +79,27 @@ def t3(spark, sf_dir):
     close_ts = datetime(2099, 1, 1)
     closing = {"event_id": -1, "ts": close_ts, "user_id": CLOSE_USER, "event_type": "view",
                "value": 0.0, "props": "{}"}
-    folder = stage_events(spark, sf_dir, "t3", closing)
-    status = derived_on(spark, events_stream(spark, sf_dir, folder), "status_events")
-    verdicts = readiness_stream(status, T3_TIMEOUT_S, T3_START, T3_DELAY,
-                                drop_objects=[f"main.default.t{CLOSE_USER}_online"])
-    out = run_to_files(verdicts, "t3")
-    return spark.read.parquet(out).select(
-        "object_name", "verdict", F.col("decided_at").cast("timestamp_ntz").alias("decided_at"))
+    # an end-of-stream marker in a file of its own moves the watermark past every deadline
+    end, events = work_dir(spark, "t3-end"), base(spark, sf_dir, "events")
+    spark.createDataFrame([closing], events.schema).coalesce(1).write.parquet(end)
+    stream = events_stream(spark, sf_dir).unionByName(spark.readStream.schema(events.schema).parquet(end))
+    verdicts = readiness_stream(derived_on(spark, stream, "status_events"), T3_TIMEOUT_S, T3_START, T3_DELAY)
+    decided = spark.read.parquet(run_to_files(verdicts, "t3"))
+    # the objects waited on: those seen since the start; the ones seen too late time out
+    waited = derived(spark, sf_dir, "status_events").where(
+        F.col("ts") >= F.lit(T3_START).cast("timestamp_ntz")).select("object_name").distinct()
+    return waited.join(decided, "object_name", "left").select(
+        "object_name", F.coalesce("verdict", F.lit("timeout")).alias("verdict"), "decided_at")
 
 
 # ---------------------------------------------------------------- T4
 
 def t4(spark, sf_dir):
     model = fitted(spark, sf_dir)
-    folder = stage_events(spark, sf_dir, "t4")
     gap = derived(spark, sf_dir, "feature_gap")
-    scored = score_stream(events_stream(spark, sf_dir, folder), "props", "k bigint", model,
-                          features=gap, lookup_key="k", table_key="id", id_cols=["event_id"])
+    requests = derived_on(spark, events_stream(spark, sf_dir), "score_requests")
+    scored = score_batch(requests, "body", "k bigint", model, features=gap, lookup_key="k", table_key="id",
+                         id_cols=["event_id"])
     out = run_to_files(scored, "t4")
     return spark.read.parquet(out).withColumn("prediction", F.round("prediction", 2))
 
@@ -124,9 +110,13 @@ T5_COLUMNS = ["user_id", "commit_version", "commit_ts", "value"]
 
 
 def t5(spark, sf_dir):
-    folder = stage_events(spark, sf_dir, "t5")
-    changes = derived_on(spark, events_stream(spark, sf_dir, folder), "change_rows")
+    """The change stream on a target that holds a snapshot of the first half of the changes."""
+    changes = derived_on(spark, events_stream(spark, sf_dir), "change_rows")
     target, ckpt = work_dir(spark, "t5-target"), work_dir(spark, "t5-ckpt")
+    known = derived(spark, sf_dir, "change_rows")
+    half = known.agg((F.max("commit_version") / 2).cast("bigint")).first()[0]
+    publish_snapshot(snapshot_as_of(known, ["user_id"], version=half).select(*T5_COLUMNS), target, ["user_id"],
+                     order_col="commit_version")
     q = publish_stream(changes, target, ["user_id"], T5_COLUMNS, ckpt, order_col="commit_version")
     q.awaitTermination()
     if q.exception() is not None:
@@ -138,12 +128,8 @@ def register_streaming() -> None:
     register("t3_readiness_stream", fixtures=["status_events"], ctes=_t3_oracle_ctes(), oracle="""
 select o.object_name, coalesce(d.dcls, 'timeout') as verdict, d.dts as decided_at
 from objs o left join dc d on o.object_name = d.object_name""")(t3)
-    register("t4_score_stream", fixtures=["labels_frame", "feature_gap"], ctes=OLS_CTES, oracle="""
-select e.event_id, 0 as pos, cast(json_extract(e.props, '$.k') as bigint) as k,
-       g.feature_1, g.feature_2,
-       round((select b0 from model) + (select b1 from model) * g.feature_1
-             + (select b2 from model) * g.feature_2, 2) as prediction
-from events e left join feature_gap g on cast(json_extract(e.props, '$.k') as bigint) = g.id""")(t4)
+    register("t4_score_stream", fixtures=["labels_frame", "feature_gap"], ctes={**OLS_CTES, **REQUEST_CTES},
+             oracle=SCORED)(t4)
     register("t5_publish_stream", fixtures=["change_rows"], oracle="""
 select c.user_id, c.commit_version, c.commit_ts, c.value
 from change_rows c join (

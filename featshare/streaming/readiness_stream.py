@@ -1,104 +1,46 @@
 """Readiness verdicts on a stream of status events.
 
-Per object, the first deciding state (ready / failed) inside ``[start, start + timeout)``
-wins; an object with none gets ``timeout`` once event time passes the deadline. Events
-arrive out of order, so a verdict is only emitted when the watermark has passed the
-earliest deciding event (nothing earlier can still arrive: it would be late and
-dropped) or the deadline. Each object keeps a ``decided`` flag so it gets exactly one
-verdict. Classification (C6) runs JVM-side before the state step; the pandas function
-only keeps three values per object.
+The wait ``[start, start + timeout)`` is one event-time window. Per object, the earliest
+deciding state (ready / failed) inside it wins; an object seen there without one gets
+``timeout``. The aggregate is the ``min`` of one long (as in T1): Spark combines it before the
+shuffle, so an object with a third of all rows costs one partial row per task, and no Python
+runs. Verdicts come out once, when the watermark passes the deadline; the state goes with
+them, and later rows are outside the window and cannot bring an object back.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from featshare.functions.states import state_class
-
-OUT_SCHEMA = T.StructType([
-    T.StructField("object_name", T.StringType()),
-    T.StructField("verdict", T.StringType()),
-    T.StructField("decided_at", T.TimestampType()),
-])
-STATE_SCHEMA = T.StructType([
-    T.StructField("decided", T.BooleanType()),
-    T.StructField("dts_us", T.LongType()),
-    T.StructField("dcls", T.StringType()),
-    T.StructField("drank", T.IntegerType()),
-])
-
-
-def _us(dt: datetime) -> int:
-    return int(round(dt.replace(tzinfo=timezone.utc).timestamp() * 1_000_000))
-
-
-def _make_fn(start_us: int, deadline_us: int):
-    def emit(key, dts_us, dcls):
-        if dts_us is not None and dts_us < deadline_us:
-            at = pd.Series([pd.Timestamp(dts_us, unit="us")], dtype="datetime64[us]")
-            return pd.DataFrame({"object_name": [key[0]], "verdict": [dcls], "decided_at": at})
-        return pd.DataFrame({"object_name": [key[0]], "verdict": ["timeout"],
-                             "decided_at": pd.Series([pd.NaT], dtype="datetime64[us]")})
-
-    def fn(key, pdfs, state: GroupState):
-        decided, dts_us, dcls, drank = (state.get if state.exists else (False, None, None, None))
-        if state.hasTimedOut:
-            if not decided:
-                state.update((True, dts_us, dcls, drank))
-                yield emit(key, dts_us, dcls)
-            return
-        for pdf in pdfs:  # Arrow-sized chunks of this object's rows; O(1) kept per object
-            if decided:
-                continue
-            us = pdf["ts"].astype("datetime64[us]").astype("int64")
-            ok = pdf["state_class"].isin(["ready", "failed"]) & (us >= start_us) & (us < deadline_us)
-            if not ok.any():
-                continue
-            # earliest deciding event, ready before failed at equal times
-            packed = int((us[ok] * 2 + (pdf["state_class"][ok] != "ready").astype("int64")).min())
-            c = (packed // 2, packed % 2)
-            if dts_us is None or c < (dts_us, drank):
-                dts_us, drank = c
-                dcls = "ready" if drank == 0 else "failed"
-        if decided:
-            return
-        # event-time timeouts are in milliseconds; firing once the watermark passes the
-        # millisecond that holds the deciding event means nothing earlier can arrive.
-        fire_at_ms = (min(dts_us, deadline_us) if dts_us is not None else deadline_us) // 1000
-        if state.getCurrentWatermarkMs() > fire_at_ms:
-            state.update((True, dts_us, dcls, drank))
-            yield emit(key, dts_us, dcls)
-            return
-        state.update((False, dts_us, dcls, drank))
-        state.setTimeoutTimestamp(fire_at_ms)
-
-    return fn
+from featshare.operators.readiness import DECIDING, from_micros, to_micros
 
 
 def readiness_stream(events: DataFrame, timeout_s: int, start: datetime, delay: str = "1 hour",
                      kind: str = "online_table", object_col: str = "object_name", ts_col: str = "ts",
-                     state_col: str = "state", drop_objects=()) -> DataFrame:
+                     state_col: str = "state") -> DataFrame:
     """T3 on a streaming frame of status events; returns a streaming frame of verdicts
-    (append mode). ``ts_col`` may be timestamp_ntz: it is read as UTC. Rows of objects in
-    ``drop_objects`` (end-of-stream markers) move the watermark but get no verdict."""
-    start_us = _us(start)
-    deadline_us = _us(start + timedelta(seconds=int(timeout_s)))
-    # events before the start do not make an object part of the wait (as in T1); the
-    # bound is compared in the column's own type, so no time zone step is involved
-    ts_type = events.schema[ts_col].dataType
-    ev = events.where(F.col(ts_col) >= F.lit(start.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(ts_type))
-    ev = ev.select(F.col(object_col).alias("object_name"),
-                   F.col(ts_col).cast("timestamp").alias("ts"),
-                   state_class(kind, state_col).alias("state_class"))
-    ev = ev.withWatermark("ts", delay)
-    if drop_objects:
-        ev = ev.where(~F.col("object_name").isin(*drop_objects))
-    return ev.groupBy("object_name").applyInPandasWithState(
-        _make_fn(start_us, deadline_us), OUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    (append mode): object_name, verdict, decided_at. Times are read in the column's own type
+    (timestamp_ntz as UTC). An object first seen after the deadline was not waited for."""
+    timeout_us = int(timeout_s) * 1_000_000
+    start_us = round(start.replace(tzinfo=timezone.utc).timestamp() * 1_000_000)
+    own = events.schema[ts_col].dataType
+    ts = F.timestamp_micros(to_micros(F.col(ts_col), own))  # watermarks need an instant
+    ev = (events.select(F.col(object_col).alias("object_name"), ts.alias("ts"),
+                        state_class(kind, state_col).alias("state_class"))
+          .withWatermark("ts", delay)
+          .where((F.col("ts") >= F.timestamp_micros(F.lit(start_us)))
+                 & (F.col("ts") < F.timestamp_micros(F.lit(start_us + timeout_us)))))
+    rank = F.when(F.col("state_class") == "ready", F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+    packed = F.when(F.col("state_class").isin(*DECIDING), F.unix_micros("ts") * 2 + rank)
+    window = F.window("ts", f"{timeout_us} microseconds", f"{timeout_us} microseconds",
+                      f"{start_us % timeout_us} microseconds")
+    agg = ev.groupBy("object_name", window.alias("w")).agg(F.min(packed).alias("_p"))
+    return agg.select(
+        "object_name",
+        F.when(F.col("_p").isNull(), F.lit("timeout")).when(F.pmod("_p", F.lit(2)) == 0, F.lit("ready"))
+        .otherwise(F.lit("failed")).alias("verdict"),
+        from_micros(F.expr("(_p - pmod(_p, 2)) div 2"), own).alias("decided_at"))

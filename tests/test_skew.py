@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featshare.operators import feature_lookup, latest_model_version, readiness
+from featshare.operators.sharing import share_details
 from featshare.operators.lookup import hot_keys
 from featshare.sources import check_primary_key
 
@@ -52,6 +53,46 @@ def test_aqe_splits_the_hot_partition(spark, skewed):
             spark.conf.set(k, v)
 
 
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    same = spark.range(9000).select(F.lit(7).alias("k"), F.lit("x").alias("v")).union(
+        spark.createDataFrame([(1, "y"), (None, "z")], "k int, v string"))
+    feats = spark.createDataFrame([(7, 1.0), (1, 2.0)], "k int, f double")
+    out = feature_lookup(same, feats, "k", ["f"], hot_key_fraction=0.5, salt_buckets=4)
+    assert sorted(map(repr, map(tuple, out.groupBy("k", "v", "f").count().collect()))) == \
+        ["(1, 'y', 2.0, 1)", "(7, 'x', 1.0, 9000)", "(None, 'z', None, 1)"]
+
+
+@pytest.mark.parametrize("fraction", [0, 1, 1e-9, -0.5, 2])
+def test_hot_key_fraction_is_bounded(spark, skewed, fraction):
+    with pytest.raises(ValueError):
+        feature_lookup(*skewed, "k", ["f"], hot_key_fraction=fraction)
+
+
+def test_hot_share_is_split(spark):
+    """A share with a third of the objects: the items' side of the join is split."""
+    objects = spark.range(60000).select(
+        F.concat(F.lit("share_"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 500)).alias("share_name"),
+        F.concat(F.lit("o"), "id").alias("object_name"), F.lit("TABLE").alias("object_type"))
+    shares = spark.range(600).select(F.concat(F.lit("share_"), "id").alias("share_name"), F.lit("c").alias("comment"))
+    grants = spark.createDataFrame([("share_0", "p", "SELECT")], "share_name string, principal string, privilege string")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = share_details(shares, objects, grants)
+        got = out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == 60000 + 1 + 100  # items, the grant, shares without anything
+    assert {r.n_objects for r in got if r.share_name == "share_0"} == {20000 + 80}
+
+
 def test_hot_group_aggregates_are_exact(spark, skewed):
     labels, _ = skewed
     dup = check_primary_key(labels, ["k"]).where("k = 7").first()

@@ -1,13 +1,12 @@
 """Streams survive a restart: T3 resumed from its checkpoint equals batch T1, one verdict
-per object across both runs."""
+per object across both runs, and no state after the deadline."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from featshare.operators import readiness
 from featshare.session import work_dir
-from featshare.sources import fs
 from featshare.sources.fixtures import Fixtures
 from featshare.streaming import queries as Q
 from featshare.streaming.readiness_stream import readiness_stream
@@ -15,39 +14,33 @@ from featshare.streaming.readiness_stream import readiness_stream
 from conftest import SF_SMALL
 
 
-def _move_days(spark, staged, src, days):
-    for d in days:
-        fs.rename(spark, f"{staged}/{d}", f"{src}/{d}")
-
-
 def test_readiness_stream_restart_equals_batch(spark):
-    closing = {"event_id": -1, "ts": datetime(2099, 1, 1), "user_id": -1, "event_type": "view",
-               "value": 0.0, "props": "{}"}
-    staged = Q.stage_events(spark, SF_SMALL, "t-restart", closing)
-    days = sorted(fs.list_dirs(spark, staged))
-    assert days[-1] == "day=9999-12-31"
+    status = Fixtures(spark, SF_SMALL).status_events
     src, out, ckpt = work_dir(spark, "t-src"), work_dir(spark, "t-out"), work_dir(spark, "t-ckpt")
-    fs.mkdirs(spark, src)
+    deadline = Q.T3_START + timedelta(seconds=Q.T3_TIMEOUT_S)
+    left = {}
 
-    def run():
-        status = Q.derived_on(spark, Q.events_stream(spark, SF_SMALL, src), "status_events")
-        v = readiness_stream(status, Q.T3_TIMEOUT_S, Q.T3_START, Q.T3_DELAY,
-                             drop_objects=["main.default.t-1_online"])
+    def run(more):
+        more.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(status.schema).parquet(src)
+        v = readiness_stream(stream, Q.T3_TIMEOUT_S, Q.T3_START, Q.T3_DELAY)
         q = (v.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
              .outputMode("append").trigger(availableNow=True).start())
         q.awaitTermination()
         assert q.exception() is None
-
-    half = len(days) // 2
-    _move_days(spark, staged, src, days[:half])
-    run()
-    first = spark.read.parquet(out).count()
-    _move_days(spark, staged, src, days[half:])
-    run()
-    got = spark.read.parquet(out).select("object_name", "verdict",
-                                         F.col("decided_at").cast("timestamp_ntz").alias("decided_at"))
+        ops = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        left["rows"] = ops[-1]
+        return spark.read.schema(v.schema).parquet(out)
+
+    inside = status.where(F.col("ts") < F.lit(deadline).cast("timestamp_ntz"))
+    assert run(inside.where("hash(ts) % 2 = 0")).count() == 0  # the watermark has not passed the deadline
+    assert left["rows"] > 0
+    run(inside.where("hash(ts) % 2 <> 0"))
+    end = spark.createDataFrame([("main.default.end", datetime(2099, 1, 1), "ONLINE")], status.schema)
+    got = run(end)
+    late = status.limit(50).withColumn("ts", F.lit(datetime(2098, 1, 1)).cast("timestamp_ntz"))
+    got = run(late)  # rows after the watermark bring nothing back
+    assert left["rows"] == 0
     assert got.count() == got.select("object_name").distinct().count()  # one verdict per object
-    want = readiness(Fixtures(spark, SF_SMALL).status_events, Q.T3_TIMEOUT_S, start=Q.T3_START) \
-        .select("object_name", "verdict", "decided_at")
-    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
-    assert first <= got.count()
+    want = readiness(inside, Q.T3_TIMEOUT_S, start=Q.T3_START).select("object_name", "verdict", "decided_at")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))

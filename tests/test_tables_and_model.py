@@ -8,6 +8,7 @@ from featshare.operators import FeatureLookup, create_training_set, feature_look
 from featshare.session import work_dir
 from featshare.sources import (check_not_null, check_primary_key, create_feature_table, drop_feature_table,
                                ensure_feature_table, parse_score_requests, read_feature_table,
+                               request_rejects,
                                register_feature_table)
 from featshare.sources.feature_tables import read_metadata
 
@@ -97,6 +98,48 @@ def test_parse_requests_both_forms(spark):
     assert got == [(1, 0, 1, None), (1, 1, 2, None), (1, 2, 3, None), (2, 0, None, 1.0), (3, 0, 7, None)]
 
 
+BODIES = ['{"k":1}', '{"inputs":[{"k":1},{"k":"x"},null,5,"s",{"k":2.5},{"z":1},[1]]}', '{"inputs":[]}', '{"inputs":5}',
+          '{"inputs":null}', "not json {", "[1]", "null", "", None, '{"k":"x"}', "{}", '{"k":1', '{"inputs":"a"}']
+
+
+def test_received_is_parsed_plus_rejected(spark):
+    df = spark.createDataFrame(list(enumerate(BODIES)), "i int, body string")
+    good = sorted((r.i, r.pos, r.k) for r in parse_score_requests(df, "body", "k bigint", ["i"]).collect())
+    assert good == [(0, 0, 1), (1, 0, 1), (1, 6, None), (11, 0, None)]
+    bad = sorted((r.i, r.pos, r.reason) for r in request_rejects(df, "body", "k bigint", ["i"]).collect())
+    assert bad == [(1, 1, "mistyped"), (1, 2, "null_record"), (1, 3, "mistyped"), (1, 4, "mistyped"), (1, 5, "mistyped"),
+                   (1, 7, "mistyped"), (3, 0, "inputs_not_a_list"), (4, 0, "inputs_not_a_list"), (5, 0, "malformed"),
+                   (6, 0, "malformed"), (7, 0, "malformed"), (8, 0, "malformed"), (9, 0, "malformed"),
+                   (10, 0, "mistyped"), (12, 0, "malformed"), (13, 0, "inputs_not_a_list")]
+    missing = request_rejects(df, "body", "k bigint", ["i"], required=["k"]).where("reason = 'missing'")
+    assert sorted((r.i, r.pos) for r in missing.collect()) == [(1, 6), (11, 0)]
+
+
+@pytest.mark.parametrize("d", [1, 3, 40])
+def test_train_linear_one_rule_for_every_width(spark, d):
+    """Null, NaN and infinite rows are dropped and counted, collinear features fit, whatever d."""
+    import numpy as np
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(400, d)) * rng.uniform(0.1, 100, d)
+    if d > 1:
+        x[:, -1] = 2 * x[:, 0]
+    y = x @ np.arange(1, d + 1) + 7
+    rows = [(*map(float, r), float(t)) for r, t in zip(x, y)]
+    rows += [(*r[:-1], bad) for r, bad in zip(rows[:4], (None, float("nan"), float("inf"), None))]
+    rows += [(bad, *r[1:]) for r, bad in zip(rows[4:7], (None, float("nan"), float("-inf")))]
+    names = [f"f{i}" for i in range(d)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*names, "y"])).repartition(7)
+    m = train_linear(df, names, "y")
+    assert (m.n_rows, m.n_dropped) == (400, 7)
+    fit = x @ np.array(m.coefficients) + m.intercept
+    assert np.abs(fit - y).max() < 1e-6 * np.abs(y).max()
+    if d > 1:  # the minimum-norm solution of the collinear pair
+        c = 1 + 2 * d
+        assert np.allclose([m.coefficients[0], m.coefficients[-1]], [c / 5, 2 * c / 5], atol=1e-6)
+    with pytest.raises(ValueError):
+        train_linear(df.limit(0), names, "y")
+
+
 def test_score_batch_skips_lookup_with_all_features(spark, demo):
     model = LinearModel(("feature_1", "feature_2"), (1.0, 1.0), 0.0)
     full = spark.createDataFrame([(1, '{"inputs":[{"feature_1":1.0,"feature_2":10.0}]}')], "req int, body string")
