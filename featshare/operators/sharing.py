@@ -121,23 +121,41 @@ WORKLOAD_SIZE = "Small"
 SCALE_TO_ZERO = True
 
 
+def _served(endpoints: DataFrame) -> DataFrame:
+    """Per endpoint, from one row per served entity: its states, the number of entities and
+    the list of them (an endpoint's definition, a few entries)."""
+    return endpoints.groupBy("endpoint_name").agg(
+        F.max("ready").alias("ready"), F.max("config_update").alias("config_update"),
+        F.count(F.lit(1)).alias("n_served"),
+        F.array_sort(F.collect_list(F.struct("entity_name", "entity_version"))).alias("served"))
+
+
 def endpoint_plan(models: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Per (model, latest version): ``create`` when no endpoint has the model's
     name, ``current`` when it already serves this entity and version, else ``update``
-    (after the endpoint is ready for an update)."""
-    m = models.select("model_name", "version", endpoint_name("model_name").alias("endpoint_name"))
-    e = endpoints.select("endpoint_name", F.col("entity_name").alias("current_entity"),
-                         F.col("entity_version").alias("current_version"),
-                         endpoint_state("ready", "config_update").alias("endpoint_state"),
-                         F.lit(True).alias("_exists"))
+    (after the endpoint is ready for an update). ``models`` may name the endpoint
+    (``endpoint_name``, null or empty: the generated name). ``endpoints`` has one row per
+    served entity; the current one is the model's own, else the first."""
+    given = F.nullif("endpoint_name", F.lit("")) if "endpoint_name" in models.columns else F.lit(None).cast("string")
+    m = models.select("model_name", "version",
+                      F.coalesce(given, endpoint_name("model_name")).alias("endpoint_name"))
+    e = endpoints.select("endpoint_name", "entity_name", "entity_version",
+                         endpoint_state("ready", "config_update").alias("endpoint_state"))
     j = m.join(e, "endpoint_name", "left")
-    exists = F.coalesce(F.col("_exists"), F.lit(False))
-    same = (F.col("current_entity") == F.col("model_name")) & (F.col("current_version") == F.col("version"))
-    action = (F.when(~exists, F.lit("create")).when(same, F.lit("current")).otherwise(F.lit("update")))
-    return j.select("model_name", "version", "endpoint_name", "current_entity", "current_version",
-                    "endpoint_state", action.alias("action"),
-                    F.lit(WORKLOAD_SIZE).alias("workload_size"),
-                    F.lit(SCALE_TO_ZERO).alias("scale_to_zero_enabled"))
+    own = F.coalesce(F.col("entity_name") == F.col("model_name"), F.lit(False))
+    # own entity first, then its served latest version, then by name
+    rank = F.struct((~own).alias("a"), (F.col("entity_version") != F.col("version")).alias("b"),
+                    F.col("entity_name").alias("c"), F.col("entity_version").alias("d"))
+    one = j.groupBy("model_name", "version", "endpoint_name").agg(
+        F.min_by(F.struct("entity_name", "entity_version", "endpoint_state"), rank).alias("_e"),
+        F.count("entity_name").alias("n_served"))
+    same = (F.col("_e.entity_name") == F.col("model_name")) & (F.col("_e.entity_version") == F.col("version"))
+    action = (F.when(F.col("n_served") == 0, F.lit("create")).when(same, F.lit("current")).otherwise(F.lit("update")))
+    return one.select("model_name", "version", "endpoint_name", F.col("_e.entity_name").alias("current_entity"),
+                      F.col("_e.entity_version").alias("current_version"),
+                      F.col("_e.endpoint_state").alias("endpoint_state"), "n_served", action.alias("action"),
+                      F.lit(WORKLOAD_SIZE).alias("workload_size"),
+                      F.lit(SCALE_TO_ZERO).alias("scale_to_zero_enabled"))
 
 
 def list_shares(shares: DataFrame) -> DataFrame:
@@ -150,34 +168,41 @@ def list_shares(shares: DataFrame) -> DataFrame:
 
 
 def list_recipients(recipients: DataFrame) -> DataFrame:
-    """Recipient listing; empty values as null."""
+    """Recipient listing; ``created_at`` as a string, empty values as null."""
     return recipients.select(
         F.col("recipient_name").alias("name"),
         F.nullif(F.col("authentication_type").cast("string"), F.lit("")).alias("authentication_type"),
-        F.nullif(F.col("global_metastore_id"), F.lit("")).alias("global_metastore_id"))
+        F.nullif(F.col("global_metastore_id"), F.lit("")).alias("global_metastore_id"),
+        F.nullif(F.col("comment"), F.lit("")).alias("comment"),
+        F.nullif(F.col("created_at").cast("string"), F.lit("")).alias("created_at"),
+        F.nullif(F.col("created_by"), F.lit("")).alias("created_by"))
 
 
 def endpoint_status(endpoints: DataFrame, host) -> DataFrame:
-    """Name, state, served entity and version, readiness, invocation URL."""
-    return endpoints.select(
-        F.col("endpoint_name").alias("name"), "ready", "config_update", "entity_name",
-        "entity_version", endpoint_state("ready", "config_update").alias("state"),
+    """Per endpoint its name, states, served entities (``entity:version``, comma-joined,
+    with their number), readiness and invocation URL."""
+    entities = F.transform("served", lambda e: F.concat_ws(":", e["entity_name"], e["entity_version"]))
+    return _served(endpoints).select(
+        F.col("endpoint_name").alias("name"), "ready", "config_update", "n_served",
+        F.array_join(entities, ",").alias("served"),
+        endpoint_state("ready", "config_update").alias("state"),
         invocation_url(host, "endpoint_name").alias("invocation_url"))
 
 
 def share_details(shares: DataFrame, share_objects: DataFrame, grants: DataFrame) -> DataFrame:
-    """A2: share details, flattened: one row per (share, object) and per (share,
+    """A2: share details, flattened: one row per (share, object), with its status, and per (share,
     principal) with the principal's sorted privileges, plus per-share counts. Shares
     with neither still get one row. Nothing collects a whole share into one value, and the
     items are joined from their own side: a share with a third of all objects is split by the
     skew-join rule, or broadcast as the small list of shares it is."""
     objs = share_objects.select("share_name", F.lit("object").alias("item_kind"),
                                 F.col("object_name").alias("item_name"),
-                                F.col("object_type").alias("item_detail"))
+                                F.col("object_type").alias("item_detail"), F.col("status").alias("item_status"))
     perms = (grants.groupBy("share_name", "principal")
              .agg(F.array_join(F.array_sort(F.collect_set("privilege")), ",").alias("item_detail"))
              .select("share_name", F.lit("permission").alias("item_kind"),
-                     F.col("principal").alias("item_name"), "item_detail"))
+                     F.col("principal").alias("item_name"), "item_detail",
+                     F.lit(None).cast("string").alias("item_status")))
     items = objs.unionByName(perms)
     counts = items.groupBy("share_name").agg(
         F.count(F.when(F.col("item_kind") == "object", 1)).alias("n_objects"),
@@ -187,8 +212,8 @@ def share_details(shares: DataFrame, share_objects: DataFrame, grants: DataFrame
          .repartition(F.xxhash64("share_name")))
     full = items.join(s, "share_name")
     none = (s.where(F.col("n_objects").isNull())
-            .withColumns({c: F.lit(None).cast("string") for c in ("item_kind", "item_name", "item_detail")}))
+            .withColumns({c: F.lit(None).cast("string") for c in ("item_kind", "item_name", "item_detail", "item_status")}))
     return full.unionByName(none, allowMissingColumns=True).select(
-        "share_name", "comment", "item_kind", "item_name", "item_detail",
+        "share_name", "comment", "item_kind", "item_name", "item_detail", "item_status",
         F.coalesce("n_objects", F.lit(0)).alias("n_objects"),
         F.coalesce("n_permissions", F.lit(0)).alias("n_permissions"))

@@ -318,20 +318,29 @@ def j11(spark, sf_dir):
 
 
 @register("j12_endpoint_plan", fixtures=["model_versions", "endpoints"],
-          ctes={"latest": SOURCE_CTES["latest"]}, oracle=f"""
-select l.model_name, l.version,
-       'target-' || {dns_sql("regexp_extract(l.model_name, '[^.]*$')")} || '-endpoint' as endpoint_name,
-       e.entity_name as current_entity, e.entity_version as current_version,
-       case when e.endpoint_name is null then null else {endpoint_state_sql("e.ready", "e.config_update")} end as endpoint_state,
-       case when e.endpoint_name is null then 'create'
-            when e.entity_name = l.model_name and e.entity_version = l.version then 'current'
+          ctes={"latest": SOURCE_CTES["latest"],
+                "m": f"""select *, case when cast(regexp_extract(model_name, '(\\d+)$', 1) as integer) % 6 = 1
+                                        then 'given-' || regexp_extract(model_name, '[^.]*$')
+                                        else 'target-' || {dns_sql("regexp_extract(model_name, '[^.]*$')")} || '-endpoint'
+                                   end as endpoint_name from latest""",
+                "ranked": f"""select m.model_name, m.version, m.endpoint_name, e.entity_name, e.entity_version,
+                       case when e.endpoint_name is null then null else {endpoint_state_sql("e.ready", "e.config_update")} end as st,
+                       count(e.endpoint_name) over (partition by m.model_name) as n_served,
+                       row_number() over (partition by m.model_name order by coalesce(e.entity_name = m.model_name, false) desc,
+                                          e.entity_version <> m.version, e.entity_name, e.entity_version) as rn
+                from m left join endpoints e on e.endpoint_name = m.endpoint_name"""}, oracle="""
+select model_name, version, endpoint_name, entity_name as current_entity, entity_version as current_version,
+       st as endpoint_state, n_served,
+       case when n_served = 0 then 'create' when entity_name = model_name and entity_version = version then 'current'
             else 'update' end as action,
        'Small' as workload_size, true as scale_to_zero_enabled
-from latest l left join endpoints e
-  on e.endpoint_name = 'target-' || {dns_sql("regexp_extract(l.model_name, '[^.]*$')")} || '-endpoint'""")
+from ranked where rn = 1""")
 def j12(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    return endpoint_plan(latest_model_version(fx.model_versions), fx.endpoints)
+    num = F.regexp_extract("model_name", r"(\d+)$", 1).cast("int")
+    models = latest_model_version(fx.model_versions).withColumn(
+        "endpoint_name", F.when(num % 6 == 1, F.concat(F.lit("given-"), short_name("model_name"))).otherwise(F.lit("")))
+    return endpoint_plan(models, fx.endpoints)
 
 
 # ---------------------------------------------------------------- P6, P7, A2, C8
@@ -346,33 +355,36 @@ def p6s(spark, sf_dir):
 
 @register("p6_list_recipients", fixtures=["recipients"], oracle="""
 select recipient_name as name, nullif(authentication_type, '') as authentication_type,
-       nullif(global_metastore_id, '') as global_metastore_id
+       nullif(global_metastore_id, '') as global_metastore_id, nullif(comment, '') as comment,
+       nullif(cast(created_at as varchar), '') as created_at, nullif(created_by, '') as created_by
 from recipients""")
 def p6r(spark, sf_dir):
     return list_recipients(Fixtures(spark, sf_dir).recipients)
 
 
 @register("p7_endpoint_status", fixtures=["endpoints"], oracle=f"""
-select endpoint_name as name, ready, config_update, entity_name, entity_version,
+select endpoint_name as name, ready, config_update, count(*) as n_served,
+       string_agg(entity_name || ':' || entity_version, ',' order by entity_name, entity_version) as served,
        {endpoint_state_sql("ready", "config_update")} as state,
        '{HOST}/serving-endpoints/' || endpoint_name || '/invocations' as invocation_url
-from endpoints""")
+from endpoints group by endpoint_name, ready, config_update""")
 def p7(spark, sf_dir):
     return endpoint_status(Fixtures(spark, sf_dir).endpoints, HOST)
 
 
 @register("a2_share_details", fixtures=["shares", "share_objects", "share_grants"], ctes={
-    "items": """select share_name, 'object' as item_kind, object_name as item_name, object_type as item_detail
+    "items": """select share_name, 'object' as item_kind, object_name as item_name, object_type as item_detail,
+                       status as item_status
                 from share_objects
                 union all
                 select share_name, 'permission', principal,
-                       string_agg(distinct privilege, ',' order by privilege)
+                       string_agg(distinct privilege, ',' order by privilege), null
                 from share_grants group by share_name, principal""",
     "counts": """select share_name, count(case when item_kind = 'object' then 1 end) as n_objects,
                         count(case when item_kind = 'permission' then 1 end) as n_permissions
                  from items group by share_name"""},
     oracle="""
-select s.share_name, s.comment, i.item_kind, i.item_name, i.item_detail,
+select s.share_name, s.comment, i.item_kind, i.item_name, i.item_detail, i.item_status,
        coalesce(c.n_objects, 0) as n_objects, coalesce(c.n_permissions, 0) as n_permissions
 from shares s left join items i on s.share_name = i.share_name
 left join counts c on s.share_name = c.share_name""")
