@@ -24,7 +24,7 @@ from featshare.operators.sharing import (already_shared, catalog_plan, endpoint_
 from featshare.plans.registry import (HOST, PLAN_CTES, SOURCE_CTES, dns_sql, endpoint_state_sql, joined,
                                       online_table_state_sql, register)
 from featshare.plans.source_plan import source_plan
-from featshare.plans.target_plan import deployment_decision, target_plan
+from featshare.plans.target_plan import deployment_decision, store_plan, target_plan
 from featshare.sources.fixtures import Fixtures
 
 REQ_FX = ["model_versions", "dependencies", "share_requests"]
@@ -629,27 +629,40 @@ def t2(spark, sf_dir):
 TABLE_TIMEOUT_S = 6 * 3600
 
 
-@register("a3_publish_rollup", fixtures=["model_versions", "dependencies", "table_status_events"], ctes={
+def _model_tables(fx):
+    """Online tables of every model's latest version with their publish outcomes, and the
+    readiness of just those tables."""
+    latest = latest_model_version(fx.model_versions).select("model_name", "version")
+    deps = distinct_dependencies(cut_to_versions(fx.dependencies, latest))
+    tables = (deps.where(F.col("dep_type") == "TABLE")
+              .select("model_name", F.col("dep_name").alias("source_table_name"),
+                      online_name("dep_name", "main", "default").alias("online_table_name"))
+              .join(fx.publish_outcomes, "source_table_name", "left"))
+    log = fx.table_status_events.join(
+        tables.select(F.col("online_table_name").alias("object_name")).distinct(), "object_name", "left_semi")
+    return latest, tables, readiness(log, TABLE_TIMEOUT_S)
+
+
+MODEL_TABLES = """select d.model_name, 'main.default.' || regexp_extract(d.dep_name, '[^.]*$') || '_online' as online_table_name,
+                         p.outcome from ldeps d left join publish_outcomes p on p.source_table_name = d.dep_name
+                  where d.dep_type = 'TABLE'"""
+OK = "coalesce(r.verdict = 'ready' and t.outcome in ('published', 'exists'), false)"
+
+
+@register("a3_publish_rollup", fixtures=["model_versions", "dependencies", "table_status_events", "publish_outcomes"], ctes={
     "latest": SOURCE_CTES["latest"], "ldeps": SOURCE_CTES["ldeps"],
     **_readiness_sql("table_status_events", TABLE_TIMEOUT_S),
-    "tabs": """select distinct model_name, 'main.default.' || regexp_extract(dep_name, '[^.]*$') || '_online'
-                      as online_table_name from ldeps where dep_type = 'TABLE'"""},
-    oracle="""
-select t.model_name, count(*) as n_tables, count(*) as n_published, cast(0 as bigint) as n_exists,
-       cast(0 as bigint) as n_failed,
-       count(case when r.verdict = 'ready' then 1 end) as n_ready,
-       bool_and(coalesce(r.verdict = 'ready', false)) as all_ready
+    "tabs": MODEL_TABLES},
+    oracle=f"""
+select t.model_name, count(*) as n_tables, count(case when t.outcome = 'published' then 1 end) as n_published,
+       count(case when t.outcome = 'exists' then 1 end) as n_exists,
+       count(case when t.outcome = 'failed' then 1 end) as n_failed,
+       count(case when {OK} then 1 end) as n_ready, bool_and({OK}) as all_ready
 from tabs t left join rd r on t.online_table_name = r.object_name
 group by t.model_name""")
 def a3(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
-    latest = latest_model_version(fx.model_versions).select("model_name", "version")
-    deps = distinct_dependencies(cut_to_versions(fx.dependencies, latest))
-    outcomes = (deps.where(F.col("dep_type") == "TABLE")
-                .select("model_name", online_name("dep_name", "main", "default").alias("online_table_name"))
-                .distinct().withColumn("outcome", F.lit("published")))
-    ready = readiness(fx.table_status_events, TABLE_TIMEOUT_S)
-    return publish_rollup(outcomes, ready, group_cols=["model_name"]).select(
+    _, tables, ready = _model_tables(Fixtures(spark, sf_dir))
+    return publish_rollup(tables, ready, group_cols=["model_name"]).select(
         "model_name", "n_tables", "n_published", "n_exists", "n_failed", "n_ready", "all_ready")
 
 
@@ -660,13 +673,12 @@ def _flags(model_col):
     return (num % 3 != 0).alias("create_online_table"), (num % 4 != 0).alias("deploy_serving")
 
 
-@register("c9_deployment_decision", fixtures=["model_versions", "dependencies", "table_status_events"], ctes={
+@register("c9_deployment_decision", fixtures=["model_versions", "dependencies", "table_status_events", "publish_outcomes"], ctes={
     "latest": SOURCE_CTES["latest"], "ldeps": SOURCE_CTES["ldeps"],
     **_readiness_sql("table_status_events", TABLE_TIMEOUT_S),
-    "tabs": """select distinct model_name, 'main.default.' || regexp_extract(dep_name, '[^.]*$') || '_online'
-                      as online_table_name from ldeps where dep_type = 'TABLE'""",
-    "roll": """select t.model_name, count(*) as n_tables, bool_and(coalesce(r.verdict = 'ready', false)) as all_ready
-               from tabs t left join rd r on t.online_table_name = r.object_name group by t.model_name""",
+    "tabs": MODEL_TABLES,
+    "roll": f"""select t.model_name, count(*) as n_tables, bool_and({OK}) as all_ready
+                from tabs t left join rd r on t.online_table_name = r.object_name group by t.model_name""",
     "m": """select l.model_name, coalesce(r.n_tables, 0) as n_tables, r.all_ready,
                    cast(regexp_extract(l.model_name, '(\\d+)$', 1) as integer) % 3 <> 0 as create_online_table,
                    cast(regexp_extract(l.model_name, '(\\d+)$', 1) as integer) % 4 <> 0 as deploy_serving
@@ -683,13 +695,8 @@ select model_name, create_online_table, deploy_serving, n_tables,
             else 'yes' end as deploy
 from m""")
 def c9(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
-    latest = latest_model_version(fx.model_versions).select("model_name", "version")
-    deps = distinct_dependencies(cut_to_versions(fx.dependencies, latest))
-    outcomes = (deps.where(F.col("dep_type") == "TABLE")
-                .select("model_name", online_name("dep_name", "main", "default").alias("online_table_name"))
-                .distinct().withColumn("outcome", F.lit("published")))
-    roll = publish_rollup(outcomes, readiness(fx.table_status_events, TABLE_TIMEOUT_S), group_cols=["model_name"])
+    latest, tables, ready = _model_tables(Fixtures(spark, sf_dir))
+    roll = publish_rollup(tables, ready, group_cols=["model_name"])
     m = (latest.join(roll.select("model_name", "n_tables", "all_ready"), "model_name", "left")
          .select("model_name", F.coalesce("n_tables", F.lit(0)).alias("n_tables"), "all_ready",
                  *_flags(F.col("model_name"))))
@@ -726,14 +733,12 @@ def c10(spark, sf_dir):
     return plan["summary"]
 
 
-def _catalog_settings(registered_models):
-    num = F.expr("substring(catalog_name, 8)").cast("int")
-    return registered_models.select("catalog_name").distinct().select(
-        "catalog_name", (num % 3 != 0).alias("create_online_table"), (num % 2 == 0).alias("deploy_serving"))
+def _nonempty(c):
+    return f"nullif(nullif({c}, ''), 'NONE')"
 
 
-@register("c10_target_summary", fixtures=["registered_models", "model_versions", "dependencies",
-                                          "table_status_events"], ctes={
+@register("c10_target_summary", fixtures=["registered_models", "model_versions", "dependencies", "table_status_events",
+                                          "publish_outcomes", "catalog_settings", "catalogs", "online_stores"], ctes={
     **W3_CTES,
     **_readiness_sql("table_status_events", TABLE_TIMEOUT_S),
     "fsum": """select f.catalog_name, f.schema_name, f.model_name, f.version,
@@ -741,36 +746,71 @@ def _catalog_settings(registered_models):
                       count(case when d.dep_type = 'FUNCTION' then 1 end) as n_functions
                from found f left join fdeps d on f.model_name = d.model_name and f.version = d.version
                group by 1, 2, 3, 4""",
-    "tabs": """select f.catalog_name, f.model_name,
-                      'main.default.' || regexp_extract(d.dep_name, '[^.]*$') || '_online' as online_table_name
+    "tabs": """select f.catalog_name, f.model_name, p.outcome,
+                      c.online_table_target_catalog || '.' || c.online_table_target_schema || '.'
+                      || regexp_extract(d.dep_name, '[^.]*$') || '_online' as online_table_name
                from found f join fdeps d on f.model_name = d.model_name and f.version = d.version
+               join catalog_settings c on c.catalog_name = f.catalog_name
+               left join publish_outcomes p on p.source_table_name = d.dep_name
                where d.dep_type = 'TABLE'""",
-    "roll": """select t.catalog_name, t.model_name, count(case when r.verdict = 'ready' then 1 end) as n_ready,
-                      bool_and(coalesce(r.verdict = 'ready', false)) as all_ready
-               from tabs t left join rd r on t.online_table_name = r.object_name group by 1, 2""",
-    "m": """select s.*, coalesce(r.n_ready, 0) as n_ready, r.all_ready,
-                   cast(substr(s.catalog_name, 8) as integer) % 3 <> 0 as create_online_table,
-                   cast(substr(s.catalog_name, 8) as integer) % 2 = 0 as deploy_serving
-            from fsum s left join roll r on s.catalog_name = r.catalog_name and s.model_name = r.model_name""",
+    "roll": f"""select t.catalog_name, t.model_name, count(case when {OK} then 1 end) as n_ready,
+                       count(case when t.outcome = 'failed' then 1 end) as n_failed, bool_and({OK}) as all_ready
+                from tabs t left join rd r on t.online_table_name = r.object_name group by 1, 2""",
+    "bad": f"""select catalog_name from catalog_settings where create_online_table and (
+                 {_nonempty('share_name')} is null or {_nonempty('provider_name')} is null or {_nonempty('target_catalog')} is null
+                 or {_nonempty('online_table_target_catalog')} is null or {_nonempty('online_table_target_schema')} is null)""",
+    "st": f"""select x.catalog_name, x.store_name,
+                     case when s.store_name is not null then 'use' when x.create_online_store then 'create' else 'error' end as store_action,
+                     coalesce(upper(regexp_extract(s.state, '[^.]*$')) = 'AVAILABLE', false) as store_ready
+              from (select catalog_name, create_online_store,
+                           {dns_sql(f"coalesce({_nonempty('online_store_name')}, online_table_target_catalog || '-online-store')")} as store_name
+                    from catalog_settings where create_online_table) x
+              left join online_stores s on s.store_name = x.store_name""",
+    "m": """select s.*, coalesce(r.n_ready, 0) as n_ready, coalesce(r.n_failed, 0) as n_failed,
+                   coalesce(c.create_online_table, false) as create_online_table, coalesce(c.deploy_serving, false) as deploy_serving,
+                   c.online_table_target_catalog || '.' || c.online_table_target_schema as loc,
+                   st.store_name, st.store_action, coalesce(st.store_ready, false) as store_ready,
+                   coalesce(r.all_ready, false) and coalesce(st.store_ready, false) as ok,
+                   case when b.catalog_name is not null then 'config'
+                        when c.use_existing and k.catalog_name is null then 'catalog' end as stop
+            from fsum s left join roll r on s.catalog_name = r.catalog_name and s.model_name = r.model_name
+            left join catalog_settings c on c.catalog_name = s.catalog_name
+            left join (select distinct catalog_name from bad) b on b.catalog_name = s.catalog_name
+            left join catalogs k on k.catalog_name = s.catalog_name
+            left join st on st.catalog_name = s.catalog_name""",
     "d": """select *,
                    case when create_online_table and n_tables > 0 then 'run'
                         when create_online_table then 'skip_none_needed' else 'disabled' end as online_step,
-                   case when create_online_table and n_tables > 0 then coalesce(all_ready, false)
-                        when create_online_table then true else false end as tables_ready
-            from m"""},
+                   case when create_online_table and n_tables > 0 then ok else create_online_table end as tables_ready
+            from m""",
+    "e": """select *, case when stop is not null then 'stopped' when not deploy_serving then 'off'
+                           when n_tables > 0 and not tables_ready then 'blocked' else 'yes' end as deploy from d"""},
     oracle=f"""
-select catalog_name, model_name, version, n_tables, n_functions, n_ready, online_step, tables_ready,
-       case when not deploy_serving then 'off' when n_tables > 0 and not tables_ready then 'blocked'
-            else 'yes' end as deploy,
-       case when deploy_serving and not (n_tables > 0 and not tables_ready)
-            then 'target-' || {dns_sql("regexp_extract(model_name, '[^.]*$')")} || '-endpoint' end as endpoint_name,
-       case when deploy_serving and not (n_tables > 0 and not tables_ready)
-            then '{HOST}/serving-endpoints/target-' || {dns_sql("regexp_extract(model_name, '[^.]*$')")}
+select catalog_name, model_name, version, n_tables, n_functions, n_ready, n_failed, online_step, store_name, store_action,
+       tables_ready, deploy,
+       case when deploy = 'stopped' then stop when deploy <> 'blocked' then null
+            when online_step = 'disabled' then 'no_online_tables' when not store_ready then 'store'
+            when n_failed > 0 then 'publish' else 'readiness' end as blocked_by,
+       case when deploy = 'yes' then 'target-' || {dns_sql("regexp_extract(model_name, '[^.]*$')")} || '-endpoint' end as endpoint_name,
+       case when deploy = 'yes' then '{HOST}/serving-endpoints/target-' || {dns_sql("regexp_extract(model_name, '[^.]*$')")}
                  || '-endpoint/invocations' end as invocation_url,
-       'main.default' as online_location
-from d""")
+       case when create_online_table then loc end as online_location
+from e""")
 def c10t(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    plan = target_plan(fx.registered_models, fx.model_versions, fx.dependencies, fx.table_status_events,
-                       _catalog_settings(fx.registered_models), HOST, "main", "default", TABLE_TIMEOUT_S)
-    return plan["summary"]
+    return target_plan(fx.registered_models, fx.model_versions, fx.dependencies, fx.table_status_events,
+                       fx.catalog_settings, fx.catalogs, fx.publish_outcomes, fx.online_stores, HOST,
+                       TABLE_TIMEOUT_S)["summary"]
+
+
+@register("c6_store_plan", fixtures=["catalog_settings", "online_stores"], oracle=f"""
+select x.catalog_name, x.store_name,
+       case when s.store_name is not null then 'use' when x.create_online_store then 'create' else 'error' end as store_action,
+       coalesce(upper(regexp_extract(s.state, '[^.]*$')) = 'AVAILABLE', false) as store_ready
+from (select catalog_name, create_online_store,
+             {dns_sql(f"coalesce({_nonempty('online_store_name')}, online_table_target_catalog || '-online-store')")} as store_name
+      from catalog_settings where create_online_table) x
+left join online_stores s on s.store_name = x.store_name""")
+def c6_stores(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return store_plan(fx.catalog_settings, fx.online_stores)
