@@ -153,7 +153,6 @@ def wanted_objects(requests: DataFrame, model_versions: DataFrame, deps: DataFra
     ``include_all_types`` keeps other dependency types too (CONNECTION), for P5.
     """
     latest = latest_model_version(model_versions).select("model_name", "version")
-    req = requests.select("share_name", "model_name", "recipient_name").join(latest, "model_name", "left")
     cut = cut_to_versions(deps, latest)
     if include_all_types:
         d = (cut.where(F.col("dep_name").isNotNull())
@@ -162,15 +161,22 @@ def wanted_objects(requests: DataFrame, model_versions: DataFrame, deps: DataFra
         d = distinct_dependencies(cut)
     rank = (F.when(F.col("dep_type") == "TABLE", 1).when(F.col("dep_type") == "FUNCTION", 2)
             .otherwise(3))
-    dep_rows = req.join(d, ["model_name", "version"], "inner").select(
-        "share_name", "model_name", "recipient_name", "version",
-        F.col("dep_name").alias("object_name"), F.col("dep_type").alias("object_type"),
-        rank.alias("type_rank"), F.col("pos").cast("bigint").alias("pos"))
-    model_rows = req.select(
-        "share_name", "model_name", "recipient_name", "version",
-        F.col("model_name").alias("object_name"), F.lit("MODEL").alias("object_type"),
-        F.lit(0).alias("type_rank"), F.lit(0).cast("bigint").alias("pos"))
-    return model_rows.unionByName(dep_rows)
+    # the model is an object of its own, so the requests are joined once; a model without a
+    # version still wants itself
+    dep_rows = d.select("model_name", "version", F.col("dep_name").alias("object_name"),
+                        F.col("dep_type").alias("object_type"), rank.alias("type_rank"),
+                        F.col("pos").cast("bigint").alias("pos"))
+    model_rows = latest.select("model_name", "version", F.col("model_name").alias("object_name"),
+                               F.lit("MODEL").alias("object_type"), F.lit(0).alias("type_rank"),
+                               F.lit(0).cast("bigint").alias("pos"))
+    j = (requests.select("share_name", "model_name", "recipient_name")
+         .join(model_rows.unionByName(dep_rows), "model_name", "left"))
+    none = F.col("object_name").isNull()
+    return j.select("share_name", "model_name", "recipient_name", "version",
+                    F.coalesce("object_name", "model_name").alias("object_name"),
+                    F.when(none, F.lit("MODEL")).otherwise(F.col("object_type")).alias("object_type"),
+                    F.coalesce("type_rank", F.lit(0)).alias("type_rank"),
+                    F.coalesce("pos", F.lit(0)).cast("bigint").alias("pos"))
 
 
 def dependency_drift(wanted: DataFrame, share_objects: DataFrame, shares: DataFrame | None = None) -> DataFrame:

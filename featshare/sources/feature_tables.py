@@ -117,8 +117,8 @@ def create_feature_table(df: DataFrame, path: str, primary_keys, description: st
 def ensure_feature_table(df: DataFrame, path: str, primary_keys, description: str = "") -> str:
     """S3: ``created`` when absent; ``reused`` when present with recorded keys equal to
     ``primary_keys``; otherwise ``recreated``: written to a new folder first, then swapped
-    in by renames (old aside, new in, old deleted), so a failure at any step leaves a
-    complete copy in place."""
+    in by renames (old aside, new in, old deleted). A failure at any step leaves a complete
+    copy under one of the names; between the two renames ``path`` itself has no table."""
     spark = df.sparkSession
     keys = [primary_keys] if isinstance(primary_keys, str) else list(primary_keys)
     if not fs.exists(spark, path):
@@ -131,7 +131,7 @@ def ensure_feature_table(df: DataFrame, path: str, primary_keys, description: st
     staging = f"{path.rstrip('/')}.__rebuild-{tag}"
     retired = f"{path.rstrip('/')}.__retired-{tag}"
     create_feature_table(df, staging, keys, description)
-    # swap by renames: at every moment one complete copy exists under a known name
+    # swap by renames: at every moment one complete copy exists under one of three names
     if not fs.rename(spark, path, retired):
         raise OSError(f"could not move {path} aside")
     if not fs.rename(spark, staging, path):
