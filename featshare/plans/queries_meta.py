@@ -5,13 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from featshare.functions.config import normalize_configs, secret_scan
+from featshare.functions.config import SECRET_PATTERN, normalize_configs, secret_scan
 from featshare.functions.envelope import result_json
 from featshare.functions.names import (dns_name, endpoint_name, invocation_url, online_name,
                                        shared_name, short_name, source_endpoint_name)
 from featshare.functions.states import error_class, state_class
 from featshare.operators.links import broken_links, online_name_collisions, resolve_links
-from featshare.operators.quality import (error_triage, store_name_audit, validate_run_configs,
+from featshare.operators.quality import (TARGET_RULES, error_triage, store_name_audit, validate_run_configs,
                                          validate_target_configs)
 from featshare.operators.readiness import poll_samples, publish_rollup, readiness
 from featshare.operators.registry import (cut_to_versions, dependency_drift, dependency_summary, discover_model,
@@ -406,6 +406,13 @@ def c8(spark, sf_dir):
 
 # ---------------------------------------------------------------- P3, P4, C3, C4, C5, A5, A6
 
+def _quoted(text):
+    return text.replace("'", "''")
+
+
+P3_COLUMNS = {"online_table_target_catalog": "otc", "online_table_target_schema": "ots"}
+
+
 @register("p3_validate_target_configs", fixtures=["target_configs"], ctes={
     "t": """select config_id,
                    nullif(nullif(share_name, ''), 'NONE') as share_name,
@@ -415,23 +422,10 @@ def c8(spark, sf_dir):
                    nullif(nullif(online_table_target_catalog, ''), 'NONE') as otc,
                    nullif(nullif(online_table_target_schema, ''), 'NONE') as ots
             from target_configs"""},
-    oracle="""
-select config_id, 1 as rule, 'share_name' as field, 'share_name is required' as message,
-       'Provide the name of the Delta Share to consume' as remediation from t where share_name is null
-union all
-select config_id, 2, 'provider_name', 'provider_name is required',
-       'Use ''self'' for same-metastore sharing or the provider name for cross-metastore' from t where provider_name is null
-union all
-select config_id, 3, 'target_catalog', 'target_catalog is required',
-       'Provide the catalog name to create from the share' from t where target_catalog is null
-union all
-select config_id, 4, 'online_table_target_catalog', 'online_table_target_catalog is required when create_online_table=true',
-       'Shared catalogs are read-only. Specify a writable catalog for online tables (e.g., ''main'')'
-from t where online and otc is null
-union all
-select config_id, 5, 'online_table_target_schema', 'online_table_target_schema is required when create_online_table=true',
-       'Specify the schema within online_table_target_catalog (e.g., ''default'')'
-from t where online and ots is null""")
+    oracle="\nunion all\n".join(
+        f"""select config_id, {rule} as rule, '{field}' as field, '{_quoted(message)}' as message,
+       '{_quoted(remedy)}' as remediation from t where {'online and ' if online else ''}{P3_COLUMNS.get(field, field)} is null"""
+        for rule, field, online, message, remedy in TARGET_RULES))
 def p3(spark, sf_dir):
     return validate_target_configs(Fixtures(spark, sf_dir).target_configs)
 
@@ -460,14 +454,11 @@ def p4(spark, sf_dir):
     return validate_run_configs(Fixtures(spark, sf_dir).run_configs)
 
 
-SECRET_RE = r"^\{\{secrets/([^/]+)/([^}]+)\}\}"
-
-
 @register("c3_secret_scan", fixtures=["run_configs"], ctes={
     "kv": """select 'target_host' as column_name, target_host as value from run_configs
              union all select 'target_token', target_token from run_configs""",
-    "refs": f"""select column_name, regexp_extract(value, '{SECRET_RE}', 1) as scope,
-                       regexp_extract(value, '{SECRET_RE}', 2) as secret_key from kv"""},
+    "refs": f"""select column_name, regexp_extract(value, '{SECRET_PATTERN}', 1) as scope,
+                       regexp_extract(value, '{SECRET_PATTERN}', 2) as secret_key from kv"""},
     oracle="""
 select column_name, scope, secret_key, count(*) as n_refs from refs
 where scope is not null and scope <> '' group by 1, 2, 3""")

@@ -50,7 +50,7 @@ def _vpath(target: str, version: int) -> str:
 
 
 def _manifest_path(target: str, version: int) -> str:
-    return f"{_vpath(target, version)}/_manifest"
+    return f"{_vpath(target, version)}/manifest"
 
 
 def versions(spark: SparkSession, target: str) -> list[int]:
