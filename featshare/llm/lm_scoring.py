@@ -7,6 +7,8 @@ rest of the corpus has. The block then scores its own texts. Counts cover all do
 a document is scored by what the others hold: its own n-grams are taken out first, else no
 n-gram would ever be unseen.
 
+An n-gram of three words or more can only occur elsewhere if both shorter n-grams inside it
+do, so higher orders are shipped in later rounds, and only where the answers before allow it.
 A frequent n-gram reaches its partition once per block, not once per occurrence; partitions
 hold about ``PART_KEYS`` keys whatever the corpus size, and blocks are cut by bytes, so one
 source or a group of copies spreads over many.
@@ -26,7 +28,7 @@ from .common import ASCII_LOWER, binary_text, slices, written
 
 ORDER = 3
 ALPHA = 0.4
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 PART_KEYS = 2_000_000
 
 
@@ -115,8 +117,27 @@ def _runs(block: np.ndarray, sizes: list[int], limit: int):
             yield lo + a, lo + b
 
 
+_TABLE = "block long, lo long, hi long, n long, part long, keys binary, counts binary"
+#: orders shipped in the first round; higher ones only where their parts are known elsewhere
+FIRST = 2
+
+
+def _table_rows(gram: np.ndarray, n: int, where: tuple[int, int, int], n_parts: int) -> list[tuple]:
+    """Rows of a run's distinct n-grams (``where``: block, first and last place)."""
+    keys, counts, ends = _distinct(gram, n_parts)
+    out, start = [], 0
+    for p, end in enumerate(ends.tolist()):
+        if end > start:
+            out.append((*where, n, p, pack_keys(keys[start:end]), _small(counts[start:end])))
+        start = end
+    return out
+
+
 def _tables(texts: DataFrame, order: int, n_parts: int, block_bytes: int) -> DataFrame:
-    """Every run's distinct n-grams: (block, lo, hi, n, part, keys, counts)."""
+    """Every run's distinct n-grams of the first orders: (block, lo, hi, n, part, keys, counts)."""
+    schema = pa.schema([(c, pa.int64()) for c in ("block", "lo", "hi", "n", "part")]
+                       + [("keys", pa.binary()), ("counts", pa.binary())])
+
     def run(batches):
         for b in batches:
             if not b.num_rows:
@@ -124,23 +145,74 @@ def _tables(texts: DataFrame, order: int, n_parts: int, block_bytes: int) -> Dat
             block, place = (b.column(i).to_numpy() for i in (0, 1))
             sizes = pa.compute.binary_length(b.column(2)).to_numpy(zero_copy_only=False) + 16
             for lo, hi in _runs(block, sizes.tolist(), block_bytes):
-                out = []
-                for n, gram in enumerate(grams(b.column(2).slice(lo, hi - lo).to_pylist(), order)[1], 1):
-                    keys, counts, ends = _distinct(gram, n_parts)
-                    start = 0
-                    for p, end in enumerate(ends.tolist()):
-                        if end > start:
-                            out.append((int(block[lo]), int(place[lo]), int(place[hi - 1]) + 1, n, p,
-                                        pack_keys(keys[start:end]), _small(counts[start:end])))
-                        start = end
+                where, out = (int(block[lo]), int(place[lo]), int(place[hi - 1]) + 1), []
+                for n, gram in enumerate(grams(b.column(2).slice(lo, hi - lo).to_pylist(), min(order, FIRST))[1], 1):
+                    out += _table_rows(gram, n, where, n_parts)
                 if out:
-                    yield pa.RecordBatch.from_pylist(
-                        [dict(zip(("block", "lo", "hi", "n", "part", "keys", "counts"), r)) for r in out],
-                        pa.schema([(c, pa.int64()) for c in ("block", "lo", "hi", "n", "part")]
-                                  + [("keys", pa.binary()), ("counts", pa.binary())]))
-
-    return texts.select("block", "place", "t").mapInArrow(
-        run, "block long, lo long, hi long, n long, part long, keys binary, counts binary")
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
+
+    return texts.select("block", "place", "t").mapInArrow(run, _TABLE)
+
+
+def _rest(got: pd.DataFrame, order: int) -> list[np.ndarray]:
+    """Per order, a run's answered counts in the order of its keys."""
+    got = got.sort_values(["n", "part"])
+    return [np.concatenate([_counts(c) for c in got.loc[got["n"] == n, "rest"]] or [np.zeros(0, np.int64)])
+            for n in range(1, order + 1)]
+
+
+def _higher_tables(texts: DataFrame, answers: DataFrame, n: int, n_parts: int) -> DataFrame:
+    """Every run's distinct n-grams of order ``n`` that the other runs may hold: they can only
+    if they hold both (n-1)-grams inside. The others are unseen there without asking."""
+    def run(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for lo, hi, raw, own in _ranges(rows, got):
+            _, gram, owner = grams(raw, n)
+            may = _known(gram, owner, _rest(own, n - 1))[0][n - 1]
+            out += _table_rows(np.where(may, gram[n - 1], 0), n, (int(rows["block"].iloc[0]), lo, hi), n_parts)
+        return pd.DataFrame(out, columns=["block", "lo", "hi", "n", "part", "keys", "counts"])
+
+    return (texts.select("block", "place", "t").groupBy("block").cogroup(answers.groupBy("block"))
+            .applyInPandas(run, _TABLE))
+
+
+def _ranges(rows: pd.DataFrame, got: pd.DataFrame):
+    """A block's runs: (first place, last place, texts, their answers)."""
+    rows = rows.sort_values("place")
+    place = rows["place"].to_numpy()
+    for (lo, hi), own in got.groupby(["lo", "hi"]):
+        inside = rows["t"][(place >= lo) & (place < hi)]
+        yield int(lo), int(hi), [bytes(t) for t in inside], own
+
+
+def _known(gram: list[np.ndarray], owner: np.ndarray, rest: list[np.ndarray]):
+    """(per order, places whose n-gram was asked for; per answered order, how often other texts
+    hold the n-gram that ends at a place). One more order than ``rest`` is judged."""
+    asked, others, held = [], [], []
+    for n in range(len(gram)):
+        has = gram[n] != 0
+        if n >= FIRST:
+            before = np.concatenate(([0], held[n - 1][:-1]))[:len(has)]
+            has = has & (held[n - 1] > 0) & (before > 0)
+        asked.append(has)
+        if n == len(rest):
+            break
+        count, outside = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+        # sorted by n-gram, and within one by place, so also by text
+        place = np.argsort(gram[n], kind="stable")
+        place = place[len(place) - int((gram[n] != 0).sum()):]
+        if len(place):
+            own, text = gram[n][place], owner[place]
+            key = np.concatenate(([True], own[1:] != own[:-1]))
+            pair = np.concatenate(([True], key[1:] | (text[1:] != text[:-1])))
+            number, group = np.cumsum(key) - 1, np.cumsum(pair) - 1
+            run_rest = np.zeros(number[-1] + 1, np.int64)
+            run_rest[has[place[key]]] = rest[n]
+            outside[place] = run_rest[number]
+            count[place] = (run_rest + np.bincount(number))[number] - np.bincount(group)[group]
+        held.append(outside)
+        others.append(count)
+    return asked, others
 
 
 def _answers(tables: DataFrame) -> DataFrame:
@@ -163,19 +235,7 @@ def score_texts(raw: list[bytes], rest: list[np.ndarray], order: int, total: int
     """(words, sum of log scores) per text. ``rest``: per order, the other runs' counts of the
     run's distinct n-grams in their order; ``total``: words of the corpus."""
     lengths, gram, owner = grams(raw, order)
-    others, has = [], [g != 0 for g in gram]
-    for n in range(order):
-        count = np.zeros(len(owner), np.int64)
-        # sorted by n-gram, and within one by place, so also by text
-        place = np.argsort(gram[n], kind="stable")
-        place = place[len(place) - int(has[n].sum()):]
-        if len(place):
-            own, text = gram[n][place], owner[place]
-            key = np.concatenate(([True], own[1:] != own[:-1]))
-            pair = np.concatenate(([True], key[1:] | (text[1:] != text[:-1])))
-            number, group = np.cumsum(key) - 1, np.cumsum(pair) - 1
-            count[place] = (rest[n] + np.bincount(number))[number] - np.bincount(group)[group]
-        others.append(count)
+    others, has = _known(gram, owner, rest)[1], [g != 0 for g in gram]
     rows = np.maximum(total - lengths, 0)[owner].astype(float)
     value = np.where(others[0] > 0, others[0] / np.maximum(rows, 1), 1 / (rows + 1))
     for n in range(1, order):  # a longer context, where the text has one
@@ -201,18 +261,17 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: i
     total = int(texts.agg(F.sum("words")).first()[0] or 0)
     n_parts = max(1, -(-total * order // part_keys))
     answers = written(_answers(_tables(texts, order, n_parts, block_bytes)), "counts")
+    for n in range(FIRST + 1, order + 1):
+        more = written(_answers(_higher_tables(texts, answers, n, n_parts)), "counts")
+        answers = answers.unionByName(more)
 
-    def run(key_, rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place", ignore_index=True)
-        ranges = sorted(set(zip(got["lo"], got["hi"])))
         place = rows["place"].to_numpy()
         n_words, logs = np.zeros(len(rows), np.int64), np.zeros(len(rows))
-        for lo, hi in ranges:
-            own = got[(got["lo"] == lo) & (got["hi"] == hi)].sort_values(["n", "part"])
-            rest = [np.concatenate([_counts(c) for c in own.loc[own["n"] == n, "rest"]] or [np.zeros(0, np.int64)])
-                    for n in range(1, order + 1)]
+        for lo, hi, raw, own in _ranges(rows, got):
             at = np.flatnonzero((place >= lo) & (place < hi))
-            n_words[at], logs[at] = score_texts([bytes(t) for t in rows["t"].iloc[at]], rest, order, total, alpha)
+            n_words[at], logs[at] = score_texts(raw, _rest(own, order), order, total, alpha)
         return pd.DataFrame({"doc_id": rows["doc_id"], "n_words": n_words, "log_score": logs})
 
     kind = texts.schema["doc_id"].dataType.simpleString()
