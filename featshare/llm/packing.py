@@ -61,17 +61,18 @@ class WordTokenizer:
         self.lowered.normalizer = None  # its input is lowered, and Latin letters are composed
         (self.mark,) = self.whole.encode(self.MARK, add_special_tokens=False).ids
         self.room = room
-        self._clear()
+        self.forget()
 
     @classmethod
     def of_worker(cls, spec: str) -> WordTokenizer:
-        """The worker process's tokenizer: later tasks of one worker find its words."""
+        """The worker process's tokenizer, parsed once; its words go with the task
+        (:meth:`forget`), so an idle worker holds little."""
         kept = sys.modules.setdefault("_word_tokenizers", types.ModuleType("_word_tokenizers")).__dict__
         if spec not in kept:
             kept[spec] = cls(spec)
         return kept[spec]
 
-    def _clear(self):
+    def forget(self):
         none = np.zeros(0, np.int64)
         self.words, self.parts = {}, {}
         self.word_at, self.part_at = (none, none, none.astype(np.uint32)), (none, none, none.astype(np.uint32))
@@ -136,7 +137,7 @@ class WordTokenizer:
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.words) > self.room:
-            self._clear()
+            self.forget()
         fresh = [w for w in words if w not in self.words]
         if fresh:
             self._learn(fresh)
@@ -159,7 +160,14 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary: 1-2 MB
 
     def run(batches):
-        tok, part, n = WordTokenizer.of_worker(spec.value), TaskContext.get().partitionId(), 0
+        tok = WordTokenizer.of_worker(spec.value)
+        try:
+            yield from cut(tok, batches)
+        finally:
+            tok.forget()
+
+    def cut(tok, batches):
+        part, n = TaskContext.get().partitionId(), 0
         for b in batches:
             keys, texts = b.column(0), b.column(1).cast(pa.string())
             for lo, hi in slices((pa.compute.binary_length(b.column(1)).to_numpy() + 1).tolist(), 8 << 20):
@@ -183,8 +191,8 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                            pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * m, pa.int32()),
                            pa.array(range(n, n + m), pa.int64())]
                 if tokens:
-                    cut = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(held))))
+                    bounds = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(held))))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 n += m
 

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import binary_text, written
 from .logistic import logistic
 
-SAMPLE = 4000
+SAMPLE = 2000
 #: characters taken from one sampled text for training; scoring reads whole texts
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 10_000
 #: documents with a posterior below this are rejected
 THRESHOLD = 0.5
 #: bounds of the shrinkage strength, in documents
