@@ -34,20 +34,30 @@ def read_score_requests(df: DataFrame, body_col: str, record_schema, id_cols=(),
     outer = F.from_json(body, T.StructType([T.StructField(inputs_field, T.StringType()),
                                             T.StructField(_CORRUPT, T.StringType())]),
                         {"columnNameOfCorruptRecord": _CORRUPT})
+    # most bodies are single records: those that cannot name the list are parsed once, as records
+    maybe = F.coalesce(body.contains(inputs_field) | body.contains("\\u"), F.lit(False))
+    no_object = outer.isNull() | outer[_CORRUPT].isNotNull()
     listed = F.coalesce(F.array_contains(F.json_object_keys(body), inputs_field), F.lit(False))
     entries = F.from_json(outer[inputs_field], T.ArrayType(T.StringType()))
     none = F.lit(None).cast("string")
-    wrong = (F.when(outer.isNull() | outer[_CORRUPT].isNotNull(), F.lit("malformed"))
+    wrong = (F.when(body.isNull(), F.lit("malformed")).when(~maybe, none).when(no_object, F.lit("malformed"))
              .when(listed & entries.isNull(), F.lit("inputs_not_a_list")))
     one = F.array(F.when(wrong.isNull(), body).otherwise(none))
-    rows = df.select(*id_cols, wrong.alias("_wrong"), body.alias("_body"), F.posexplode(
-        F.when(wrong.isNull() & listed, entries).otherwise(one)).alias("pos", "_record"))
+    # the reason leaves with the records through the generator, so no later filter repeats the parse
+    entry = F.struct(wrong.alias("_wrong"), F.when(maybe & wrong.isNull() & listed, entries).otherwise(one).alias("_records"),
+                     maybe.alias("_maybe"))
+    rows = (df.select(*id_cols, body.alias("_body"), F.explode(F.array(entry)).alias("_e"))
+            .select(*id_cols, "_body", F.col("_e._wrong").alias("_wrong"), F.col("_e._maybe").alias("_maybe"), F.posexplode("_e._records").alias("pos", "_record")))
     typed = F.from_json("_record", T.StructType([*rec.fields, T.StructField(_CORRUPT, T.StringType())]),
                         {"columnNameOfCorruptRecord": _CORRUPT})
-    rows = rows.withColumn("_typed", typed)
+    rows = rows.select(*id_cols, "pos", "_wrong", "_maybe", "_body", "_record", F.explode(F.array(typed)).alias("_typed"))
+    again = F.from_json("_body", T.StructType([T.StructField(_CORRUPT, T.StringType())]),
+                        {"columnNameOfCorruptRecord": _CORRUPT})
+    not_an_object = again.isNull() | again[_CORRUPT].isNotNull()  # asked for bad single records only
     reason = (F.when(F.col("_wrong").isNotNull(), F.col("_wrong"))
               .when(F.col("_record").isNull(), F.lit("null_record"))
-              .when(F.col("_typed").isNull() | F.col("_typed")[_CORRUPT].isNotNull(), F.lit("mistyped")))
+              .when(F.col("_typed").isNull() | F.col("_typed")[_CORRUPT].isNotNull(),
+                    F.when(~F.col("_maybe") & not_an_object, F.lit("malformed")).otherwise(F.lit("mistyped"))))
     for name in required:
         reason = reason.when(F.col("_typed")[name].isNull(), F.lit("missing"))
     return rows.select(
