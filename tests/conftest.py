@@ -16,3 +16,13 @@ def spark():
     s = get_session("local[*]", app="featshare-tests", shuffle_partitions=8)
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="session")
+def sf_small():
+    return SF_SMALL
+
+
+@pytest.fixture(scope="session")
+def sf_check():
+    return SF_CHECK
