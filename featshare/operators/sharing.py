@@ -195,9 +195,10 @@ def share_details(shares: DataFrame, share_objects: DataFrame, grants: DataFrame
     with neither still get one row. Nothing collects a whole share into one value, and the
     items are joined from their own side: a share with a third of all objects is split by the
     skew-join rule, or broadcast as the small list of shares it is."""
+    status = F.col("status") if "status" in share_objects.columns else F.lit(None).cast("string")
     objs = share_objects.select("share_name", F.lit("object").alias("item_kind"),
                                 F.col("object_name").alias("item_name"),
-                                F.col("object_type").alias("item_detail"), F.col("status").alias("item_status"))
+                                F.col("object_type").alias("item_detail"), status.alias("item_status"))
     perms = (grants.groupBy("share_name", "principal")
              .agg(F.array_join(F.array_sort(F.collect_set("privilege")), ",").alias("item_detail"))
              .select("share_name", F.lit("permission").alias("item_kind"),
