@@ -9,3 +9,10 @@ write-time key checks.
 from featshare.session import get_session, work_dir
 
 __all__ = ["get_session", "work_dir"]
+
+# Functions of this package travel to the executors by value: a cluster needs no installed copy.
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
