@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,16 @@ def binary_text(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")
 
 
+def send(spark: SparkSession, value):
+    """Broadcast an object of this subpackage by value, classes included (bounded by the caller)."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent):
+    """The object behind :func:`send`, made anew for a task."""
+    return cloudpickle.loads(sent.value)
+
+
 def slices(sizes: list[int], limit: int):
     """Cut consecutive items into runs of about ``limit`` in sum: (start, stop) pairs."""
     start = total = 0

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, binary_text, ragged, text_slices
+from .common import ASCII_LOWER, binary_text, ragged, received, send, text_slices
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -113,8 +113,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     item id is the empty string. Repeated item ids count once. Empty tables give no rows
     (documents) or no hits (benchmark). Other columns are ignored.
     """
-    sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(b) for b in blocks(benchmark, item, item_text, window, block_words)]
+    sent = [send(docs.sparkSession, b) for b in blocks(benchmark, item, item_text, window, block_words)]
 
     def run(batches):
         for b in batches:
@@ -125,11 +124,12 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
                 cover = np.zeros(int((lengths + 1).sum()) + 1, np.int64)
                 items = [set() for _ in words]
                 for s in sent:
-                    which, doc, at = search_shard(words, s.value)
+                    block = received(s)  # one block at a time
+                    which, doc, at = search_shard(words, block)
                     np.add.at(cover, offset[doc] + at, 1)
-                    np.add.at(cover, offset[doc] + at + s.value.lengths[which], -1)
+                    np.add.at(cover, offset[doc] + at + block.lengths[which], -1)
                     for d, w in set(zip(doc.tolist(), which.tolist())):
-                        items[d].update(s.value.items[o] or "" for o in s.value.owners[w])
+                        items[d].update(block.items[o] or "" for o in block.owners[w])
                 hit = np.concatenate(([0], (np.cumsum(cover) > 0).astype(np.int8)))
                 turn = np.diff(hit)
                 a, z = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)

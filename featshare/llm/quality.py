@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_text, written
+from .common import binary_text, received, send, written
 from .logistic import logistic
 
 SAMPLE = 2000
@@ -109,11 +109,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: Model, key: str, text: str, host: Column, path: Column) -> DataFrame:
     """(doc_id, host, path, evidence) per row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     def run(batches):
+        own = received(sent)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sent.value.evidence(t.as_py() for t in b.column(3)))],
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(own.evidence(t.as_py() for t in b.column(3)))],
                                              names=["doc_id", "host", "path", "evidence"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"),

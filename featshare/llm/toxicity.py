@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_text
+from .common import binary_text, received, send
 from .logistic import logistic
 
 SAMPLE = 4000
@@ -178,10 +178,10 @@ def toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
              threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) of every row; whole texts, null counts as empty. Labels,
     keys and other columns are no inputs. Repeated rows score alike; empty input, no rows."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries and ten numbers
+    sent = send(docs.sparkSession, model)  # two dictionaries and ten numbers
 
     def run(batches):
-        own = sent.value
+        own = received(sent)
         for b in batches:
             if not b.num_rows:
                 continue
