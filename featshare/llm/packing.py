@@ -13,7 +13,6 @@ a round saves nothing.
 from __future__ import annotations
 
 import re
-import string
 import sys
 import types
 import zlib
@@ -41,17 +40,20 @@ ROUNDS = 4
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that parts words at white space, lower-cases, and
-    never joins letters with punctuation.
+    never joins letters or digits with other characters, but joins any run of those.
 
     A distinct white-space word is looked up, not encoded again. A new one is lowered and
-    parted into a base and its trailing punctuation, and bases and tails not met before are
-    encoded in bulk, set apart by the marker ``0`` whose id is known. Words outside Latin
-    letters, and words that hold the marker or may hold a special token, go through the
-    tokenizer as they are.
+    parted behind its last letter, digit or space into a base and a tail, and bases and tails
+    not met before are encoded in bulk, set apart by the marker ``0`` whose id is known. Words
+    outside Latin letters, and words that hold the marker or may hold a special token, go
+    through the tokenizer as they are.
     """
 
     MARK = "0"
     ODD = re.compile("[^\x00-\u024f]|0|<[|]")
+    #: what a tail is made of: neither letter, digit nor Unicode white space (U+001C to U+001F are
+    #: none); lower-casing makes U+0307 of the dotted capital I
+    TAIL = "".join(c for c in map(chr, range(0x250)) if not c.isalnum() and c not in "\t\n\v\f\r \x85\xa0") + "\u0307"
 
     def __init__(self, spec: str, room: int = 600_000):
         from tokenizers import Tokenizer
@@ -113,7 +115,7 @@ class WordTokenizer:
         for w in words:
             (direct if odd(w) else plain).append(w)
         low = [w.lower() for w in plain]
-        base = [w.rstrip(string.punctuation) for w in low]
+        base = [w.rstrip(self.TAIL) for w in low]
         tail = [w[len(b):] for w, b in zip(low, base)]
         fresh = set(base).union(tail).difference(self.parts)
         if fresh:

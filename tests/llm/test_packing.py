@@ -24,6 +24,17 @@ def test_word_tokenizer_equals_whole_text():
             assert flat[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_symbols_before_punctuation_stay_joined():
+    tok = Tokenizer.from_file(PATH)
+    words = ["hallo».", "5°,", "abc®,", "a·)", "±.", "«l'été».", "§§.", "İ.", "x\x1c.", "\x00.", "a\x85.", "b\xa0»,"]
+    symbols = [c for c in map(chr, range(0x250)) if not c.isalnum()]
+    words += [a + c + b for c in symbols for a in ("hallo", "", "C²") for b in (".", ",)", f".{c}", "'s", "")]
+    w = P.WordTokenizer(open(PATH, encoding="utf-8").read())
+    flat, ends = w.ids(pa.array([" ".join(words), *words]))
+    for t, a, b in zip([" ".join(words), *words], [0, *ends], ends):
+        assert flat[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_best_fit_and_crossover_are_packings():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 90, 400)
