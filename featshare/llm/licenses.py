@@ -2,7 +2,7 @@
 over word bigrams, with size bounds that prune templates.
 
 A text is normalised to lower-case words of ASCII letters and digits (other letters part
-words, as punctuation does). A template of n bigrams is compared with windows of n bigrams,
+words, as punctuation does). Templates are notices and whole licence texts. A template of n bigrams is compared with windows of n bigrams,
 and with the whole text where that is shorter. The coefficient 2|A n B| / (|A| + |B|) can
 reach the threshold t only if the smaller set has t / (2 - t) of the larger: a text with fewer
 bigrams than that, or a window that shares too few bigrams of the template, is never compared.
@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, binary_text, text_slices
+from .common import ASCII_LOWER, binary_text, ragged, received, send, text_slices
+from .license_catalog import more_templates
 
 THRESHOLD = 0.8
 SLICE = 4 << 20
 
-#: (licence, template): short public notices and permission texts
+#: (licence, template): short public notices and permission texts; :func:`catalogue` has all templates
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except "
@@ -43,8 +44,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                     "provided that the following conditions are met"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+            "provided that the following conditions are met"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
             "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -55,6 +56,12 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+
+def catalogue() -> list[tuple[str, str]]:
+    """``TEMPLATES``, then the notices and whole texts of :mod:`license_catalog`."""
+    return list(dict.fromkeys([*TEMPLATES, *more_templates()]))
+
+
 WORD_TABLE = bytes(c if re.fullmatch(rb"[0-9a-z]", bytes([c])) else 32 for c in ASCII_LOWER)
 
 
@@ -80,15 +87,23 @@ class Templates:
         ids = [[self.vocabulary[w] for w in t] for t in words]
         self.bigrams = [{a * self.size + b for a, b in zip(t, t[1:])} for t in ids]
         self.length = [len(t) - 1 for t in ids]
-        self.member = np.zeros((len(templates), self.size * self.size), bool)
-        for row, own in zip(self.member, self.bigrams):
-            row[list(own)] = True
+        # the templates of each bigram, one bigram after the other
+        owned = np.array(sorted((g, t) for t, own in enumerate(self.bigrams) for g in own), np.int64)
+        self.code, self.begin, self.count = np.unique(owned[:, 0], return_index=True, return_counts=True)
+        self.owners = owned[:, 1]
         #: least number of bigrams a text or window must share
         self.least = [max(1, int(np.ceil(threshold / (2 - threshold) * len(b) - 1e-9))) for b in self.bigrams]
+        # passages of another licence's template that alone cannot match it: they count only
+        # where no whole template matches
+        joined = [b" %b " % b" ".join(t) for t in words]
+        self.fragment = [any(name != other and len(grams) < least and own in text
+                             for other, text, least in zip(self.names, joined, self.least))
+                         for name, own, grams in zip(self.names, joined, self.bigrams)]
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[int, int, int, float]]]:
         """Per text: (template, first word, words, coefficient) of its matches. Overlapping
-        matches: the larger coefficient, then the longer template, then the earlier one stays."""
+        matches: the larger coefficient, then the longer template, then the earlier one stays,
+        and fragments of other licences come last."""
         words = [normalise(t) for t in texts]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ids = np.fromiter(map(self.vocabulary.get, chain.from_iterable(words), repeat(0)), np.int64, int(lengths.sum()))
@@ -105,46 +120,76 @@ class Templates:
         owner = np.searchsorted(start, place, side="right") - 1
         while len(start) and (lengths[owner] == 0).any():  # empty texts share their start with the next
             owner = np.where(lengths[owner] == 0, owner - 1, owner)
-        for t, member in enumerate(self.member):
-            hit = member[value]
-            at, who = place[hit], owner[hit]
-            if not len(at):
-                continue
+        index = np.minimum(np.searchsorted(self.code, value), len(self.code) - 1)
+        hit = self.code[index] == value
+        place, owner, index = place[hit], owner[hit], index[hit]
+        count = self.count[index]
+        template = self.owners[ragged(self.begin[index], count)]
+        order = np.argsort(template, kind="stable")
+        at_all = np.repeat(place, count)[order]
+        who_all = np.repeat(owner, count)[order]
+        met, begin = np.unique(template[order], return_index=True)
+        for t, i, j in zip(met.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)]):
+            at, who = at_all[i:j], who_all[i:j]
             n, first, last = self.length[t], start[who], start[who] + lengths[who] - 1
             lo = np.clip(np.minimum(at, last - n), first, None)  # windows end inside the text
             until = np.minimum(lo + n, last)
             shared = np.searchsorted(at, until) - np.searchsorted(at, lo)
-            for k in np.flatnonzero(shared >= self.least[t]).tolist():
-                a, b = int(lo[k]), int(until[k])
-                d = dice(set(pair[a:b].tolist()) if known[a:b].all() else self._set(pair, known, a, b), self.bigrams[t])
+            some = np.flatnonzero(shared >= self.least[t])
+            spans = zip(lo[some].tolist(), until[some].tolist())
+            for k, a, b, d in zip(some.tolist(), lo[some].tolist(), until[some].tolist(),
+                                  self._coefficients(pair, known, spans, self.bigrams[t])):
                 if d >= self.threshold - 1e-12:
                     found[int(who[k])].append((t, a - int(first[k]), b - a + 1, d))
         return [self._resolve(f) for f in found]
 
-    def _set(self, pair, known, a: int, b: int) -> set:
-        """Distinct bigrams of a window; those with unknown words count by their place."""
-        return {int(pair[i]) if known[i] else -i - 1 for i in range(a, b)}
+    @staticmethod
+    def _coefficients(pair, known, spans, own: set):
+        """Dice coefficient of each window with a template's bigrams. Windows come in order, so
+        one slides to the next; bigrams with unknown words count by their place."""
+        count: dict[int, int] = {}
+        shared = low = high = 0
+        for a, b in spans:
+            if a >= high:
+                count.clear()
+                shared, low, high = 0, a, a
+            for i in range(high, b):
+                g = int(pair[i]) if known[i] else -i - 1
+                had = count.get(g, 0)
+                count[g] = had + 1
+                shared += not had and g in own
+            for i in range(low, a):
+                g = int(pair[i]) if known[i] else -i - 1
+                if count[g] == 1:
+                    del count[g]
+                    shared -= g in own
+                else:
+                    count[g] -= 1
+            low, high = a, b
+            yield 2 * shared / (len(count) + len(own))
 
     def _resolve(self, matches):
         kept = []
-        for m in sorted(set(matches), key=lambda m: (-m[3], -self.length[m[0]], m[0], m[1])):
+        for m in sorted(set(matches), key=lambda m: (self.fragment[m[0]], -m[3], -self.length[m[0]], m[0], m[1])):
             if all(m[1] + m[2] <= k[1] or k[1] + k[2] <= m[1] for k in kept):
                 kept.append(m)
         return sorted(kept, key=lambda m: (m[1], m[0]))
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                  templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+                  templates: Sequence[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id and ``matches``, an array of (license, template,
     first_word, n_words, dice) over the words of the normalised whole text.
 
     Bigrams with a word that no template has are distinct from each other. Null and short texts
     have no matches. Repeated rows are scanned each; empty input gives no rows; other columns
-    are ignored. The templates are a small fixed list that travels with the task.
+    are ignored. The templates (:func:`catalogue` if none are given) are a small fixed list that
+    is broadcast.
     """
-    catalog = Templates(templates, threshold)
+    sent = send(docs.sparkSession, Templates(catalogue() if templates is None else templates, threshold))
 
     def run(batches):
+        catalog = received(sent)
         for b in batches:
             for lo, texts in text_slices(b.column(1), SLICE):
                 found = catalog.scan(texts)

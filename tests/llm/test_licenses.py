@@ -58,3 +58,51 @@ def test_rows(spark):
     rows = L.scan_licenses(docs).collect()
     assert sorted((r.doc_id or 0, len(r.matches)) for r in rows) == [(0, 1), (1, 0), (1, 1), (1, 1)]
     assert L.scan_licenses(docs.limit(0)).count() == 0
+
+
+GNU_HEADER = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} License "
+              "as published by the Free Software Foundation, either version {1} of the License, or (at your option) any "
+              "later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+              "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} "
+              "License for more details.")
+LOOK_ALIKE = [
+    ("GPL-3.0", GNU_HEADER.format("General Public", 3)), ("GPL-2.0", GNU_HEADER.format("General Public", 2)),
+    ("LGPL-3.0", GNU_HEADER.format("Lesser General Public", 3)), ("AGPL-3.0", GNU_HEADER.format("Affero General Public", 3)),
+    ("LGPL-2.1", GNU_HEADER.format("Lesser General Public", "2.1").replace("program", "library")),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.0", "This work is licensed under the GNU Lesser General Public License, version 2."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."), ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+                "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+]
+
+
+@pytest.fixture(scope="module")
+def every_template():
+    return L.Templates(L.catalogue(), L.THRESHOLD)
+
+
+@pytest.mark.parametrize("i", range(len(LOOK_ALIKE)))
+def test_look_alike_notices(every_template, i):
+    name, text = LOOK_ALIKE[i]
+    (found,) = every_template.scan([f"Some words before it. {text} And others follow here.".encode()])
+    assert {every_template.names[m[0]] for m in found} == {name}
+
+
+def test_whole_texts(every_template):
+    """Every whole text, some of its words changed, is its own licence and no other."""
+    texts = {t: text for t, (_, text) in enumerate(L.catalogue()) if len(text.split()) > 60 and "\n" in text}
+    for t, text in texts.items():
+        words = text.split()
+        words[::40] = ["changed"] * len(words[::40])
+        (found,) = every_template.scan([f"Copyright 2024 X. {' '.join(words)} int main".encode()])
+        assert [every_template.names[m[0]] for m in found] == [every_template.names[t]]
+    assert {"AGPL-3.0", "LGPL-2.1", "BSD-2-Clause", "BSD-3-Clause", "MIT", "MIT-0"} <= {L.catalogue()[t][0] for t in texts}
+
+
+def test_registered_scan_has_look_alikes(spark):
+    docs = spark.createDataFrame([(str(i), t) for i, (_, t) in enumerate(LOOK_ALIKE)], "doc_id string, text string")
+    got = {r.doc_id: {m.license for m in r.matches} for r in L.scan_licenses(docs).collect()}
+    assert got == {str(i): {n} for i, (n, _) in enumerate(LOOK_ALIKE)}
