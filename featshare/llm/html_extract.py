@@ -36,53 +36,89 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "t
 SCOPE = frozenset("ul ol dl table article section main div body html aside nav header footer form".split())
 
 # What the classifier looks for.
-BOILER_TAGS = frozenset("nav footer aside form menu dialog button fieldset figcaption".split())
+BOILER_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
 MAIN_TAGS = frozenset(("article", "main"))
 BOILER_NAMES = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "copyright disclaimer discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter "
     "notice overlay pager pagination popup promo promotion recommended related replies reply respond search share "
     "sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split())
+#: tags and names whose articles are comments or teasers, not the page's own
+TEASER_TAGS = frozenset("nav footer aside menu dialog".split())
+TEASER_NAMES = frozenset("comment comments discussion disqus recommended related replies reply respond".split())
+#: parts that make a compound name tell a state of the element or its layout: comments-open, has-sidebar
+STATE_FIRST = frozenset("has is no not with without".split())
+STATE_LAST = frozenset("active closed disabled enabled off on open opened".split())
+#: last parts of a wrapper's name: sidebar-wrapper
+WRAPPERS = frozenset("container content inner layout main outer page wrap wrapper".split())
 PAGE_NAMES = frozenset(("header", "top", "alert"))
 MAIN_NAMES = frozenset("article content entry main post story".split())
 
 BIAS = -1.0
-WEIGHTS = {"main": 3.5, "main_name": 1.5, "boiler": -7.0, "paragraph": 1.0, "heading": 0.5, "item": -0.5,
+WEIGHTS = {"main": 3.5, "main_name": 1.5, "boiler": -7.0, "hidden": -14.0, "paragraph": 1.0, "heading": 0.5, "item": -0.5,
            "links": -4.0, "words": 0.5, "sentence": 0.5}
 NEIGHBOUR = 0.25
 SIBLING = 0.5
 
 
 class _Node:
-    __slots__ = ("tag", "main", "named", "boiler", "link", "parent", "number")
+    __slots__ = ("tag", "main", "named", "boiler", "teaser", "hidden", "link", "parent", "number")
 
-    def __init__(self, tag, main, named, boiler, link, parent, number):
-        self.tag, self.main, self.named, self.boiler = tag, main, named, boiler
-        self.link, self.parent, self.number = link, parent, number
+    def __init__(self, tag, main, named, boiler, teaser, hidden, link, parent, number):
+        self.tag, self.main, self.named, self.boiler, self.teaser = tag, main, named, boiler, teaser
+        self.hidden, self.link, self.parent, self.number = hidden, link, parent, number
+
+
+def _strength(parts: list[str], main: bool) -> float:
+    """How far one name marks boilerplate: 1, or 0.5 where it rather tells a state or the layout
+    of an element that may hold the main text."""
+    def marks(part):
+        return part in BOILER_NAMES or (not main and part in PAGE_NAMES)
+
+    if not any(map(marks, parts)):
+        return 0.0
+    first, last = parts[0], parts[-1]
+    if first in STATE_FIRST or last in STATE_LAST or (not marks(last) and first in MAIN_NAMES):
+        return 0.5
+    return 0.5 if last in WRAPPERS and not main else 1.0
 
 
 def _enter(tag: str, attributes: str, up: _Node, number: int) -> _Node:
-    """State of an element: what it inherits and what its tag and names add."""
-    main = up.main or tag in MAIN_TAGS
-    boiler = up.boiler or tag in BOILER_TAGS or (tag == "header" and not main)
-    named = up.named
+    """State of an element: what it inherits and what its tag and names add. The innermost mark
+    counts: boilerplate in the main element is not main, and a main element in a wrapper with a
+    boilerplate name is not boilerplate. Comments and teasers stay so as articles, too."""
+    main_tag, strength, named, teaser, hidden = tag in MAIN_TAGS, 0.0, False, False, up.hidden
+    center = tag == "main"
     if attributes and tag not in ("html", "body") and not attributes.isspace():
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name in ("class", "id", "role"):
-                names = {n.lower() for n in NAME.findall(value)}
-                boiler = boiler or bool(names & BOILER_NAMES) or (not main and bool(names & PAGE_NAMES))
-                main = main or (name == "role" and "main" in names)
-                named = named or bool(names & MAIN_NAMES)
+                for word in value.split():
+                    parts = [n.lower() for n in NAME.findall(word)]
+                    own = _strength(parts, up.main or main_tag)
+                    strength = max(strength, own)
+                    teaser = teaser or (own == 1 and not TEASER_NAMES.isdisjoint(parts))
+                    named = named or not MAIN_NAMES.isdisjoint(parts)
+                    center = center or (name == "role" and parts == ["main"])
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (
                     name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                boiler = True
-    return _Node(tag, main, named, boiler, up.link or tag == "a", up if tag not in INLINE else up, number)
+                hidden = True
+    main, boiler, named = up.main, up.boiler, named or up.named
+    if center or (main_tag and not teaser and not up.teaser):
+        main, boiler, teaser = True, 0.0, False
+    else:
+        if tag in BOILER_TAGS or (tag in ("header", "figcaption") and not main):
+            strength = 1.0
+        if strength == 1:
+            main = named = False
+        boiler = max(boiler, strength)
+        teaser = teaser or up.teaser or tag in TEASER_TAGS
+    return _Node(tag, main, named, boiler, teaser, hidden, up.link or tag == "a", up, number)
 
 
 def blocks(html: str) -> list[tuple[str, float, int]]:
     """Text blocks in page order: (text, log-odds of content, number of the parent element)."""
-    root = _Node("html", False, False, False, False, None, 0)
+    root = _Node("html", False, False, 0.0, False, False, False, None, 0)
     stack, out, text, linked = [root], [], [], 0
     number, at, n = 0, 0, len(html)
 
@@ -156,13 +192,14 @@ def blocks(html: str) -> list[tuple[str, float, int]]:
 def _odds(text: str, linked: int, node: _Node) -> float:
     """Log-odds that a block is content."""
     w = WEIGHTS
+    if node.hidden:
+        return w["hidden"]
     odds = BIAS + w["words"] * math.log2(1 + text.count(" ")) + w["links"] * min(1.0, linked / len(text))
     if node.main:
         odds += w["main"]
     if node.named:
         odds += w["main_name"]
-    if node.boiler:
-        odds += w["boiler"]
+    odds += w["boiler"] * node.boiler
     if node.tag in ("p", "blockquote", "pre"):
         odds += w["paragraph"]
     elif len(node.tag) == 2 and node.tag[0] == "h" and node.tag[1].isdigit():
@@ -171,8 +208,7 @@ def _odds(text: str, linked: int, node: _Node) -> float:
         odds += w["item"]
     if text[-1] in ".!?…\"”»":
         odds += w["sentence"]
-    # a boilerplate ancestor outweighs any length
-    return min(odds, -1.5) if node.boiler else odds
+    return odds
 
 
 def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:

@@ -36,6 +36,36 @@ def test_edges(html, text):
     assert got == text or html == "<"
 
 
+LONG = "The council met on Monday and agreed to build a new bridge over the river before the winter comes."
+SHORT = "Sign up to get our best stories by mail."
+
+
+@pytest.mark.parametrize("html,text", [
+    # names of wrappers, states and layouts
+    (f'<div class="content-sidebar-wrap"><main class="content"><p>{LONG}</p></main></div>', LONG),
+    (f'<div class="content-sidebar-wrap"><div class="entry"><p>{LONG}</p></div></div>', LONG),
+    (f'<article class="post comments-open"><p>{LONG}</p></article>', LONG),
+    (f'<div class="post comments-open"><p>{LONG}</p></div>', LONG),
+    (f'<div class="has-sidebar"><article><p>{LONG}</p><p>Short.</p></article></div>', f"{LONG}\nShort."),
+    (f'<div id="search"><div role="main"><p>{LONG}</p></div></div>', LONG),
+    (f'<form id="page"><article><p>{LONG}</p></article></form>', LONG),
+    (f'<div class="sidebar"><article class="story"><p>{LONG}</p></article></div>', LONG),
+    # captions
+    (f"<article><p>{LONG}</p><figure><img><figcaption>The old bridge.</figcaption></figure></article>",
+     f"{LONG}\nThe old bridge."),
+    # boilerplate stays out, in the article and around it
+    (f'<article><p>{LONG}</p><div class="newsletter-wrap"><p>{SHORT}</p></div></article>', LONG),
+    (f'<article><p>{LONG}</p><div class="entry-footer"><p>{SHORT}</p></div></article>', LONG),
+    (f'<article><p>{LONG}</p><div class="related-content"><p>{LONG} {LONG}</p></div></article>', LONG),
+    (f'<article><p>{LONG}</p><section id="comments"><article class="comment-body"><p>{LONG}</p></article></section></article>',
+     LONG),
+    (f'<article><p>{LONG}</p></article><aside><article><p>{LONG}</p></article></aside>', LONG),
+    (f'<div class="sidebar-wrapper"><p>{SHORT}</p></div><article><p>{LONG}</p></article>', LONG),
+    (f'<article><p>{LONG}</p><div style="display: none"><article><p>{LONG}</p></article></div></article>', LONG)])
+def test_names_are_weighed(html, text):
+    assert H.main_text(f"<html><body>{html}</body></html>")[0] == text
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(60):
