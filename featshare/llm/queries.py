@@ -9,12 +9,16 @@ from .common import table
 from .decontamination import contaminated_spans
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
+from .lexical import lexical_search
 from .licenses import scan_licenses
 from .lm_scoring import lm_scores
 from .packing import pack_documents
+from .pii import BASE, find_pii
 from .quality import quality
 from .quality import train as train_quality
+from .query_sql import SPELLING_SQL, pii_sql
 from .simhash import simhash_groups
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity, train
 
@@ -166,3 +170,44 @@ def op6(spark, sf_dir):
     return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"),
                       F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
                       F.round(F.array_max("matches.dice"), 6).alias("best_dice"), "matches")
+
+
+def _spans_text(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op11_pii", pii_sql())
+def op11(spark, sf_dir):
+    """Personal data in every document."""
+    out = find_pii(table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k.name)).cast("long").alias(f"n_{k.name}") for k in BASE]
+    base = _spans_text(of(*[k.name for k in BASE]))
+    return out.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+                      _spans_text(F.col("spans")).alias("spans"))
+
+
+@query("op12_ranked_lexical_search", f"""
+with i as (select row_number() over () as q, item_id, unnest({WORDS_SQL}) as term from benchmark),
+q as (select q, item_id, term, count(*) as times from i group by all),
+d as (select row_number() over () as r, doc_id, {WORDS_SQL} as ws from documents),
+st as (select count(*) filter (len(ws) > 0) as n_docs, sum(len(ws))::bigint as n_terms from d),
+tf as (select r, doc_id, n, term, count(*) as tf
+       from (select r, doc_id, len(ws) as n, unnest(ws) as term from d) group by all),
+df as (select term, count(*) as df from tf group by term),
+s as (select q, item_id, r, doc_id,
+             sum(times * cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1))) as bigint)
+                 * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint as score
+      from q join tf using (term) join df using (term) cross join st group by all),
+x as (select item_id, doc_id, score, row_number() over (partition by q order by score desc, doc_id) as rank
+      from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from x where rank <= 20""")
+def op12(spark, sf_dir):
+    """The 20 best documents for every benchmark item."""
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_spelling_variants", SPELLING_SQL)
+def op13(spark, sf_dir):
+    """Spelling variants among the words of all documents."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
