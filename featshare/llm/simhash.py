@@ -154,18 +154,34 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     stay repeated; empty input gives no rows; other columns are ignored.
     """
     rows = written(fingerprints(docs, key, text, shingle), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    member = _members(rows, F.col("doc_id"), max_bits, block)
+    return rows.join(member, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
+
+
+def _members(rows: DataFrame, rank: Column, max_bits: int, block: int) -> DataFrame:
+    """(fp, first): for each distinct fingerprint the smallest ``rank`` of its component's rows."""
+    nodes = written(rows.groupBy("fp").agg(F.min(rank).alias("first")), "nodes")
     root = components(links(nodes.select("fp"), max_bits, block), "simhash")
     rooted = nodes.join(root, nodes["fp"] == root["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(member, "fp").select("doc_id", "fp", "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return rooted.select("fp", "root").join(smallest, "root").select("fp", "first")
 
 
-def keep_one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` with the row of the smallest key of each group only, all columns as they are.
-    A null key is never dropped for another row's sake: it has no id to lose against."""
-    gone = (simhash_groups(docs, key, text, **how).where("doc_id <> component_id")
-            .select(F.col("doc_id").alias("__key")).distinct())
-    return docs.join(gone, docs[key] == gone["__key"], "left_anti")
+def keep_one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                       max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one document of each group only, all columns as they are: the one of the
+    smallest key, null keys last, and of equal keys the text of the smallest hash.
+
+    A document is a key and a text, so rows that share a key only are judged each by its own
+    text, and rows that repeat both stay or go together. Null texts and texts without words are
+    one group. Empty input gives no rows; clashing names of other columns do no harm.
+    """
+    mark = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    marked = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), mark.alias("mark")).alias("id"),
+                         F.col(text).alias("t"))
+    rows = written(fingerprints(marked, "id", "t", shingle), "fingerprints")
+    gone = (rows.join(_members(rows, F.col("doc_id"), max_bits, block), "fp").where("doc_id <> first")
+            .select(F.col("doc_id.key").alias("__key"), F.col("doc_id.mark").alias("__mark")).distinct())
+    own = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
+    return docs.join(gone, docs[key].eqNullSafe(gone["__key"]) & (own == gone["__mark"]), "left_anti")

@@ -96,5 +96,21 @@ def test_documents(spark, sf_small):
     left = S.keep_one_per_group(docs)
     assert left.columns == docs.columns
     assert sorted((r.doc_id for r in left.collect()), key=repr) == sorted(
-        (r.doc_id for r in rows if r.doc_id is None or want[r.doc_id] == r.doc_id), key=repr)
+        (r.doc_id for r in rows if r.doc_id is not None and want[r.doc_id] == r.doc_id), key=repr)
     assert S.simhash_groups(docs.limit(0)).count() == 0
+
+
+def test_one_document_of_each_group_stays(spark):
+    """Documents are keys with texts: a repeated key loses no text of its own."""
+    one, two, three = ("alpha beta gamma delta " * 9, "one two three four five " * 9, "left right up down " * 9)
+    rows = [(3, one), (5, one), (5, two), (None, three), (None, three + "down"), (7, None), (6, ""), (None, " "), (8, two), (8, two), (9, three)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__key", F.lit(1)).withColumn("fp", F.lit("x"))
+    left = S.keep_one_per_group(docs)
+    assert left.columns == docs.columns
+    near = S.fingerprint(three.encode()) ^ S.fingerprint((three + "down").encode())
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(
+        [(3, one), (5, two), (6, ""), (9, three)] + ([] if near.bit_count() <= 4 else [(None, three + "down")]), key=repr)
+    same = spark.createDataFrame([(4, one), (4, one), (4, one + "x")], "doc_id long, text string")
+    kept = [r.text for r in S.keep_one_per_group(same).collect()]
+    assert len(set(kept)) == (1 if (S.fingerprint(one.encode()) ^ S.fingerprint((one + "x").encode())).bit_count() <= 4 else 2)
+    assert S.keep_one_per_group(docs.limit(0)).count() == 0
