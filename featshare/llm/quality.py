@@ -23,14 +23,10 @@ from .common import binary_text, received, send, written
 from .logistic import logistic
 
 SAMPLE = 2000
-#: characters taken from one sampled text for training; scoring reads whole texts
-SAMPLE_CHARS = 10_000
 #: documents with a posterior below this are rejected
 THRESHOLD = 0.5
 #: bounds of the shrinkage strength, in documents
 STRENGTH = (2.0, 1000.0)
-#: a site moves the prior log-odds by this much at most, against or for its documents
-LEVERAGE = 2.0
 
 _KINDS = ["upper", "lower", "digit", "space", "newline", "stop", "symbol", "other"]
 
@@ -73,12 +69,12 @@ class Model:
     """Log likelihood ratio of good against bad (zero without both classes), and the rate of
     good rows among all labels, which the sample of each class does not show."""
 
-    def __init__(self, rows: list[tuple[bytes, int]], rate: float | None = None):
+    def __init__(self, rows: list[tuple[list[float], int]], rate: float | None = None):
         y = np.array([k for _, k in rows], float)
         self.rate = rate if rate is not None else float(y.mean()) if len(y) else 0.5
         self.fit = None
         if 0 < y.sum() < len(y):
-            self.fit = logistic(np.array([features(t) for t, _ in rows]), y)
+            self.fit = logistic(np.array([x for x, _ in rows]), y)
             self.base = math.log(y.sum() / (len(y) - y.sum()))
 
     def evidence(self, texts: Iterable[bytes]) -> np.ndarray:
@@ -92,19 +88,33 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
           usable: Column | None = None, sample: int = SAMPLE) -> Model:
-    """Model from at most ``sample`` labelled rows of each class (smallest hashes of the key),
-    ``SAMPLE_CHARS`` characters of each; only rows whose key meets ``usable`` are seen."""
-    marked = labels.where(F.col(label).isin(0, 1))
+    """Model from at most ``sample`` labelled rows of each class (smallest hashes of the key);
+    only rows whose key meets ``usable`` are seen. Features of their whole texts are made in
+    tasks; the driver gets those numbers only, at most one row per sampled key and text.
+
+    Labels other than 0 and 1, null ones and null keys are left out, repeated ones count once;
+    a key with both labels counts in both classes. Without both classes there is no evidence.
+    """
+    marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     if usable is not None:
         marked = marked.where(usable)
     marked = marked.select(F.col(key).alias("k"), F.col(label).alias("y")).distinct()
     rate = marked.agg(F.avg("y")).first()[0]
     few = [marked.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample) for y in (0, 1)]
     few = few[0].unionByName(few[1])
-    texts = docs.select(F.col(key).alias("k"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_CHARS)
-                        .cast("binary").alias("t"))
-    rows = texts.join(F.broadcast(few), "k").orderBy("k", "y", "t").collect()  # at most 2 * sample keys
-    return Model([(bytes(r["t"]), int(r["y"])) for r in rows], rate)
+    texts = docs.select(F.col(key).alias("k"), binary_text(text).alias("t"))
+    seen = texts.join(F.broadcast(few), "k").select("k", F.col("y").cast("int").alias("y"), "t")
+
+    def run(batches):
+        for b in batches:
+            xs = [features(t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xs, pa.list_(pa.float64()))],
+                                             names=["k", "y", "x"])
+
+    kind = seen.schema["k"].dataType.simpleString()
+    rows = seen.mapInArrow(run, f"k {kind}, y int, x array<double>").distinct().collect()
+    rows = sorted((r["k"], r["y"], tuple(r["x"])) for r in rows)  # one order, whatever the partitions
+    return Model([(list(x), y) for _, y, x in rows], rate)
 
 
 def score(docs: DataFrame, model: Model, key: str, text: str, host: Column, path: Column) -> DataFrame:
@@ -169,12 +179,11 @@ def quality(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     # the document itself is taken out of its host's and path's sums
     host_rate = (F.col("hs") - F.col("p") + k_host * rate) / (F.col("hn") - 1 + k_host)
     path_rate = (F.col("s") - F.col("p") + k_path * F.col("host_rate")) / (F.col("n") - 1 + k_path)
-    shift = F.least(F.greatest(_logit(F.col("path_rate")) - _logit(F.lit(rate)), F.lit(-LEVERAGE)), F.lit(LEVERAGE))
     bound = (F.lit(1e-6), F.lit(1 - 1e-6))
     return (rows.join(sites, ["host", "path"])
             .withColumn("host_rate", F.least(F.greatest(host_rate, bound[0]), bound[1]))
             .withColumn("path_rate", F.least(F.greatest(path_rate, bound[0]), bound[1]))
-            .withColumn("posterior", _sigmoid(_logit(F.lit(rate)) + shift + F.col("evidence")))
+            .withColumn("posterior", _sigmoid(_logit(F.col("path_rate")) + F.col("evidence")))
             .select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", "posterior",
                     (F.col("posterior") >= threshold).alias("kept")))
 

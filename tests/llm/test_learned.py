@@ -110,8 +110,7 @@ def test_quality_posterior_by_hand(spark):
         h, pa = hosts[host or ""], paths[host or "", lang]
         hr = (h[0] - p[i] + kh * rate) / (h[1] - 1 + kh)
         pr = (pa[0] - p[i] + kp * hr) / (pa[1] - 1 + kp)
-        shift = math.log(pr / (1 - pr)) - math.log(rate / (1 - rate))
-        odds = math.log(rate / (1 - rate)) + min(max(shift, -Q.LEVERAGE), Q.LEVERAGE) + ev[i]
+        odds = math.log(pr / (1 - pr)) + ev[i]
         assert got[i].path_rate == pytest.approx(pr, abs=1e-6)
         assert got[i].posterior == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-6)
         if str(host).startswith("tiny"):  # alone on its site: the global prior
@@ -122,6 +121,6 @@ def test_quality_edges(spark):
     assert all(map(math.isfinite, Q.features(b"") + Q.features(b"\xff\x00") + Q.features("é" .encode() * 9999)))
     docs = spark.createDataFrame([(1, None, None, None), (1, "x", "s", "l"), (None, "", "s", None)],
                                  "doc_id long, text string, source string, lang string").withColumn("p", F.lit(3))
-    model = Q.Model([(b"the house is green.", 1), (b"### ### |||", 0)] * 5)
+    model = Q.Model([(Q.features(b"the house is green."), 1), (Q.features(b"### ### |||"), 0)] * 5)
     assert Q.quality(docs, model).count() == 3 and Q.quality(docs.limit(0), model).count() == 0
     assert Q.keep_good(docs, model).columns == docs.columns
