@@ -227,13 +227,14 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     if window < gram or gram & (gram - 1):
         raise ValueError("gram must be a power of two and at most the window")
     first = written(scan(docs, key, text, window, gram), "anchors")
-    pairs = first.select("doc_id", F.explode(F.arrays_zip("anchors", "weights")).alias("x")).select(
-        "doc_id", F.col("x.anchors").alias("anchor"), F.col("x.weights").alias("weight"))
+    pairs = first.select("doc_id", "mark", F.explode(F.arrays_zip("anchors", "weights")).alias("x")).select(
+        "doc_id", "mark", F.col("x.anchors").alias("anchor"), F.col("x.weights").alias("weight"))
     often = pairs.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor")
-    wanted = (pairs.select("doc_id", "anchor").join(often, "anchor", "left_semi")
-              .groupBy(F.col("doc_id").alias("k")).agg(F.collect_set("anchor").alias("wanted")))
+    wanted = (pairs.select("doc_id", "mark", "anchor").join(often, "anchor", "left_semi")
+              .groupBy(F.col("doc_id").alias("k"), F.col("mark").alias("m")).agg(F.collect_set("anchor").alias("wanted")))
     rows = _keyed(docs, key, text)
-    marked = written(rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["k"])).drop("k"), "marked")
+    marked = written(rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["k"]) & (rows["mark"] == wanted["m"]))
+                     .drop("k", "m"), "marked")
     segs = written(_cut_segments(marked, window, gram, True).groupBy("anchor", "seg")
                    .agg(F.count("*").alias("mult")), "segments")
     crowded = written(segs.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
