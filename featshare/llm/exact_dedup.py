@@ -3,12 +3,11 @@
 A text is cut where its own content says so: after ``MIN_CHUNK`` characters a chunk ends at
 the first place whose neighbours match ``CUT`` (about one place in a thousand, so that equal
 passages fall into equal chunks again soon after a difference), at ``MAX_CHUNK`` at the
-latest. Chunks
-are deduplicated once to 64-bit identifiers, and the chunk table verifies them: an
-identifier that stands for two different chunks is reported, and documents that hold it
-carry their whole text beside the recipe. Documents are then equal when their ordered
-identifier lists are; long documents move once, as distinct chunks, and every later
-shuffle carries short lists of numbers.
+latest. Every text is cut once. Chunks
+are deduplicated to 64-bit identifiers, and the distinct (identifier, SHA-256 of the chunk)
+pairs verify them: an identifier that stands for two different chunks is reported, and
+documents that hold it carry their whole text beside the recipe. Documents are then equal when
+their ordered identifier lists are; no shuffle carries text, unless an identifier clashes.
 """
 
 from __future__ import annotations
@@ -34,12 +33,11 @@ def _identifier(chunk: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(chunk), 64 - bits)
 
 
-def clashes(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame:
-    """Identifiers (column ``id``) that stand for more than one chunk: empty unless the
-    hash collides. The only step that moves chunk text, each distinct chunk once per task."""
-    norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    chunks = docs.select(F.explode(chunk_list(norm)).alias("chunk"))
-    return (chunks.select(_identifier(F.col("chunk"), bits).alias("id"), "chunk").distinct()
+def clashes(recipes: DataFrame) -> DataFrame:
+    """Identifiers (column ``id``) that stand for more than one chunk: empty unless the hash
+    collides. Chunks are told apart by their SHA-256, each distinct pair once per task."""
+    pairs = recipes.select(F.explode(F.arrays_zip("recipe", "digests")).alias("x"))
+    return (pairs.select(F.col("x.recipe").alias("id"), F.col("x.digests").alias("digest")).distinct()
             .groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
 
 
@@ -55,12 +53,14 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bits:
     """
     norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
     ids = F.transform(F.col("__chunks"), lambda c: _identifier(c, bits))
-    recipes = written(
+    digests = F.transform(F.col("__chunks"), lambda c: F.unhex(F.sha2(c.cast("binary"), 256)))
+    cut = written(
         docs.select(F.col(key).alias("doc_id"), norm.alias("__norm"))
         .select("doc_id", F.sha2(F.col("__norm").cast("binary"), 256).alias("text_sha256"),
-                chunk_list(F.col("__norm")).alias("__chunks"), "__norm")
-        .select("doc_id", "text_sha256", ids.alias("recipe"), F.lit("").alias("exact")), "recipes")
-    bad = written(clashes(docs, text, bits), "clashes")
+                chunk_list(F.col("__norm")).alias("__chunks"))
+        .select("doc_id", "text_sha256", ids.alias("recipe"), digests.alias("digests")), "recipes")
+    bad = written(clashes(cut), "clashes")
+    recipes = cut.drop("digests").withColumn("exact", F.lit(""))
     if not bad.isEmpty():  # the hash collided: those documents are compared by their text too
         held = (recipes.select("text_sha256", F.explode("recipe").alias("id")).join(bad, "id", "left_semi")
                 .select("text_sha256").distinct())
