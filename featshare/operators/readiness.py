@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,6 +81,45 @@ def poll_samples(status_events: DataFrame, interval_s: int, kind: str = "online_
                     state_class(kind, "state").alias("state_class"), "n_events")
 
 
+#: intervals of one object that meet in one window
+GRID_BLOCK = 1024
+
+
+def poll_grid(status_events: DataFrame, interval_s: int, kind: str = "online_table", object_col: str = "object_name",
+              ts_col: str = "ts", state_col: str = "state", block: int = GRID_BLOCK) -> DataFrame:
+    """T2 as a poller sees it: one row per object and interval from its first event to its
+    last, intervals without an event included (``n_events`` 0), each with the last state
+    reported up to the interval's end.
+
+    The log is aggregated per object and interval first. The time axis is cut into blocks of
+    ``block`` intervals: a block's last state is carried over the blocks of an object, and the
+    intervals of a block are filled inside it, so no window holds more than ``block`` rows or
+    the blocks of one object.
+    """
+    dtype = status_events.schema[ts_col].dataType
+    step = int(interval_s) * 1_000_000
+    seen = poll_samples(status_events, interval_s, kind, object_col, ts_col, state_col).select(
+        "object_name", (F.floor(to_micros(F.col("window_start"), dtype) / step)).cast("bigint").alias("i"),
+        F.struct("state").alias("_s"), "n_events")
+    per_block = seen.groupBy("object_name", F.floor(F.col("i") / block).cast("bigint").alias("block")).agg(
+        F.max_by("_s", "i").alias("_last"), F.min("i").alias("lo"), F.max("i").alias("hi"))
+    ends = per_block.groupBy("object_name").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    blocks = ends.select("object_name", "lo", "hi", F.explode(F.sequence(
+        F.floor(F.col("lo") / block).cast("bigint"), F.floor(F.col("hi") / block).cast("bigint"))).alias("block"))
+    before = Window.partitionBy("object_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (blocks.join(per_block.select("object_name", "block", "_last"), ["object_name", "block"], "left")
+              .withColumn("_carried", F.last("_last", ignorenulls=True).over(before)))
+    grid = blocks.select("object_name", "block", "_carried", F.explode(F.sequence(
+        F.greatest("lo", F.col("block") * block), F.least("hi", F.col("block") * block + (block - 1)))).alias("i"))
+    inside = Window.partitionBy("object_name", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    filled = (grid.join(seen, ["object_name", "i"], "left")
+              .withColumn("_now", F.coalesce(F.last("_s", ignorenulls=True).over(inside), F.col("_carried"))))
+    return filled.select("object_name", from_micros(F.col("i") * step, dtype).alias("window_start"),
+                         F.col("_now.state").alias("state"),
+                         state_class(kind, F.col("_now.state")).alias("state_class"),
+                         F.coalesce("n_events", F.lit(0)).cast("bigint").alias("n_events"))
+
+
 def publish_rollup(outcomes: DataFrame, readiness_df: DataFrame | None = None, group_cols=()) -> DataFrame:
     """A3: are all tables ready? Counts per outcome; false if any publish failed or (with
     readiness) any table did not reach ready. Grouped by ``group_cols`` if given."""

@@ -10,10 +10,11 @@ from featshare.functions.envelope import result_json
 from featshare.functions.names import (dns_name, endpoint_name, invocation_url, online_name,
                                        shared_name, short_name, source_endpoint_name)
 from featshare.functions.states import error_class, state_class
+from featshare.operators.components import consolidated_share, model_components
 from featshare.operators.links import broken_links, online_name_collisions, resolve_links
 from featshare.operators.quality import (TARGET_RULES, error_triage, store_name_audit, validate_run_configs,
                                          validate_target_configs)
-from featshare.operators.readiness import poll_samples, publish_rollup, readiness
+from featshare.operators.readiness import poll_grid, poll_samples, publish_rollup, readiness
 from featshare.operators.registry import (cut_to_versions, dependency_drift, dependency_summary, discover_model,
                                           distinct_dependencies, effective_share, latest_model_version,
                                           schema_share, shared_by_many, version_for_run, versions_desc,
@@ -120,6 +121,39 @@ def a8(spark, sf_dir):
     return shared_by_many(deps)
 
 
+A8_CTES = {
+    "latest": SOURCE_CTES["latest"], "ldeps": SOURCE_CTES["ldeps"],
+    "edges": "select distinct model_name, dep_type, dep_name from ldeps",
+    "hops": """select distinct a.model_name as a, b.model_name as b from edges a join edges b
+               on a.dep_type = b.dep_type and a.dep_name = b.dep_name""",
+    "comp": """select model_name, min(label) as component from (
+      with recursive reach(model_name, label) as (
+        select model_name, model_name from latest
+        union select h.b, r.label from reach r join hops h on h.a = r.model_name where r.label < h.b)
+      select * from reach) group by model_name"""}
+
+
+@register("a8_model_components", fixtures=["model_versions", "dependencies"], ctes=A8_CTES, oracle="""
+select model_name, component from comp""")
+def a8_components(spark, sf_dir):
+    return model_components(*_latest_dependencies(Fixtures(spark, sf_dir)))
+
+
+@register("a8_consolidated_share", fixtures=["model_versions", "dependencies"], ctes=A8_CTES, oracle="""
+select component, object_type, object_name, count(*) as n_models from (
+  select component, 'MODEL' as object_type, model_name as object_name from comp
+  union all select component, dep_type, dep_name from edges join comp using (model_name))
+group by 1, 2, 3""")
+def a8_share(spark, sf_dir):
+    return consolidated_share(*_latest_dependencies(Fixtures(spark, sf_dir)))
+
+
+def _latest_dependencies(fx):
+    """Models with a version, and the distinct dependencies of their latest one."""
+    latest = latest_model_version(fx.model_versions).select("model_name", "version")
+    return latest.select("model_name"), distinct_dependencies(cut_to_versions(fx.dependencies, latest))
+
+
 # ---------------------------------------------------------------- W3, W4
 
 W3_CTES = {
@@ -210,13 +244,13 @@ def u2(spark, sf_dir):
                             fx.share_objects, shares=fx.share_requests)
 
 
-@register("u3_schema_share", fixtures=["share_schemas", "table_registry"], oracle="""
-select s.schema_full_name, s.share_name, t.table_name, t.table_id
-from share_schemas s join table_registry t
+@register("u3_schema_share", fixtures=["share_schemas", "source_tables"], oracle="""
+select s.schema_full_name, s.share_name, t.table_name
+from share_schemas s join source_tables t
   on s.schema_full_name = split_part(t.table_name, '.', 1) || '.' || split_part(t.table_name, '.', 2)""")
 def u3(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    return schema_share(fx.share_schemas, fx.table_registry)
+    return schema_share(fx.share_schemas, fx.source_tables)
 
 
 @register("j6_recipient_plan", fixtures=["share_requests", "recipients"], ctes=PLAN_CTES, oracle="""
@@ -284,9 +318,8 @@ def j9(spark, sf_dir):
     return resolve_links(fx.online_tables, fx.table_registry)
 
 
-@register("a7_online_name_collisions", fixtures=["registered_models"], ctes={
-    "src": """select distinct catalog_name || '.' || schema_name || '.' || regexp_extract(model_name, '[^.]*$')
-                       as source_table_name from registered_models""",
+@register("a7_online_name_collisions", fixtures=["source_tables"], ctes={
+    "src": "select distinct table_name as source_table_name from source_tables",
     "named": """select source_table_name,
                        'main.default.' || regexp_extract(source_table_name, '[^.]*$') || '_online' as online_table_name
                 from src""",
@@ -297,9 +330,7 @@ select n.online_table_name, n.source_table_name, g.n_sources,
        case when n.source_table_name = g.first_source then 'published' else 'exists' end as reference_outcome
 from named n join grp g on n.online_table_name = g.online_table_name""")
 def a7(spark, sf_dir):
-    rm = Fixtures(spark, sf_dir).registered_models
-    names = rm.select(F.concat_ws(".", "catalog_name", "schema_name", short_name("model_name")).alias("t"))
-    return online_name_collisions(names, "t", "main", "default")
+    return online_name_collisions(Fixtures(spark, sf_dir).source_tables, "table_name", "main", "default")
 
 
 @register("j11_catalog_plan", fixtures=["registered_models", "catalogs"], oracle="""
@@ -617,6 +648,21 @@ def t2(spark, sf_dir):
     return poll_samples(Fixtures(spark, sf_dir).status_events, 30)
 
 
+GRID_S = 6 * 3600
+
+
+@register("t2_poll_grid", fixtures=["status_events"], ctes={
+    "s": f"""select object_name, time_bucket(interval '{GRID_S} seconds', ts) as w, arg_max(state, ts) as state, count(*) as n
+             from status_events group by 1, 2""",
+    "grid": f"""select object_name, unnest(generate_series(min(w), max(w), interval '{GRID_S} seconds')) as w
+                from s group by object_name"""}, oracle=f"""
+select g.object_name, g.w as window_start, s.state, {online_table_state_sql('s.state')} as state_class,
+       case when s.w = g.w then s.n else 0 end as n_events
+from grid g asof join s on g.object_name = s.object_name and g.w >= s.w""")
+def t2_grid(spark, sf_dir):
+    return poll_grid(Fixtures(spark, sf_dir).status_events, GRID_S)
+
+
 TABLE_TIMEOUT_S = 6 * 3600
 
 

@@ -200,10 +200,20 @@ select user_id, event_id as commit_version, ts as commit_ts,
             else 'update_postimage' end as change_type, value
 from events""", ("events",)),
 
+    # feature tables of many catalogs and schemas; a short name that lies in several of them
+    # becomes one online name (parts divisible by 5 have one table only)
+    "source_tables": ("""
+select distinct concat(case when l_partkey % 5 = 0 then 'cat_0.sch_'
+                            else concat('cat_', cast(l_suppkey % 3 as string), case when l_suppkey % 2 = 0 then '.sch_' else '.dev_' end) end,
+                       cast(cast(floor(l_partkey / 50) as bigint) as string), '.features_', cast(l_partkey as string)) as table_name
+from lineitem""", ("lineitem",)),
+
+    # a schema per share, of which some hold no table; 'cat_2.dev_*' and others stay uncovered
     "share_schemas": ("""
-select concat('share_', cast(r_regionkey as string)) as share_name,
-       case when r_regionkey % 2 = 0 then 'prod.ml' else 'prod.other' end as schema_full_name
-from region""", ("region",)),
+select concat('share_', cast(s_suppkey as string)) as share_name,
+       concat('cat_', cast(s_suppkey % 4 as string), case when s_suppkey % 5 = 0 then '.dev_' else '.sch_' end,
+              cast(cast(floor(s_suppkey / 3) as bigint) as string)) as schema_full_name
+from supplier""", ("supplier",)),
 
     # Added here (not in the fixture list): a status log for the feature tables that
     # models depend on (features_0 .. features_39), so readiness can gate deployment.

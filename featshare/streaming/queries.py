@@ -9,6 +9,7 @@ involved.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +18,14 @@ from pyspark.sql import functions as F
 from featshare.operators.changes import snapshot_as_of
 from featshare.operators.training import score_batch
 from featshare.plans.queries_data import OLS_CTES, REQUEST_CTES, SCORED, fitted
+from featshare.plans.queries_meta import TIMEOUT_S, _readiness_sql
 from featshare.plans.registry import online_table_state_sql, register
 from featshare.session import work_dir
 from featshare.sources import fs
 from featshare.sources.fixtures import DERIVED, base, derived
 from featshare.sources.publish import publish_snapshot, read_published
 from featshare.streaming.publish_stream import publish_stream
-from featshare.streaming.readiness_stream import readiness_stream
+from featshare.streaming.readiness_stream import ROCKSDB, readiness_stream, readiness_stream_from_first
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +45,18 @@ def derived_on(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.sql(sql)
 
 
+@contextmanager
+def state_store(spark: SparkSession, provider: str):
+    """Streams started inside use this state store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def run_to_files(df: DataFrame, name: str) -> str:
     spark = df.sparkSession
     out, ckpt = work_dir(spark, f"{name}-out"), work_dir(spark, f"{name}-ckpt")
@@ -76,14 +90,8 @@ def _t3_oracle_ctes():
 
 
 def t3(spark, sf_dir):
-    close_ts = datetime(2099, 1, 1)
-    closing = {"event_id": -1, "ts": close_ts, "user_id": CLOSE_USER, "event_type": "view",
-               "value": 0.0, "props": "{}"}
-    # an end-of-stream marker in a file of its own moves the watermark past every deadline
-    end, events = work_dir(spark, "t3-end"), base(spark, sf_dir, "events")
-    spark.createDataFrame([closing], events.schema).coalesce(1).write.parquet(end)
-    stream = events_stream(spark, sf_dir).unionByName(spark.readStream.schema(events.schema).parquet(end))
-    verdicts = readiness_stream(derived_on(spark, stream, "status_events"), T3_TIMEOUT_S, T3_START, T3_DELAY)
+    stream = derived_on(spark, closed_events(spark, sf_dir), "status_events")
+    verdicts = readiness_stream(stream, T3_TIMEOUT_S, T3_START, T3_DELAY)
     decided = spark.read.parquet(run_to_files(verdicts, "t3"))
     # the objects waited on: those seen since the start; the ones seen too late time out
     waited = derived(spark, sf_dir, "status_events").where(
@@ -92,6 +100,23 @@ def t3(spark, sf_dir):
         "object_name", F.coalesce("verdict", F.lit("timeout")).alias("verdict"), "decided_at")
 
 
+def closed_events(spark, sf_dir):
+    """The event stream with an end-of-stream marker that moves the watermark past every deadline."""
+    closing = {"event_id": -1, "ts": datetime(2099, 1, 1), "user_id": CLOSE_USER, "event_type": "view",
+               "value": 0.0, "props": "{}"}
+    end, events = work_dir(spark, "t3-end"), base(spark, sf_dir, "events")
+    spark.createDataFrame([closing], events.schema).coalesce(1).write.parquet(end)
+    return events_stream(spark, sf_dir).unionByName(spark.readStream.schema(events.schema).parquet(end))
+
+
+def t3_own_start(spark, sf_dir):
+    with state_store(spark, ROCKSDB):
+        verdicts = readiness_stream_from_first(derived_on(spark, closed_events(spark, sf_dir), "status_events"), TIMEOUT_S)
+        out = spark.read.parquet(run_to_files(verdicts, "t3-own"))
+    marker = f"main.default.t{CLOSE_USER}_online"
+    return out.where(F.col("object_name") != marker)
+
+
 # ---------------------------------------------------------------- T4
 
 def t4(spark, sf_dir):
@@ -128,6 +153,8 @@ def register_streaming() -> None:
     register("t3_readiness_stream", fixtures=["status_events"], ctes=_t3_oracle_ctes(), oracle="""
 select o.object_name, coalesce(d.dcls, 'timeout') as verdict, d.dts as decided_at
 from objs o left join dc d on o.object_name = d.object_name""")(t3)
+    register("t3_readiness_own_start", fixtures=["status_events"], ctes=_readiness_sql("status_events", TIMEOUT_S),
+             oracle="select object_name, start_ts, verdict, decided_at from rd")(t3_own_start)
     register("t4_score_stream", fixtures=["labels_frame", "feature_gap"], ctes={**OLS_CTES, **REQUEST_CTES},
              oracle=SCORED)(t4)
     register("t5_publish_stream", fixtures=["change_rows"], oracle="""

@@ -10,10 +10,13 @@ them, and later rows are outside the window and cannot bring an object back.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from featshare.functions.states import state_class
 from featshare.operators.readiness import DECIDING, from_micros, to_micros
@@ -44,3 +47,92 @@ def readiness_stream(events: DataFrame, timeout_s: int, start: datetime, delay:
         F.when(F.col("_p").isNull(), F.lit("timeout")).when(F.pmod("_p", F.lit(2)) == 0, F.lit("ready"))
         .otherwise(F.lit("failed")).alias("verdict"),
         from_micros(F.expr("(_p - pmod(_p, 2)) div 2"), own).alias("decided_at"))
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: an object whose wait is over is forgotten after so long without an event
+FORGET_S = 366 * 86400
+
+
+class _Wait(StatefulProcessor):
+    """One object's wait. Slices of its log come in time order, because a slice leaves the
+    aggregation before when the watermark passes its end: the first one holds the object's
+    first event, and no earlier deciding event can follow a later one."""
+
+    def __init__(self, timeout_us: int, slice_us: int, forget_us: int):
+        self.timeout_us, self.slice_us, self.forget_us = timeout_us, slice_us, forget_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.wait = handle.getValueState("wait", "first_us long, over boolean, timer_ms long")
+
+    def _set(self, first_us: int, over: bool, at_us: int, old_ms: int | None) -> None:
+        """Keep the wait and move its one timer past ``at_us``."""
+        at_ms = -(-at_us // 1000) + 1
+        if old_ms is not None and old_ms != at_ms:
+            self.handle.deleteTimer(old_ms)
+        self.handle.registerTimer(at_ms)
+        self.wait.update((first_us, over, at_ms))
+
+    def _row(self, key, verdict: str, first_us: int, decided_us: int | None) -> pd.DataFrame:
+        return pd.DataFrame({"object_name": [key[0]], "verdict": [verdict], "first_us": [first_us],
+                             "decided_us": pd.array([decided_us], "Int64")})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(rows))  # at most one row per slice
+        held = self.wait.get() if self.wait.exists() else None
+        first = int(part["lo_us"].min()) if held is None else held[0]
+        over, old = (False, None) if held is None else (held[1], held[2])
+        last = int(part["hi_us"].max())
+        if not over:
+            deadline = first + self.timeout_us
+            packed = part["packed"].dropna()
+            best = int(packed.min()) if len(packed) else None
+            if best is not None and best // 2 < deadline:
+                over = True
+                yield self._row(key, "failed" if best % 2 else "ready", first, best // 2)
+            elif last >= deadline:
+                over = True
+                yield self._row(key, "timeout", first, None)
+        self._set(first, over, last + self.forget_us if over else first + self.timeout_us + self.slice_us, old)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        first, over, _ = self.wait.get()
+        if over:
+            self.wait.clear()
+        else:  # the watermark passed the deadline, and no slice before it decided
+            yield self._row(key, "timeout", first, None)
+            self._set(first, True, max(first + self.timeout_us + self.forget_us,
+                                       timerValues.getCurrentWatermarkInMs() * 1000), None)
+
+    def close(self) -> None:
+        pass
+
+
+def readiness_stream_from_first(events: DataFrame, timeout_s: int, slice_s: int = 60, delay: str = "1 hour",
+                                forget_s: int = FORGET_S, kind: str = "online_table", object_col: str = "object_name",
+                                ts_col: str = "ts", state_col: str = "state") -> DataFrame:
+    """T3 with T1's default start: every object waits ``timeout_s`` from its own first event.
+
+    Returns a streaming frame (append mode): object_name, start_ts, verdict, decided_at; one row
+    per object, as soon as the verdict is sure. Spark combines each object's log per slice of
+    ``slice_s`` seconds before the shuffle (first, last and earliest deciding instant), so an
+    object with a third of all rows costs one row per task and slice; the slices meet keyed state
+    of three numbers with an event-time timer at the deadline. Rows later than ``delay`` are
+    dropped, as any watermark does. A finished wait is remembered until its object was silent for
+    ``forget_s``, so that later events open no second wait; then its state goes. An object whose
+    name is null counts as one object. Needs the RocksDB state store (:data:`ROCKSDB`).
+    """
+    own = events.schema[ts_col].dataType
+    ts = F.timestamp_micros(to_micros(F.col(ts_col), own))
+    ev = (events.select(F.col(object_col).alias("object_name"), ts.alias("ts"),
+                        state_class(kind, state_col).alias("state_class")).withWatermark("ts", delay))
+    rank = F.when(F.col("state_class") == "ready", F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+    packed = F.when(F.col("state_class").isin(*DECIDING), F.unix_micros("ts") * 2 + rank)
+    slices = ev.groupBy("object_name", F.window("ts", f"{int(slice_s)} seconds").alias("w")).agg(
+        F.min(F.unix_micros("ts")).alias("lo_us"), F.max(F.unix_micros("ts")).alias("hi_us"), F.min(packed).alias("packed"))
+    wait = _Wait(int(timeout_s) * 1_000_000, int(slice_s) * 1_000_000, int(forget_s) * 1_000_000)
+    out = slices.groupBy("object_name").transformWithStateInPandas(
+        wait, "object_name string, verdict string, first_us long, decided_us long", "Append", "EventTime")
+    return out.select("object_name", from_micros(F.col("first_us"), own).alias("start_ts"), "verdict",
+                      from_micros(F.col("decided_us"), own).alias("decided_at"))
