@@ -24,7 +24,8 @@ def model_components(models: DataFrame, deps: DataFrame) -> DataFrame:
         "model_name", F.struct("dep_type", "dep_name").alias("dep")).distinct(), "component-edges")
     labels = materialize(models.select("model_name").distinct().withColumn("component", F.col("model_name")), "labels")
     while True:
-        of_dep = edges.join(labels, "model_name").groupBy("dep").agg(F.min("component").alias("label"))
+        # written, because only a join of two plain shuffles is split when one key is hot
+        of_dep = materialize(edges.join(labels, "model_name").groupBy("dep").agg(F.min("component").alias("label")), "dep-labels")
         near = edges.join(of_dep, "dep").groupBy("model_name").agg(F.min("label").alias("label"))
         moved = labels.join(near, "model_name", "left").select(
             "model_name", F.col("component").alias("old"), F.least("component", F.coalesce("label", "component")).alias("label"))

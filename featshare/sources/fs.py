@@ -46,25 +46,7 @@ def rename(spark: SparkSession, src: str, dst: str) -> bool:
     return bool(fs.rename(p, jvm.org.apache.hadoop.fs.Path(dst)))
 
 
-def list_files(spark: SparkSession, path: str) -> list[str]:
-    """Data files under ``path``, recursively (names starting with ``_`` or ``.`` skipped)."""
-    fs, p = _fs(spark, path)
-    out = []
-    it = fs.listFiles(p, True)
-    while it.hasNext():
-        st = it.next()
-        name = st.getPath().getName()
-        if not name.startswith(("_", ".")):
-            out.append(st.getPath().toString())
-    return sorted(out)
-
-
-def set_mtime(spark: SparkSession, path: str, mtime_ms: int) -> None:
-    """Set a file's modification time (file stream sources read oldest first)."""
-    fs, p = _fs(spark, path)
-    fs.setTimes(p, int(mtime_ms), -1)
-
-
-def mkdirs(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return bool(fs.mkdirs(p))
+def mark_complete(spark: SparkSession, path: str) -> None:
+    """Set the marker that :func:`is_complete` looks for."""
+    fs, p = _fs(spark, f"{path.rstrip('/')}/_SUCCESS")
+    fs.create(p, True).close()

@@ -1,10 +1,12 @@
 """Published copies for fast key lookup.
 
-Without a table format, a published table is a folder of version folders
-``<target>/v0000000001/``. Rows are dealt to key buckets (``_bucket=K`` folders, sorted by
-key), and a version writes only the buckets that changed: its manifest names, per bucket,
-the version folder that holds it. The manifest is written last, so a version exists when its
-manifest is complete; a path that is being read is never overwritten.
+A published table is a folder of plain Parquet versions, ``<target>/v0000000001-b16``: rows
+bucketed by a hash of the key into (here) 16 buckets, sorted by key inside. A version is
+written whole into a fresh folder and exists when its ``_SUCCESS`` marker does, which is set
+only after the keys were checked; a path that is being read is never overwritten. The bucketing
+is Spark's own (``bucketBy``), so the join of S9 reads the stored side where it lies, without
+an exchange. The number of buckets follows the rows: a version that outgrows its buckets is
+dealt anew.
 
 Besides the table's columns a row keeps ``_order``, the order value of the change that wrote
 it (null: unknown, older than any), and ``_deleted``: a deleted key stays as a tombstone, so
@@ -13,10 +15,11 @@ that an older change arriving late cannot bring it back. Readers see neither.
 
 from __future__ import annotations
 
-import json
 import logging
+import re
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,10 +29,12 @@ from featshare.sources.feature_tables import assert_keys
 
 log = logging.getLogger(__name__)
 
-_PREFIX = "v"
-_ORDER, _DELETED, _BUCKET = "_order", "_deleted", "_bucket"
-#: rows of one bucket, about; the number of buckets is fixed by the first version
+_ORDER, _DELETED = "_order", "_deleted"
+_FOLDER = re.compile(r"v(\d{10})-b(\d+)")
+#: rows of one bucket, about
 ROWS_PER_BUCKET = 1_000_000
+#: the marker of a complete version is set here, not by the write
+_UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 
 
 def _order_value(df: DataFrame, order_col: str | None) -> Column:
@@ -45,90 +50,95 @@ def _order_value(df: DataFrame, order_col: str | None) -> Column:
     raise ValueError(f"{order_col} is {own.simpleString()}: an order column is a number, date or timestamp")
 
 
-def _vpath(target: str, version: int) -> str:
-    return f"{target.rstrip('/')}/{_PREFIX}{version:010d}"
+def _path(target: str, version: int, buckets: int) -> str:
+    return f"{target.rstrip('/')}/v{version:010d}-b{buckets}"
 
 
-def _manifest_path(target: str, version: int) -> str:
-    return f"{_vpath(target, version)}/manifest"
+def bucket_counts(spark: SparkSession, target: str) -> dict[int, int]:
+    """Complete versions of a published table and their numbers of buckets."""
+    found = {}
+    for name in fs.list_dirs(spark, target):
+        at = _FOLDER.fullmatch(name)
+        if at and fs.is_complete(spark, f"{target.rstrip('/')}/{name}"):
+            found[int(at[1])] = int(at[2])
+    return found
 
 
 def versions(spark: SparkSession, target: str) -> list[int]:
     """Complete versions of a published table, ascending."""
-    out = []
-    for name in fs.list_dirs(spark, target):
-        if name.startswith(_PREFIX) and name[1:].isdigit() \
-                and fs.is_complete(spark, _manifest_path(target, int(name[1:]))):
-            out.append(int(name[1:]))
-    return sorted(out)
+    return sorted(bucket_counts(spark, target))
 
 
 def current_version(spark: SparkSession, target: str) -> int | None:
-    vs = versions(spark, target)
-    return vs[-1] if vs else None
-
-
-def _manifest(spark: SparkSession, target: str, version: int) -> dict:
-    """``buckets``: bucket -> version that holds it; ``n``: number of buckets; ``schema``: of
-    the stored rows; ``applied``: last batch per streaming query. One row per bucket at most."""
-    row = spark.read.text(_manifest_path(target, version)).first()
-    m = json.loads(row["value"])
-    m["buckets"] = {int(k): v for k, v in m["buckets"].items()}
-    return m
-
-
-def _state(spark: SparkSession, target: str, manifest: dict, buckets=None) -> DataFrame:
-    """Stored rows (tombstones and bookkeeping columns included) of all or some buckets."""
-    schema = T.StructType.fromJson(manifest["schema"])
-    paths = [f"{_vpath(target, v)}/{_BUCKET}={b}" for b, v in sorted(manifest["buckets"].items())
-             if buckets is None or b in buckets]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*paths)
-
+    return max(bucket_counts(spark, target), default=None)
 
-def read_published(spark: SparkSession, target: str, version: int | None = None) -> DataFrame:
-    """The current (or a given) version of a published table."""
-    v = current_version(spark, target) if version is None else version
-    if v is None:
-        raise FileNotFoundError(f"nothing published at {target}")
-    return _state(spark, target, _manifest(spark, target, v)).where(f"not {_DELETED}").drop(_ORDER, _DELETED)
 
+def read_published(spark: SparkSession, target: str, version: int | None = None, keys=()) -> DataFrame:
+    """The current (or a given) version of a published table. With ``keys``, the ones it was
+    published by, the frame knows its bucketing, and a join on them moves only the other side."""
+    found = bucket_counts(spark, target)
+    v = max(found, default=None) if version is None else version
+    if v not in found:
+        raise FileNotFoundError(f"nothing published at {target}" if version is None else f"no version {version} at {target}")
+    return _stored(spark, _path(target, v, found[v]), keys, found[v]).where(f"not {_DELETED}").drop(_ORDER, _DELETED)
 
-def _with_bucket(df: DataFrame, keys, n: int) -> DataFrame:
-    return df.withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
 
-
-def _write_version(df: DataFrame, target: str, version: int, keys, n: int, kept: dict, applied: dict) -> None:
-    """Write rows (with their bookkeeping columns) as the buckets they fall in, then the
-    manifest that joins them with the ``kept`` buckets of older versions."""
-    path, spark = _vpath(target, version), df.sparkSession
+def _stored(spark: SparkSession, path: str, keys, buckets: int) -> DataFrame:
+    """Stored rows, tombstones and bookkeeping columns included."""
+    schema = spark.read.parquet(f"{path}/_schema").schema
+    plain = spark.read.schema(schema).parquet(path)
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    if not keys:
+        return plain
+    table, by = f"published_{uuid.uuid4().hex[:16]}", ", ".join(f"`{k}`" for k in keys)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
+              f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    out = spark.table(table)
+    out.schema  # resolved: the frame keeps the files and the bucketing
+    spark.sql(f"DROP TABLE {table}")  # the registration; the files are not its own
+    return out
+
+
+def _write_version(df: DataFrame, target: str, version: int, keys, buckets: int, check: bool) -> None:
+    """Write rows (with their bookkeeping columns) as a version. With ``check``, null and
+    repeated keys are counted while the rows are written, and the version counts only if
+    there are none."""
+    spark, path = df.sparkSession, _path(target, version, buckets)
     if fs.exists(spark, path):
         fs.delete(spark, path)  # debris of a failed attempt at this version
-    # sorted by key inside a bucket: a point lookup reads one bucket and skips most row groups
-    (_with_bucket(df, keys, n).repartition(_BUCKET).sortWithinPartitions(_BUCKET, *keys)
-     .write.mode("errorifexists").partitionBy(_BUCKET).parquet(path))
-    written = [int(d.split("=")[1]) for d in fs.list_dirs(spark, path) if d.startswith(f"{_BUCKET}=")]
-    manifest = {"n": n, "buckets": {**kept, **{b: version for b in written}}, "applied": applied,
-                "schema": json.loads(df.schema.json())}
-    (spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1)
-     .write.mode("errorifexists").text(_manifest_path(target, version)))
+    seen = Observation()
+    if check:
+        again = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) > 1  # the rows lie by key already
+        null = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+        df = (df.withColumn("_again", again).observe(seen, F.count_if(null).alias("nulls"), F.count_if("_again").alias("repeats"))
+              .drop("_again"))
+    table = f"published_{uuid.uuid4().hex[:16]}"
+    (df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).options(**_UNMARKED).option("path", path)
+     .saveAsTable(table))
+    spark.sql(f"DROP TABLE {table}")
+    df.limit(0).coalesce(1).write.parquet(f"{path}/_schema")  # a bucketed write leaves no file where no row is
+    if check and (seen.get["nulls"] or seen.get["repeats"]):
+        fs.delete(spark, path)
+        raise ValueError(f"key {keys}: {seen.get['nulls']} null and {seen.get['repeats']} repeated rows")
+    fs.mark_complete(spark, path)
+
+
+def _buckets(rows: int, rows_per_bucket: int) -> int:
+    return max(1, -(-rows // rows_per_bucket))
 
 
 def publish_snapshot(source_df: DataFrame, target: str, primary_keys, check: bool = True,
                      order_col: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Full refresh of the online copy, one row per key. Returns the version. With
-    ``order_col`` the rows keep that order value, and later changes must exceed it."""
+    """Full refresh of the online copy, one row per key; null or repeated keys are an error
+    and publish nothing. Returns the version. With ``order_col`` the rows keep that order
+    value, and later changes must exceed it. The keys are checked in the pass that writes."""
     spark = source_df.sparkSession
     keys = [primary_keys] if isinstance(primary_keys, str) else list(primary_keys)
-    if check:
-        assert_keys(source_df, keys)
-    cur = current_version(spark, target)
-    n = max(1, -(-source_df.select(*keys).count() // rows_per_bucket))
-    applied = _manifest(spark, target, cur)["applied"] if cur is not None else {}
+    buckets = _buckets(source_df.count(), rows_per_bucket)
     rows = source_df.withColumn(_ORDER, _order_value(source_df, order_col)).withColumn(_DELETED, F.lit(False))
-    version = 1 if cur is None else cur + 1
-    _write_version(rows, target, version, keys, n, {}, applied)
+    version = (current_version(spark, target) or 0) + 1
+    _write_version(rows.repartition(buckets, *keys), target, version, keys, buckets, check)
     return version
 
 
@@ -154,7 +164,7 @@ def last_change_per_key(changes: DataFrame, keys, order_col: str | None = None,
 
 
 def apply_changes(state: DataFrame, changes: DataFrame, primary_keys, order_col: str | None = None,
-                  change_col: str = "change_type") -> DataFrame:
+                  change_col: str = "change_type", buckets: int | None = None) -> DataFrame:
     """S9 core: the stored rows after the changes. ``state`` holds the table's columns plus
     ``_order`` and ``_deleted`` (a plain table, without them, gives the plain new table);
     ``changes`` holds the table's columns plus ``change_col``
@@ -162,7 +172,8 @@ def apply_changes(state: DataFrame, changes: DataFrame, primary_keys, order_col:
 
     With ``order_col``, a change applies only if its order exceeds that of the stored row or
     tombstone, so changes may arrive in any order and any number of times. Without, the
-    changes apply as they come, one per key.
+    changes apply as they come, one per key. ``buckets`` is the number of buckets by key of
+    a bucketed ``state``: the changes are dealt likewise.
     """
     keys = [primary_keys] if isinstance(primary_keys, str) else list(primary_keys)
     if _DELETED not in state.columns:
@@ -174,6 +185,8 @@ def apply_changes(state: DataFrame, changes: DataFrame, primary_keys, order_col:
     new = eff.select(*keys, F.struct(
         *values, _order_value(eff, order_col).alias(_ORDER),
         (F.col(change_col) == "delete").alias(_DELETED)).alias("_new"))
+    if buckets:
+        new = new.repartition(buckets, *keys)
     old = state.select(*keys, F.struct(*values, _ORDER, _DELETED).alias("_old"))
     j = old.join(new, keys, "full_outer")
     wins = F.col("_new").isNotNull()
@@ -186,34 +199,33 @@ def apply_changes(state: DataFrame, changes: DataFrame, primary_keys, order_col:
 
 
 def publish_changes(spark: SparkSession, target: str, changes: DataFrame, primary_keys,
-                    order_col: str | None = None, batch: tuple[str, int] | None = None) -> int:
-    """Incremental publish: the next version is the current one with the changes applied,
-    and only the buckets of changed keys are written. Returns the current version afterwards.
-
-    ``batch`` = (query, batch id) is recorded with the version; a batch of that query that
-    was applied before is a replay and changes nothing. An empty change set writes nothing.
+                    order_col: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Incremental publish: the next version is the current one with the changes applied.
+    Returns the current version afterwards. An empty change set writes nothing.
+
+    The last changes per key are dealt to the stored version's buckets, and the join reads its
+    stored side in place; the result lies in the same buckets and is written without another
+    exchange, unless rows outgrow them twofold. With ``order_col`` a replayed change set gives
+    a version with the same rows.
     """
     keys = [primary_keys] if isinstance(primary_keys, str) else list(primary_keys)
-    cur = current_version(spark, target)
+    found = bucket_counts(spark, target)
+    cur = max(found, default=None)
     if cur is None:
         raise FileNotFoundError(f"publish a snapshot to {target} before publishing changes")
-    manifest = _manifest(spark, target, cur)
-    applied = dict(manifest["applied"])
-    if batch is not None:
-        if applied.get(batch[0], -1) >= batch[1]:
-            return cur
-        applied[batch[0]] = batch[1]
-    n = manifest["n"]
     any_null = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
-    touched = _with_bucket(changes.select(*keys, any_null.alias("_null")), keys, n).select(_BUCKET, "_null").distinct().collect()
-    if any(r["_null"] for r in touched):
+    n_changes, n_null = changes.agg(F.count(F.lit(1)), F.count_if(any_null)).first()
+    if n_null:
         raise ValueError(f"changes with a null key {keys}")
-    touched = {r[_BUCKET] for r in touched}  # bucket numbers, n at most
-    if not touched:
+    if not n_changes:
         return cur
-    new = apply_changes(_state(spark, target, manifest, touched), changes, keys, order_col)
-    kept = {b: v for b, v in manifest["buckets"].items() if b not in touched}
-    _write_version(new, target, cur + 1, keys, n, kept, applied)
+    state = _stored(spark, _path(target, cur, found[cur]), keys, found[cur])
+    new = apply_changes(state, changes, keys, order_col, buckets=found[cur])
+    rows, buckets = state.count() + n_changes, found[cur]
+    if rows > 2 * rows_per_bucket * buckets:
+        buckets = _buckets(rows, rows_per_bucket)
+        new = new.repartition(buckets, *keys)
+    _write_version(new, target, cur + 1, keys, buckets, False)
     return cur + 1
 
 

@@ -1,9 +1,8 @@
 """T5: incremental publish of a change stream, one new version per micro-batch.
 
-``foreachBatch`` applies S9 to the current version, whoever wrote it. The version records the
-query and batch id that made it, so a batch replayed after a failure is recognised and does
-nothing; a new query (a new checkpoint) has an id of its own, and its batches are judged by
-the order of their changes alone. ``trigger(availableNow=True)`` gives the triggered mode,
+``foreachBatch`` applies S9 to the current version, whoever wrote it. Changes are judged by
+their order alone, so a batch replayed after a failure, or read again by a new checkpoint,
+leaves the rows as they are. ``trigger(availableNow=True)`` gives the triggered mode,
 the default trigger the continuous one.
 """
 
@@ -14,14 +13,13 @@ from pyspark.sql import DataFrame
 from featshare.sources.publish import current_version, publish_changes, publish_snapshot
 
 
-def publish_batch(batch: DataFrame, batch_id: int, target: str, keys, columns, order_col: str,
-                  query: str = "") -> int | None:
+def publish_batch(batch: DataFrame, target: str, keys, columns, order_col: str) -> int:
     """Apply one micro-batch of changes to ``target``; a target without a version starts
-    empty. Returns the current version afterwards."""
+    empty, and its buckets follow the rows. Returns the current version afterwards."""
     spark = batch.sparkSession
     if current_version(spark, target) is None:
         publish_snapshot(batch.select(*columns).limit(0), target, keys)
-    return publish_changes(spark, target, batch, keys, order_col, (query, batch_id))
+    return publish_changes(spark, target, batch, keys, order_col)
 
 
 def publish_stream(changes: DataFrame, target: str, keys, columns, checkpoint: str,
@@ -32,8 +30,7 @@ def publish_stream(changes: DataFrame, target: str, keys, columns, checkpoint: s
     keys = [keys] if isinstance(keys, str) else list(keys)
 
     def apply(df: DataFrame, batch_id: int) -> None:
-        query = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
-        publish_batch(df, batch_id, target, keys, list(columns), order_col, query)
+        publish_batch(df, target, keys, list(columns), order_col)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer

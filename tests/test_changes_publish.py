@@ -8,7 +8,7 @@ from featshare.session import work_dir
 from featshare.sources import publish_changes, publish_many, publish_snapshot, read_published
 from featshare.sources import fs
 from featshare.sources.fixtures import Fixtures
-from featshare.sources.publish import versions
+from featshare.sources.publish import _stored, apply_changes, bucket_counts, versions
 from featshare.streaming.publish_stream import publish_batch, publish_stream
 
 from conftest import SF_SMALL
@@ -38,16 +38,54 @@ def test_publish_round_trip_v0_to_v1(spark):
     assert versions(spark, target) == [1, 2]
 
 
-def test_only_touched_buckets_are_written(spark):
+def test_buckets_follow_the_rows(spark):
+    """The stored side is joined where it lies; a target that outgrows its buckets gets more."""
     target = work_dir(spark, "t-buckets")
     base = spark.createDataFrame([(i, float(i), "x") for i in range(100)], SCHEMA)
     publish_snapshot(base, target, ["id"], rows_per_bucket=10)
+    assert bucket_counts(spark, target) == {1: 10}
     change = spark.createDataFrame([(7, 70.0, "y", "update_postimage", 1)], SCHEMA + ", change_type string, o int")
-    assert publish_changes(spark, target, change, ["id"], "o") == 2
-    assert len([d for d in fs.list_dirs(spark, f"{target}/v0000000002") if d.startswith("_bucket=")]) == 1
+    new = apply_changes(_stored(spark, f"{target}/v0000000001-b10", ["id"], 10), change, ["id"], "o", buckets=10)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "SelectedBucketsCount: 10 out of 10" in plan
+    assert plan.count("Exchange") == 2  # both on the side of the changes: last per key, then the buckets
+    assert publish_changes(spark, target, change, ["id"], "o", rows_per_bucket=10) == 2
     want = [(i, 70.0, "y") if i == 7 else (i, float(i), "x") for i in range(100)]
     assert rows(read_published(spark, target)) == want
+    assert rows(read_published(spark, target, keys=["id"])) == want
     assert publish_changes(spark, target, change.limit(0), ["id"], "o") == 2
+    fresh = work_dir(spark, "t-fresh")
+    many = spark.range(0, 500).selectExpr("id", "id * 1.0D as a", "'x' as b", "'insert' as change_type", "cast(id as int) as o")
+    publish_snapshot(base.limit(0), fresh, ["id"], rows_per_bucket=10)
+    publish_changes(spark, fresh, many, ["id"], "o", rows_per_bucket=10)
+    assert bucket_counts(spark, fresh) == {1: 1, 2: 50} and read_published(spark, fresh).count() == 500
+
+
+def test_refused_and_unfinished_versions_do_not_count(spark):
+    target = work_dir(spark, "t-refused")
+    good = spark.createDataFrame([(1, 1.0, "a"), (2, 2.0, "b")], SCHEMA)
+    publish_snapshot(good, target, ["id"])
+    for bad in ([(1, 1.0, "a"), (1, 2.0, "b")], [(None, 1.0, "a")]):
+        with pytest.raises(ValueError):
+            publish_snapshot(spark.createDataFrame(bad, SCHEMA), target, ["id"])
+    good.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{target}/v0000000002-b1")
+    assert versions(spark, target) == [1] and rows(read_published(spark, target)) == rows(good)
+    assert publish_snapshot(good.limit(1), target, ["id"]) == 2 and read_published(spark, target).count() == 1
+
+
+def test_lookup_on_a_published_copy_moves_only_the_labels(spark):
+    target = work_dir(spark, "t-lookup")
+    publish_snapshot(spark.range(0, 4000).selectExpr("id", "id * 2 as f"), target, ["id"], rows_per_bucket=1000)
+    labels = spark.range(0, 9000).selectExpr("id % 5000 as id", "id as row_id").repartition(4, "id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = labels.join(read_published(spark, target, keys=["id"]), "id", "left")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+        assert out.count() == 9000 and out.where("f is null").count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 CHANGES = "id bigint, a double, b string, change_type string, o bigint"
@@ -114,16 +152,14 @@ def test_publish_batch_is_idempotent(spark):
     target = work_dir(spark, "t-batch")
     cols = ["user_id", "commit_version", "value"]
 
-    def go(where, batch, query="q"):
-        publish_batch(changes.where(where), batch, target, ["user_id"], cols, "commit_version", query)
+    def go(where):
+        publish_batch(changes.where(where), target, ["user_id"], cols, "commit_version")
 
-    go("commit_version <= 2", 0)
-    go("commit_version > 2", 1)
-    before = versions(spark, target)
-    go("commit_version > 2", 1)  # a replay of batch 1 after a failure changes nothing
-    assert versions(spark, target) == before
+    go("commit_version <= 2")
+    go("commit_version > 2")
+    go("commit_version > 2")  # a replay after a failure changes no row
     assert rows(read_published(spark, target)) == [(1, 3, 3.0)]
-    go("true", 0, "new checkpoint")  # all changes again, under a query of its own
+    go("true")  # all changes again, as a new checkpoint reads them
     assert rows(read_published(spark, target)) == [(1, 3, 3.0)]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from featshare.operators.components import consolidated_share, model_components
 from featshare.operators.readiness import poll_grid, readiness
-from featshare.session import work_dir
+from featshare.session import materialize, work_dir
 from featshare.streaming.queries import state_store
 from featshare.streaming.readiness_stream import ROCKSDB, readiness_stream_from_first
 
@@ -123,15 +123,16 @@ def test_components_against_union_find(spark):
 
 def test_hot_dependency_is_split(spark):
     """A dependency that most models use: the join that hands out its label splits its rows."""
-    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
-            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
     before = {k: spark.conf.get(k) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         edges = spark.range(0, 60_000, 1, 8).select(F.format_string("m%06d", "id").alias("model_name"), F.lit("TABLE").alias("dep_type"),
                                                     F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.format_string("d%d", "id")).alias("dep_name"))
-        of_dep = edges.groupBy("dep_name").agg(F.min("model_name").alias("label"))
+        of_dep = materialize(edges.groupBy("dep_name").agg(F.min("model_name").alias("label")))
         joined = edges.join(of_dep, "dep_name")
         joined.collect()
         assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
