@@ -56,12 +56,14 @@ def test_few_labels(spark, labels):
     assert len(got) == 3 and all(0 <= r.posterior <= 1 for r in got)
 
 
-def test_saved_bytes_tell_the_classes_apart():
+def test_saved_bytes_tell_the_classes_apart(spark):
     words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in ("nd", "rt", "lm", "st")]
     rng = random.Random(0)
     rows = [(" ".join(rng.choices(words, k=60)), 0) for _ in range(200)]
     rows += [(" ".join(rng.choices(words, k=50) + rng.choices(["zyxquack", "vilewort"], k=6)), 1) for _ in range(100)]
-    model = T.Model(rows)
+    docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, y int")
+    labels = docs.selectExpr("doc_id", "y as toxic").unionAll(spark.createDataFrame([(1, 0), (None, 1), (5, None), (6, 7)], "doc_id long, toxic int"))
+    model = T.train(docs, labels)
     assert model.distance("zyxquack") > 2 and model.distance("band") <= 0
     again = T.Model.__new__(T.Model)
     again.__setstate__(model.__getstate__())
