@@ -5,8 +5,9 @@ benchmark can hold a window of it, so a shard's index covers those stretches (ex
 place a window can occur). Windows are searched backwards through wavelet-matrix ranks, all
 at once; occurrences are located from sampled suffix positions and merged to removal spans.
 
-The benchmark reaches the tasks in blocks of at most ``BLOCK_WORDS`` words, one broadcast
-each; every shard is searched for every block.
+The benchmark is dealt to blocks of about ``BLOCK_WORDS`` words, which Spark tasks build and write
+to the shared folder. A pass over the documents takes ``GROUP`` blocks, broadcast one by one;
+a benchmark of more blocks takes more passes, whose spans are merged, not more memory.
 """
 
 from __future__ import annotations
@@ -16,14 +17,17 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, binary_text, ragged, received, send, text_slices
+from .common import ASCII_LOWER, binary_text, ragged, received, text_slices, written
 from .fm_index import FMIndex
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+#: blocks of one pass over the documents
+GROUP = 16
 SHARD_BYTES = 8 << 20
 
 #: word bytes lowered; every other ASCII byte becomes a space (bytes of other characters are word bytes)
@@ -53,21 +57,22 @@ class Block:
         self.owners = [sorted(o) for o in owners.values()]
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, window: int, block_words: int):
-    """Blocks of items, made on the driver one at a time. Items without words are skipped."""
-    held, total = [], 0
+def blocks(benchmark: DataFrame, item: str, text: str, window: int, block_words: int) -> DataFrame:
+    """(block, data): pickled :class:`Block` objects of the items that have words, built in tasks.
+    Items are dealt by hash, each whole to one block."""
     rows = benchmark.select(F.col(item).cast("string").alias("i"), binary_text(text).alias("t"))
-    for r in rows.toLocalIterator():
-        words = split_words(bytes(r["t"]))
-        if not words:
-            continue
-        if held and total + len(words) > block_words:
-            yield Block(held, window)
-            held, total = [], 0
-        held.append((r["i"], words))
-        total += len(words)
-    if held:
-        yield Block(held, window)
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = max(1, -(-size // (6 * block_words)))  # a word and its gap take about six bytes
+
+    def build(part: pa.Table) -> pa.Table:
+        items = zip(part.column("i").to_pylist(), (split_words(t.as_py()) for t in part.column("t")))
+        held = sorted(((i, w) for i, w in items if w), key=repr)
+        data = [cloudpickle.dumps(Block(held, window))] if held else []
+        return pa.table({"block": pa.array(part.column("block")[:len(data)].to_pylist(), pa.int32()),
+                         "data": pa.array(data, pa.binary())})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int"))
+    return dealt.groupBy("block").applyInArrow(build, "block int, data binary")
 
 
 def search_shard(words: list[list[bytes]], block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,8 +118,63 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     item id is the empty string. Repeated item ids count once. Empty tables give no rows
     (documents) or no hits (benchmark). Other columns are ignored.
     """
-    sent = [send(docs.sparkSession, b) for b in blocks(benchmark, item, item_text, window, block_words)]
+    return _contaminated(docs, benchmark, key, text, item, item_text, window, block_words).drop("mark")
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str,
+                  window: int, block_words: int) -> DataFrame:
+    """:func:`contaminated_spans` with a hash of the text, ``mark``."""
+    built = written(blocks(benchmark, item, item_text, window, block_words), "benchmark-blocks")
+    numbers = sorted(r["block"] for r in built.select("block").collect())
+    groups = [numbers[i:i + GROUP] for i in range(0, len(numbers), GROUP)] or [[]]
+    passes = []
+    for group in groups:
+        data = built.where(F.col("block").isin(group)).orderBy("block").select("data")
+        sent = [docs.sparkSession.sparkContext.broadcast(bytes(r["data"])) for r in data.toLocalIterator()]
+        passes.append(_search(docs, sent, key, text))
+        if len(groups) > 1:
+            passes[-1] = written(passes[-1], "contaminated")
+            for s in sent:
+                s.unpersist()
+    if len(passes) == 1:
+        return passes[0]
+    every = passes[0]
+    for more in passes[1:]:
+        every = every.unionByName(more)
+    found = (every.where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("k"), F.col("mark").alias("m"))
+             .agg(F.flatten(F.collect_set("spans")).alias("found"),
+                  F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("names")))
+    rows = passes[0].select("doc_id", "n_words", "mark")
+    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["k"]) & (rows["mark"] == found["m"]), "left")
+    spans, names = (F.array().cast(kind) for kind in (SPANS, "array<string>"))
+    return _merged(joined.select("doc_id", "n_words", F.coalesce("found", spans).alias("spans"),
+                                 F.coalesce("names", names).alias("items"), "mark"))
+
+
+SPANS = "array<struct<a:bigint,b:bigint>>"
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Overlapping and touching spans of each row as one."""
+    def merge(spans: list[dict]) -> list[dict]:
+        out: list[dict] = []
+        for s in sorted(spans, key=lambda s: (s["a"], s["b"])):
+            if out and s["a"] <= out[-1]["b"]:
+                out[-1]["b"] = max(out[-1]["b"], s["b"])
+            else:
+                out.append(dict(s))
+        return out
 
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index("spans")
+            yield b.set_column(at, b.schema.field(at), pa.array([merge(s) for s in b.column(at).to_pylist()], b.schema.field(at).type))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _search(docs: DataFrame, sent: list, key: str, text: str) -> DataFrame:
+    """One pass over the documents with some blocks of the benchmark."""
     def run(batches):
         for b in batches:
             for lo, texts in text_slices(b.column(1), SHARD_BYTES):
@@ -140,18 +200,23 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, len(words)), pa.array(lengths),
                      pa.ListArray.from_arrays(pa.array(cut), span),
-                     pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "spans", "items"])
+                     pa.array([sorted(i) for i in items], pa.list_(pa.string())), b.column(2).slice(lo, len(words))],
+                    names=["doc_id", "n_words", "spans", "items", "mark"])
 
-    rows = docs.select(F.col(key).alias("doc_id"), binary_text(text).alias("t"))
+    rows = docs.select(F.col(key).alias("doc_id"), binary_text(text).alias("t"), _mark(F.col(text)).alias("mark"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<a:long,b:long>>, items array<string>")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, spans {SPANS}, items array<string>, mark long")
+
+
+def _mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
-                      **how) -> DataFrame:
+                      item: str = "item_id", item_text: str = "text", window: int = WINDOW,
+                      block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark window, all columns as they are.
-    Rows that repeat a key are judged together: one contaminated text drops them all."""
-    bad = (contaminated_spans(docs, benchmark, key, text, **how).where(F.size("spans") > 0)
-           .select(F.col("doc_id").alias("__key")).distinct())
-    return docs.join(bad, docs[key].eqNullSafe(bad["__key"]), "left_anti")
+    Rows that share a key are judged each by its own text; null keys are keys like any other."""
+    bad = (_contaminated(docs, benchmark, key, text, item, item_text, window, block_words).where(F.size("spans") > 0)
+           .select(F.col("doc_id").alias("__key"), F.col("mark").alias("__mark")).distinct())
+    return docs.join(bad, docs[key].eqNullSafe(bad["__key"]) & (_mark(docs[text]) == bad["__mark"]), "left_anti")

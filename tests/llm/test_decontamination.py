@@ -44,16 +44,19 @@ def cases():
     return docs, bench
 
 
-@pytest.mark.parametrize("block_words", [D.BLOCK_WORDS, 30])
-def test_brute_force(spark, block_words):
+@pytest.mark.parametrize("block_words, group", [(D.BLOCK_WORDS, 16), (30, 16), (30, 2)])
+def test_brute_force(spark, monkeypatch, block_words, group):
+    """One block, several blocks in one pass, several passes."""
+    monkeypatch.setattr(D, "GROUP", group)
     docs, bench = cases()
+    docs += [(31, "clean text of a repeated key"), (60, "clean")]
     d = spark.createDataFrame([(k, t, 1) for k, t in docs], "doc_id long, text string, items int")
     b = spark.createDataFrame(bench, "item_id long, text string")
     assert got(D.contaminated_spans(d, b, block_words=block_words).collect()) == brute(docs, bench)
-    left = D.drop_contaminated(d, b)
-    bad = {k for k, _, hit, _ in brute(docs, bench) if hit}
-    assert left.columns == d.columns and all(r.doc_id not in bad for r in left.collect())
-    assert left.count() == sum(k not in bad for k, _ in docs)
+    left = D.drop_contaminated(d, b, block_words=block_words)
+    clean = [x for x in docs if not brute([x], bench)[0][2]]
+    assert left.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(clean, key=repr)
 
 
 def test_empty_tables(spark):
