@@ -1,6 +1,6 @@
 """Relational operators over feature and metadata tables."""
 
-from featshare.operators.changes import change_feed, snapshot_as_of
+from featshare.operators.changes import change_feed, change_feed_by_blocks, snapshot_as_of
 from featshare.operators.links import broken_links, online_name_collisions, resolve_links
 from featshare.operators.lookup import FeatureLookup, create_training_set, feature_lookup, feature_spec
 from featshare.operators.quality import (error_triage, store_name_audit, validate_run_configs,

@@ -7,18 +7,19 @@ import uuid
 from pyspark.sql import functions as F
 
 from featshare.functions.model import FeatureFunction, feature_function, predict
-from featshare.operators.changes import change_feed, snapshot_as_of
+from featshare.operators.changes import change_feed, change_feed_by_blocks, snapshot_as_of
 from featshare.operators.lookup import FeatureLookup, create_training_set, feature_lookup, feature_spec
 from featshare.operators.training import model_frame, score_batch, train_linear
 from featshare.plans.registry import register
 from featshare.session import work_dir
 from featshare.sources.feature_tables import (check_not_null, check_primary_key, create_feature_table,
                                               drop_feature_table, ensure_feature_table,
-                                              read_feature_table, register_feature_table)
+                                              ensure_registered_table, read_feature_table, register_feature_table,
+                                              table_location)
 from featshare.sources.fixtures import Fixtures, base
 from featshare.sources.publish import (current_version, publish_changes, publish_many, publish_snapshot,
                                        read_published)
-from featshare.sources.requests import parse_score_requests, request_rejects
+from featshare.sources.requests import infer_request_signature, parse_score_requests, request_rejects
 from featshare.sources.shares import mount_share, view_name
 
 # ---------------------------------------------------------------- flagship (entry)
@@ -78,6 +79,24 @@ def s3(spark, sf_dir):
     return read_feature_table(spark, p2).withColumn("outcomes", F.lit(",".join([o1, o2, o3])))
 
 
+@register("s3_ensure_registered_table", oracle="""
+select l_orderkey, l_linenumber, max(l_quantity) as l_quantity, max(l_quantity * l_extendedprice) as worth,
+       'created,reused,recreated' as outcomes from lineitem group by l_orderkey, l_linenumber""")
+def s3_registered(spark, sf_dir):
+    """Order lines behind a catalog name, recreated with other keys and one more column."""
+    lines = base(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    old = lines.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("l_linenumber"), F.max("l_quantity").alias("l_quantity"))
+    new = lines.groupBy("l_orderkey", "l_linenumber").agg(
+        F.max("l_quantity").alias("l_quantity"), F.max(F.expr("l_quantity * l_extendedprice")).alias("worth"))
+    root, name = work_dir(spark, "s3r"), f"fs_{uuid.uuid4().hex[:10]}"
+    outcomes = [ensure_registered_table(old, name, root, ["l_orderkey"]),
+                ensure_registered_table(old, name, root, ["l_orderkey"])]
+    outcomes.append(ensure_registered_table(new, name, root, ["l_orderkey", "l_linenumber"]))
+    out = read_feature_table(spark, table_location(spark, name)).withColumn("outcomes", F.lit(",".join(outcomes)))
+    drop_feature_table(spark, name)
+    return out
+
+
 @register("s4_drop_feature_table", fixtures=["features_v0"], oracle="""
 select id, feature_1, feature_2, segment, 'true,false' as dropped, false as still_registered
 from features_v0""")
@@ -155,6 +174,20 @@ def p2_rejects(spark, sf_dir):
     return request_rejects(Fixtures(spark, sf_dir).score_requests, "body", "k bigint", ["event_id"], required=["k"])
 
 
+@register("p2_infer_signature", ctes={**REQUEST_CTES, "fields": """
+select e.user_id, e.event_id % 8 as client, case when reason is not null then 'STRING' when k is null then 'VOID' else 'BIGINT' end as kind
+from received r join events e on r.event_id = e.event_id where reason is null or record like '{"k":%"x"}'"""}, oracle="""
+select user_id, client, 'k' as column_name,
+       case when count(distinct kind) filter (kind <> 'VOID') > 1 then 'VARIANT' else coalesce(max(kind) filter (kind <> 'VOID'), 'VOID') end as type,
+       count(*) as n_records, count(*) as n_present, count(*) filter (kind = 'VOID') as n_null,
+       count(*) filter (kind = 'VOID') = 0 as required
+from fields group by user_id, client""")
+def p2_infer(spark, sf_dir):
+    """The signature that the requests of each user's clients show."""
+    requests = Fixtures(spark, sf_dir).score_requests.withColumn("client", F.col("event_id") % 8)
+    return infer_request_signature(requests, "body", ["user_id", "client"])
+
+
 MOUNTED = ["customer", "orders", "part", "supplier"]
 
 
@@ -386,6 +419,33 @@ def j7(spark, sf_dir):
     return change_feed(fx.features_v0, fx.features_v1, ["id"])
 
 
+CHANGED_BLOCK = "o_orderkey div 1000 % 10 = 3"
+
+ORDERS_NOW = """
+select o_orderkey, o_orderstatus, o_totalprice + case when o_orderkey % 7 = 0 then 1 else 0 end as o_totalprice
+from orders where o_orderkey // 1000 % 10 = 3 and o_orderkey % 11 <> 0
+union all
+select -o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey // 1000 % 10 = 3 and o_orderkey % 13 = 0"""
+
+
+@register("j7_change_feed_blocks", ctes={
+    "old": "select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey // 1000 % 10 = 3",
+    "new": ORDERS_NOW}, oracle="""
+select n.*, 'insert' as change_type from new n where o_orderkey not in (select o_orderkey from old)
+union all select o.*, 'delete' from old o where o_orderkey not in (select o_orderkey from new)
+union all select o.*, 'update_preimage' from old o join new n using (o_orderkey) where o.o_totalprice <> n.o_totalprice
+union all select n.*, 'update_postimage' from old o join new n using (o_orderkey) where o.o_totalprice <> n.o_totalprice""")
+def j7_blocks(spark, sf_dir):
+    """Orders against their next version, where one key block of ten has changes (and new keys
+    have come): only the blocks whose digests differ are joined."""
+    old = base(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    touched = F.expr(CHANGED_BLOCK)
+    price = F.col("o_totalprice") + F.when(touched & F.expr("o_orderkey % 7 = 0"), 1).otherwise(0)
+    new = (old.where(~touched | F.expr("o_orderkey % 11 <> 0")).withColumn("o_totalprice", price)
+           .unionByName(old.where(touched & F.expr("o_orderkey % 13 = 0")).withColumn("o_orderkey", -F.col("o_orderkey"))))
+    return change_feed_by_blocks(old, new, ["o_orderkey"], "o_orderkey div 1000")
+
+
 AS_OF = "2024-01-15 00:00:00"
 
 

@@ -751,11 +751,14 @@ def c9(spark, sf_dir):
                              and g.principal = p.recipient_name and g.privilege = 'SELECT')""",
     "wc": """select share_name, model_name, max(version) as version,
                     count(case when object_type = 'TABLE' then 1 end) as n_tables,
-                    count(case when object_type = 'FUNCTION' then 1 end) as n_functions
+                    count(case when object_type = 'FUNCTION' then 1 end) as n_functions,
+                    string_agg(object_name, ',' order by pos, object_name) filter (object_type = 'TABLE') as feature_tables,
+                    string_agg(object_name, ',' order by pos, object_name) filter (object_type = 'FUNCTION') as functions
              from wanted group by 1, 2"""},
     oracle="""
 select p.model_name, w.version, p.share_name, p.recipient_name, p.action as recipient_action,
        coalesce(w.n_tables, 0) as n_tables, coalesce(w.n_functions, 0) as n_functions,
+       coalesce(w.feature_tables, '') as feature_tables, coalesce(w.functions, '') as functions,
        coalesce(a.n_to_add, 0) as n_to_add, g.recipient_name is not null as grant_missing,
        case when p.action = 'error' then 'error: recipient' when w.version is null then 'error: no versions'
             else 'ok' end as status
@@ -767,7 +770,8 @@ def c10(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     plan = source_plan(fx.share_requests, fx.model_versions, fx.dependencies, fx.share_objects,
                        fx.share_grants, fx.recipients)
-    return plan["summary"]
+    return (plan["summary"].withColumn("feature_tables", joined("feature_tables"))
+            .withColumn("functions", joined("functions")))
 
 
 def _nonempty(c):

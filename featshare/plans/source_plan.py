@@ -14,12 +14,18 @@ from featshare.session import materialize
 def source_run_summary(plan: DataFrame, wanted: DataFrame, to_add: DataFrame,
                        grants_missing: DataFrame) -> DataFrame:
     """C10 (source): one row per request: model, version, share, recipient, dependency
-    counts, objects to add, whether a grant is missing, and a status. A model without
-    versions or a recipient step that cannot proceed is an ``error``."""
+    counts and names (in dependency order; a list is as long as its model's dependencies),
+    objects to add, whether a grant is missing, and a status. A model without versions or a
+    recipient step that cannot proceed is an ``error``."""
+    def names(kind):
+        own = F.when(F.col("object_type") == kind, F.struct("pos", "object_name"))
+        return F.array_sort(F.collect_set(own))["object_name"]
+
     w = wanted.groupBy("share_name", "model_name").agg(
         F.max("version").alias("version"),
         F.count_if(F.col("object_type") == "TABLE").alias("n_tables"),
-        F.count_if(F.col("object_type") == "FUNCTION").alias("n_functions"))
+        F.count_if(F.col("object_type") == "FUNCTION").alias("n_functions"),
+        names("TABLE").alias("feature_tables"), names("FUNCTION").alias("functions"))
     a = to_add.groupBy("share_name", "model_name").agg(F.count(F.lit(1)).alias("n_to_add"))
     g = grants_missing.select("share_name", F.col("principal").alias("recipient_name"),
                               F.lit(True).alias("grant_missing")).distinct()
@@ -35,6 +41,8 @@ def source_run_summary(plan: DataFrame, wanted: DataFrame, to_add: DataFrame,
         F.col("action").alias("recipient_action"),
         F.coalesce("n_tables", F.lit(0)).alias("n_tables"),
         F.coalesce("n_functions", F.lit(0)).alias("n_functions"),
+        F.coalesce("feature_tables", F.array().cast("array<string>")).alias("feature_tables"),
+        F.coalesce("functions", F.array().cast("array<string>")).alias("functions"),
         F.coalesce("n_to_add", F.lit(0)).alias("n_to_add"),
         F.coalesce("grant_missing", F.lit(False)).alias("grant_missing"),
         status.alias("status"))

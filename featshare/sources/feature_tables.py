@@ -148,6 +148,51 @@ def register_feature_table(spark: SparkSession, name: str, path: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{path}'")
 
 
+def table_location(spark: SparkSession, name: str) -> str | None:
+    """The folder a catalog name points at, or None for an unknown name."""
+    if not spark.catalog.tableExists(name):
+        return None
+    return spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
+
+
+def ensure_registered_table(df: DataFrame, name: str, root: str, primary_keys, description: str = "",
+                            delete_replaced: bool = False) -> str:
+    """S3 behind a catalog name: ``created``, ``reused`` (recorded keys equal ``primary_keys``) or
+    ``recreated``. Every version is a fresh folder under ``root``; it is checked and complete
+    before the name points at it, and no folder is renamed, so nothing is copied on an object store.
+
+    A reader by name finds a complete table at any moment. Columns that the new version adds are
+    added to the registration first (null in the old version). Only where a column is dropped or
+    changes its type is the registration itself dropped and made anew, with a moment without the
+    name; the files of both versions stay. The replaced folder is kept for readers that have
+    begun, unless ``delete_replaced``.
+    """
+    spark = df.sparkSession
+    keys = [primary_keys] if isinstance(primary_keys, str) else list(primary_keys)
+    old = table_location(spark, name)
+    if old is not None:
+        meta = read_metadata(spark, old)
+        if meta is not None and meta["primary_keys"] == keys:
+            return "reused"
+    path = create_feature_table(df, f"{root.rstrip('/')}/v-{uuid.uuid4().hex[:12]}", keys, description)
+    if old is None:
+        register_feature_table(spark, name, path)
+        return "created"
+    had = {f.name: f.dataType for f in spark.table(name).schema}
+    has = {f.name: f.dataType for f in df.schema}
+    if all(has.get(c) == t for c, t in had.items()):
+        new = ", ".join(f"`{c}` {t.simpleString()}" for c, t in has.items() if c not in had)
+        if new:
+            spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({new})")
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+    else:
+        spark.sql(f"DROP TABLE {name}")
+        register_feature_table(spark, name, path)
+    if delete_replaced:
+        fs.delete(spark, old)
+    return "recreated"
+
+
 def drop_feature_table(spark: SparkSession, name: str) -> bool:
     """Remove the registration; a missing table is a warning, not an error."""
     if not spark.catalog.tableExists(name):

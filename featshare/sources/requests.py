@@ -1,8 +1,9 @@
-"""Score request bodies (JSON) to one row per input record, good and bad ones apart."""
+"""Score request bodies (JSON) to one row per input record, good and bad ones apart; P2: the
+signature that a set of bodies shows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,3 +81,38 @@ def request_rejects(df: DataFrame, body_col: str, record_schema, id_cols=(), inp
     rows = read_score_requests(df, body_col, record_schema, id_cols, inputs_field, required)
     return rows.where("reason is not null").drop("rec").select(
         *[c for c in rows.columns if c not in ("rec", "record", "reason")], "reason", "record")
+
+
+def infer_request_signature(df: DataFrame, body_col: str, group_cols=(), inputs_field: str = "inputs") -> DataFrame:
+    """P2 from data: the fields that the records of JSON bodies show, one row per group and field
+    name: ``(*group_cols, column_name, type, n_records, n_present, n_null, required)``.
+
+    Bodies are read as in :func:`read_score_requests`, but no schema is known yet: each is parsed
+    once to a VARIANT. ``type`` is the SQL type that ``schema_of_variant_agg`` merges all values to
+    (whole and decimal numbers to a decimal that holds every bigint, mixed types to ``VARIANT``,
+    nulls alone to ``VOID``); ``required`` says that every record of the group
+    has the field with a value. Bodies that are no object, list fields that hold no list and
+    entries that are no object count for nothing; a group without any field has no row. One
+    aggregation with partial types per task, so a group with a third of the bodies is not hot.
+    """
+    group_cols = [group_cols] if isinstance(group_cols, str) else list(group_cols)
+    path = f'$["{inputs_field}"]'
+    # generators keep the parse and the map in one place; a projection would repeat them per use
+    parsed = df.select(*group_cols, F.explode(F.array(F.try_parse_json(F.col(body_col)))).alias("_v"))
+    listed = F.try_variant_get("_v", path, "array<variant>")
+    records = (F.when(listed.isNotNull(), listed)
+               .when(F.try_variant_get("_v", path, "variant").isNull(), F.array("_v")))
+    fields = F.map_entries(F.try_variant_get("_r", "$", "map<string,variant>"))
+    # an entry without a name stands for the record itself
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value")))
+    rows = (parsed.select(*group_cols, F.explode(records).alias("_r"))
+            .select(*group_cols, F.explode(F.concat(marker, fields)).alias("_f"))
+            .select(*group_cols, F.col("_f.key").alias("column_name"), F.col("_f.value").alias("_value")))
+    seen = rows.groupBy(*group_cols, "column_name").agg(
+        F.schema_of_variant_agg("_value").alias("type"), F.count(F.lit(1)).alias("n_present"),
+        F.count_if(F.is_variant_null("_value")).alias("n_null"))
+    group = Window.partitionBy(*group_cols)  # over the fields of a group, not over its records
+    out = seen.withColumn("n_records", F.max(F.when(F.col("column_name").isNull(), F.col("n_present"))).over(group))
+    return out.where("column_name is not null").select(
+        *group_cols, "column_name", "type", "n_records", "n_present", "n_null",
+        (F.col("n_present") - F.col("n_null") == F.col("n_records")).alias("required"))

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from featshare.operators import change_feed, publish_rollup, snapshot_as_of
+import featshare.operators.changes as changes_module
+from featshare.operators import change_feed, change_feed_by_blocks, publish_rollup, snapshot_as_of
 from featshare.session import work_dir
 from featshare.sources import publish_changes, publish_many, publish_snapshot, read_published
 from featshare.sources import fs
@@ -28,6 +29,38 @@ def test_change_feed_null_safe(spark):
                    (3, 3.0, "y", "delete"), (4, 4.0, None, "insert")]
 
 
+def test_change_feed_joins_only_blocks_that_differ(spark):
+    schema = "id bigint, a double, b string, l array<string>"
+    old = [(i, float(i), None if i % 3 else "x", ["p", None]) for i in range(1000)]
+    new = [(i, a + (i == 205), "x" if i == 778 else b, [None, "p"] if i == 501 else l)
+           for i, a, b, l in old if i != 210] + [(2000, None, None, None)]
+    before, after = (spark.createDataFrame(r, schema) for r in (old, new))
+    want = sorted(map(str, change_feed(before, after, ["id"]).collect()))
+    assert len(want) == 8  # three updates, a delete, an insert
+    for block in ("id div 100", None, "0"):
+        assert sorted(map(str, change_feed_by_blocks(before, after, ["id"], block).collect())) == want
+    # a swap of nulls between columns and of values between rows is seen
+    a = spark.createDataFrame([(1, None, "1"), (2, 1.0, "z")], "id bigint, a double, b string")
+    b = spark.createDataFrame([(1, 1.0, "1"), (2, None, "z")], "id bigint, a double, b string")
+    assert change_feed_by_blocks(a, b, ["id"], "0").count() == 4
+    assert change_feed_by_blocks(a, a, ["id"]).count() == 0 == change_feed_by_blocks(a.limit(0), a.limit(0), ["id"]).count()
+    none = spark.createDataFrame([(None, 1.0, "x")], "id bigint, a double, b string")
+    assert rows(change_feed_by_blocks(none, none, ["id"])) == rows(change_feed(none, none, ["id"]))
+
+
+def test_unchanged_blocks_do_not_reach_the_join(spark):
+    old = spark.range(20000).selectExpr("id", "id * 2 as v")
+    new = old.withColumn("v", F.expr("if(id = 12345, 0, v)"))
+    calls = []
+    real = changes_module.change_feed
+    try:
+        changes_module.change_feed = lambda b, a, k: calls.append((b.count(), a.count())) or real(b, a, k)
+        assert changes_module.change_feed_by_blocks(old, new, ["id"], "id div 1000").count() == 2
+    finally:
+        changes_module.change_feed = real
+    assert calls == [(1000, 1000)]
+
+
 def test_publish_round_trip_v0_to_v1(spark):
     fx = Fixtures(spark, SF_SMALL)
     target = work_dir(spark, "t-pub")

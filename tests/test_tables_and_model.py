@@ -7,10 +7,11 @@ from featshare.functions import FeatureFunction, LinearModel, check_signature, i
 from featshare.operators import FeatureLookup, create_training_set, feature_lookup, score_batch, train_linear
 from featshare.session import work_dir
 from featshare.sources import (check_not_null, check_primary_key, create_feature_table, drop_feature_table,
-                               ensure_feature_table, parse_score_requests, read_feature_table,
-                               request_rejects,
+                               ensure_feature_table, ensure_registered_table, infer_request_signature,
+                               parse_score_requests, read_feature_table, request_rejects,
                                register_feature_table)
-from featshare.sources.feature_tables import read_metadata
+from featshare.sources import feature_tables
+from featshare.sources.feature_tables import read_metadata, table_location
 
 DEMO_SCHEMA = "id bigint, feature_1 double, feature_2 double, target double"
 
@@ -51,6 +52,34 @@ def test_ensure_outcomes(spark, demo):
     assert read_feature_table(spark, path).count() == 5
 
 
+def test_registered_table_is_complete_at_every_step(spark, demo, monkeypatch):
+    root, name = work_dir(spark, "t-registered"), "demo_registered_t"
+    assert ensure_registered_table(demo, name, root, ["id"]) == "created"
+    assert ensure_registered_table(demo, name, root, ["id"]) == "reused"
+    first = table_location(spark, name)
+    seen, write = [], feature_tables._write_metadata
+
+    def read_between(*args):
+        seen.append((spark.table(name).count(), table_location(spark, name)))
+        write(*args)
+        seen.append((spark.table(name).count(), table_location(spark, name)))
+    monkeypatch.setattr(feature_tables, "_write_metadata", read_between)
+    more = demo.withColumn("feature_3", F.lit("x")).unionByName(
+        spark.createDataFrame([(6, 6.0, 60.0, 66.0, "y")], DEMO_SCHEMA + ", feature_3 string"))
+    assert ensure_registered_table(more, name, root, ["id", "feature_1"]) == "recreated"
+    assert seen == [(5, first), (5, first)]
+    assert spark.table(name).count() == 6 and spark.table(name).columns[-1] == "feature_3"
+    assert sorted(r.feature_3 for r in spark.table(name).collect()) == ["x"] * 5 + ["y"]
+    with pytest.raises(ValueError):  # a version that fails its check changes nothing
+        ensure_registered_table(more.unionByName(more), name, root, ["id"])
+    assert spark.table(name).count() == 6
+    other = more.select("id", F.col("feature_1").cast("string").alias("feature_1"))
+    assert ensure_registered_table(other, name, root, ["id"], delete_replaced=True) == "recreated"
+    assert spark.table(name).dtypes == [("id", "bigint"), ("feature_1", "string")]
+    assert spark.read.parquet(first).count() == 5
+    assert drop_feature_table(spark, name) and table_location(spark, name) is None
+
+
 def test_drop_is_registration_only(spark, demo):
     path = work_dir(spark, "t-drop")
     create_feature_table(demo, path, ["id"])
@@ -115,6 +144,23 @@ def test_received_is_parsed_plus_rejected(spark):
     assert sorted((r.i, r.pos) for r in missing.collect()) == [(1, 6), (11, 0)]
 
 
+def test_signature_of_bodies(spark):
+    df = spark.createDataFrame([("all", b) for b in BODIES] + [
+        ("one", '{"a": 1, "b": {"c": 1.5}}'), ("one", '{"a": null, "b": {"c": 2, "d": ["x", null]}}'),
+        ("one", '{"inputs": [{"a": 3000000000}, {}], "other": 1}'), (None, '{"n": null}'), ("none", "{}"), ("none", "[]")],
+        "g string, body string")
+    got = {(r.g, r.column_name): tuple(r)[2:] for r in infer_request_signature(df, "body", "g").collect()}
+    # bodies 0, 10 and 11, and four objects of the list in body 1, are records
+    assert got == {("all", "k"): ("VARIANT", 7, 5, 0, False),
+                   ("all", "z"): ("BIGINT", 7, 1, 0, False),
+                   ("one", "a"): ("BIGINT", 4, 3, 1, False),
+                   ("one", "b"): ("OBJECT<c: DECIMAL(21,1), d: ARRAY<STRING>>", 4, 2, 0, False),
+                   (None, "n"): ("VOID", 1, 1, 1, False)}
+    whole = infer_request_signature(df.where("g = 'one'"), "body").collect()
+    assert sorted(r.column_name for r in whole) == ["a", "b"]
+    assert infer_request_signature(df.limit(0), "body", "g").collect() == []
+
+
 @pytest.mark.parametrize("d", [1, 3, 40])
 def test_train_linear_one_rule_for_every_width(spark, d):
     """Null, NaN and infinite rows are dropped and counted, collinear features fit, whatever d."""
