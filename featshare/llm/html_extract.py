@@ -56,7 +56,7 @@ MAIN_NAMES = frozenset("article content entry main post story".split())
 
 BIAS = -1.0
 WEIGHTS = {"main": 3.5, "main_name": 1.5, "boiler": -7.0, "hidden": -14.0, "paragraph": 1.0, "heading": 0.5, "item": -0.5,
-           "links": -4.0, "words": 0.5, "sentence": 0.5}
+           "plain_item": 1.2, "links": -4.0, "words": 0.5, "sentence": 0.5}
 NEIGHBOUR = 0.25
 SIBLING = 0.5
 
@@ -205,7 +205,8 @@ def _odds(text: str, linked: int, node: _Node) -> float:
     elif len(node.tag) == 2 and node.tag[0] == "h" and node.tag[1].isdigit():
         odds += w["heading"]
     elif node.tag in ("li", "td", "th", "dt", "dd"):
-        odds += w["item"]
+        # menus are lists of links; an item without any, in no marked place, is as good as a short paragraph
+        odds += w["item"] if linked or node.boiler else w["plain_item"]
     if text[-1] in ".!?…\"”»":
         odds += w["sentence"]
     return odds

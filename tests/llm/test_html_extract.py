@@ -50,6 +50,11 @@ SHORT = "Sign up to get our best stories by mail."
     (f'<div id="search"><div role="main"><p>{LONG}</p></div></div>', LONG),
     (f'<form id="page"><article><p>{LONG}</p></article></form>', LONG),
     (f'<div class="sidebar"><article class="story"><p>{LONG}</p></article></div>', LONG),
+    # lists and tables on pages without a main element
+    (f"<p>{LONG}</p><ul><li>a</li><li>b</li></ul>", f"{LONG}\na\nb"),
+    (f"<ol><li>one<li>two</ol><p>{LONG}</p><table><tr><td>x<td>y</table>", f"one\ntwo\n{LONG}\nx\ny"),
+    (f'<ul><li><a href="/">Home</a><li><a href="/b">News</a></ul><p>{LONG}</p>', LONG),
+    (f'<div class="menu"><ul><li>Home<li>News</ul></div><p>{LONG}</p><footer><ul><li>Imprint</ul></footer>', LONG),
     # captions
     (f"<article><p>{LONG}</p><figure><img><figcaption>The old bridge.</figcaption></figure></article>",
      f"{LONG}\nThe old bridge."),
