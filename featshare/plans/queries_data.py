@@ -20,7 +20,7 @@ from featshare.sources.fixtures import Fixtures, base
 from featshare.sources.publish import (current_version, publish_changes, publish_many, publish_snapshot,
                                        read_published)
 from featshare.sources.requests import infer_request_signature, parse_score_requests, request_rejects
-from featshare.sources.shares import mount_share, view_name
+from featshare.sources.shares import mount_share, read_share, view_name
 
 # ---------------------------------------------------------------- flagship (entry)
 
@@ -213,6 +213,22 @@ def s7(spark, sf_dir):
     return rows.groupBy("mounted_name").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("v"), 2).alias("checksum"))
 
 
+@register("s7_read_share", oracle="""
+select 'shared_cat.sales.orders_' || lower(substr(o_orderpriority, 1, 1)) as mounted_name, o_orderkey, o_custkey, o_totalprice
+from orders where o_orderpriority not like '5%'""")
+def s7_share(spark, sf_dir):
+    """Orders kept as a table per priority; a share of all but one of them, read in one scan."""
+    root = work_dir(spark, "s7")
+    orders = base(spark, sf_dir, "orders").select(
+        F.concat(F.lit("orders_"), F.lower(F.substring("o_orderpriority", 1, 1))).alias("tbl"), "o_orderkey", "o_custkey", "o_totalprice")
+    orders.write.partitionBy("tbl").parquet(root)
+    tables = orders.select("tbl").distinct().select(
+        F.concat(F.lit("prod.sales."), "tbl").alias("object_name"), F.lit("TABLE").alias("object_type"),
+        F.concat(F.lit(f"{root}/tbl="), "tbl").alias("location"))
+    shared = tables.where("object_name not like '%_5'").select("object_name", "object_type")
+    return read_share(shared, tables.select("object_name", "location"), "shared_cat")
+
+
 # ---------------------------------------------------------------- S8-S10
 
 @register("s8_publish_snapshot", fixtures=["features_v1"], oracle="""

@@ -17,6 +17,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as ``scheme:/...`` without an empty authority."""
+    fs, p = _fs(spark, path)
+    return str(fs.makeQualified(p).toString())
+
+
 def is_dir(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())

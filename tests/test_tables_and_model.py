@@ -8,7 +8,7 @@ from featshare.operators import FeatureLookup, create_training_set, feature_look
 from featshare.session import work_dir
 from featshare.sources import (check_not_null, check_primary_key, create_feature_table, drop_feature_table,
                                ensure_feature_table, ensure_registered_table, infer_request_signature,
-                               parse_score_requests, read_feature_table, request_rejects,
+                               parse_score_requests, read_feature_table, read_share, request_rejects,
                                register_feature_table)
 from featshare.sources import feature_tables
 from featshare.sources.feature_tables import read_metadata, table_location
@@ -226,6 +226,26 @@ def test_mount_share_reads_the_same_files(spark):
     assert mounted.count() == spark.read.parquet(src).count()
 
 
+def test_read_share_is_one_scan(spark):
+    root = work_dir(spark, "t-share")
+    for i in range(4):
+        df = spark.range(10 * i, 10 * i + 5).selectExpr("id", "id % 2 as p", "cast(id as string) as mounted")
+        (df.write.partitionBy("p") if i == 3 else df.repartition(2).write).parquet(f"{root}/t {i}+%41")
+    locations = spark.createDataFrame([(f"prod.s.t{i}", f"{root}/t {i}+%41") for i in range(4)] + [("prod.s.gone", None)],
+                                      "object_name string, location string")
+    rows = [(f"prod.s.t{i}", "TABLE") for i in (0, 1, 1)] + [("prod.s.t2", "MODEL"), ("prod.s.gone", "TABLE"), ("prod.s.x", "TABLE")]
+    objects = spark.createDataFrame(rows, "object_name string, object_type string")
+    out = read_share(objects, locations, "tgt")
+    assert out.columns == ["mounted_name", "id", "p", "mounted"]
+    assert sorted((r.mounted_name, r.id) for r in out.collect()) == \
+        [("tgt.s.t0", i) for i in range(5)] + [("tgt.s.t1", i) for i in range(10, 15)]
+    parted = spark.createDataFrame([("prod.s.t3", "TABLE")], "object_name string, object_type string")
+    assert sorted((r.id, r.p) for r in read_share(parted, locations, "tgt").collect()) == [(i, i % 2) for i in range(30, 35)]
+    assert read_share(objects.limit(0), locations, "tgt", "id long").count() == 0
+    with pytest.raises(ValueError):
+        read_share(objects.limit(0), locations, "tgt")
+
+
 def test_wide_fit_matches_numpy(spark):
     import numpy as np
 
