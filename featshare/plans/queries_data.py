@@ -435,17 +435,17 @@ def j7(spark, sf_dir):
     return change_feed(fx.features_v0, fx.features_v1, ["id"])
 
 
-CHANGED_BLOCK = "o_orderkey div 1000 % 10 = 3"
+CHANGED_BLOCK = "o_orderkey div 100 % 10 = 3"
 
 ORDERS_NOW = """
 select o_orderkey, o_orderstatus, o_totalprice + case when o_orderkey % 7 = 0 then 1 else 0 end as o_totalprice
-from orders where o_orderkey // 1000 % 10 = 3 and o_orderkey % 11 <> 0
+from orders where o_orderkey // 100 % 10 = 3 and o_orderkey % 11 <> 0
 union all
-select -o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey // 1000 % 10 = 3 and o_orderkey % 13 = 0"""
+select -o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey // 100 % 10 = 3 and o_orderkey % 13 = 0"""
 
 
 @register("j7_change_feed_blocks", ctes={
-    "old": "select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey // 1000 % 10 = 3",
+    "old": "select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey // 100 % 10 = 3",
     "new": ORDERS_NOW}, oracle="""
 select n.*, 'insert' as change_type from new n where o_orderkey not in (select o_orderkey from old)
 union all select o.*, 'delete' from old o where o_orderkey not in (select o_orderkey from new)
@@ -459,7 +459,7 @@ def j7_blocks(spark, sf_dir):
     price = F.col("o_totalprice") + F.when(touched & F.expr("o_orderkey % 7 = 0"), 1).otherwise(0)
     new = (old.where(~touched | F.expr("o_orderkey % 11 <> 0")).withColumn("o_totalprice", price)
            .unionByName(old.where(touched & F.expr("o_orderkey % 13 = 0")).withColumn("o_orderkey", -F.col("o_orderkey"))))
-    return change_feed_by_blocks(old, new, ["o_orderkey"], "o_orderkey div 1000")
+    return change_feed_by_blocks(old, new, ["o_orderkey"], "o_orderkey div 100")
 
 
 AS_OF = "2024-01-15 00:00:00"
