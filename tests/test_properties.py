@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from featshare.operators import change_feed, latest_model_version, readiness
+from featshare.operators import change_feed, change_feed_by_blocks, latest_model_version, readiness
 from featshare.sources import apply_changes
 
 SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
@@ -37,6 +37,14 @@ def test_change_feed_applied_to_before_gives_after(spark, before, after):
     assert got == sorted((k, v, s) for k, (v, s) in after.items())
 
 
+@SETTINGS
+@given(before=table, after=table, block=st.sampled_from([None, "id div 4", "0", "id"]))
+def test_blocks_lose_no_change(spark, before, after, block):
+    b, a = frame(spark, before), frame(spark, after)
+    want = sorted(map(str, change_feed(b, a, ["id"]).collect()))
+    assert sorted(map(str, change_feed_by_blocks(b, a, ["id"], block, n_blocks=5).collect())) == want
+
+
 @SETTINGS
 @given(versions=st.lists(st.tuples(st.sampled_from(["m1", "m2", "m3"]),
                                    st.integers(0, 10 ** 6), st.booleans()), min_size=1, max_size=30,
