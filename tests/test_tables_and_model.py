@@ -8,7 +8,7 @@ from featshare.operators import FeatureLookup, create_training_set, feature_look
 from featshare.session import work_dir
 from featshare.sources import (check_not_null, check_primary_key, create_feature_table, drop_feature_table,
                                ensure_feature_table, ensure_registered_table, infer_request_signature,
-                               parse_score_requests, read_feature_table, read_share, request_rejects,
+                               parse_score_requests, read_feature_table, read_score_requests, read_share, request_rejects,
                                register_feature_table)
 from featshare.sources import feature_tables
 from featshare.sources.feature_tables import read_metadata, table_location
@@ -144,6 +144,46 @@ def test_received_is_parsed_plus_rejected(spark):
     assert sorted((r.i, r.pos) for r in missing.collect()) == [(1, 6), (11, 0)]
 
 
+KINDS = "w int, d double, n decimal(6,2), b boolean, s string, t date, o struct<x:bigint,y:string>, a array<double>, m map<string,int>"
+
+
+@pytest.mark.parametrize("record, bad, shown", [
+    ('{"w": 1, "d": 2, "n": 1.5, "b": true, "s": "x", "t": "2024-01-02"}', False, ("w", 1)),
+    ('{"w": 3000000000}', True, None), ('{"w": "1"}', True, None), ('{"w": 1.5}', True, None), ('{"w": null}', False, ("w", None)),
+    ('{"d": 1.25e3}', False, ("d", 1250.0)), ('{"d": "1"}', True, None), ('{"d": "NaN"}', False, None),
+    ('{"n": 123456.5}', True, None), ('{"b": 1}', True, None), ('{"b": "true"}', True, None),
+    ('{"s": {"q": [1]}}', False, ("s", '{"q":[1]}')), ('{"t": "yesterday"}', True, None), ('{"t": 5}', True, None),
+    ('{"o": {"x": 7, "z": 0}}', False, ("o", (7, None))), ('{"o": {"x": "7"}}', True, None), ('{"o": 5}', True, None),
+    ('{"o": {}}', False, ("o", (None, None))), ('{"a": [1, 2.5, null]}', False, ("a", [1.0, 2.5, None])),
+    ('{"a": [1, "2"]}', True, None), ('{"a": {"0": 1}}', True, None), ('{"m": {"k": 1}}', False, ("m", {"k": 1})),
+    ('{"m": {"k": 1.5}}', True, None), ('{"else": 1}', False, ("w", None)), ('[]', True, None), ('"w"', True, None)])
+def test_records_are_typed_by_what_json_says(spark, record, bad, shown):
+    bodies = spark.createDataFrame([(1, f'{{"inputs": [{record}]}}')], "i int, body string")
+    row, = read_score_requests(bodies, "body", KINDS, ["i"]).collect()
+    assert row["reason"] == ("mistyped" if bad else None)
+    if shown:
+        assert row["rec"][shown[0]] == shown[1]
+
+
+def test_odd_bodies(spark):
+    bodies = spark.createDataFrame(
+        [(1, ' \t\n{"k": 1} '), (2, '{"k": 1, "k": 2}'), (3, '{"k": 1} x'), (4, '{"\\u0069nputs": [{"k": 4}]}'),
+         (5, '{"inputs": [' + ",".join(f'{{"k": {i}}}' for i in range(50_000)) + "]}"), (6, "{'k': 1}"),
+         (7, '{"k": 1, "text": "say \\"inputs\\": [2]"}')], "i int, body string")
+    counts = {(r["i"], r["reason"]): r["count"] for r in
+              read_score_requests(bodies, "body", "k bigint", ["i"]).groupBy("i", "reason").count().collect()}
+    assert counts == {(1, None): 1, (2, "malformed"): 1, (3, None): 1, (4, None): 1, (5, None): 50_000,
+                      (6, "malformed"): 1, (7, None): 1}
+    assert read_score_requests(bodies.limit(0), "body", "k bigint", ["i"]).count() == 0
+
+
+def test_a_body_is_parsed_once(spark):
+    bodies = spark.createDataFrame([(1, '{"k": 1}')], "i int, body string")
+    for out in (parse_score_requests(bodies, "body", KINDS, ["i"]), request_rejects(bodies, "body", KINDS, ["i"], required=["w"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("parseJson(") == 1 and "from_json" not in plan
+
+
 def test_signature_of_bodies(spark):
     df = spark.createDataFrame([("all", b) for b in BODIES] + [
         ("one", '{"a": 1, "b": {"c": 1.5}}'), ("one", '{"a": null, "b": {"c": 2, "d": ["x", null]}}'),
