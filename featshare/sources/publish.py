@@ -83,6 +83,45 @@ def read_published(spark: SparkSession, target: str, version: int | None = None,
     return _stored(spark, _path(target, v, found[v]), keys, found[v]).where(f"not {_DELETED}").drop(_ORDER, _DELETED)
 
 
+def read_published_for(rows: DataFrame, target: str, keys, row_keys=None, version: int | None = None) -> DataFrame:
+    """The part of a published table that can hold a key of ``rows``, bucketed as it lies, for a
+    join with few rows (a micro-batch). One aggregation over ``rows`` finds the buckets its keys fall into,
+    at most as many numbers as the table has buckets, and the range of the first key. Files of
+    other buckets are not opened, and inside a file (sorted by key) row groups outside the range
+    are not read. ``keys`` are the ones the table was published by, ``row_keys`` their names in
+    ``rows``; both sides have the same type, or whole numbers of any width, because a bucket is a
+    hash of the stored type. Rows with a null key find nothing and count for nothing."""
+    spark, found = rows.sparkSession, bucket_counts(rows.sparkSession, target)
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    row_keys = keys if row_keys is None else [row_keys] if isinstance(row_keys, str) else list(row_keys)
+    if len(keys) != len(row_keys):
+        raise ValueError("keys and row_keys differ in length")
+    v = max(found, default=None) if version is None else version
+    if v not in found:
+        raise FileNotFoundError(f"no version {version or ''} published at {target}")
+    state = _stored(spark, _path(target, v, found[v]), keys, found[v])
+    wanted = []
+    for key, own in zip(keys, row_keys):
+        has, needs = rows.schema[own].dataType, state.schema[key].dataType
+        if has != needs and not (isinstance(has, T.IntegralType) and isinstance(needs, T.IntegralType)):
+            raise ValueError(f"{own} is {has.simpleString()}, the published {key} is {needs.simpleString()}")
+        wanted.append(F.col(own).try_cast(needs).alias(f"_k{len(wanted)}"))  # out of range: equal to no stored key
+    names = [f"_k{i}" for i in range(len(keys))]
+    some = rows.select(*wanted).dropna(subset=names)
+    spans = some.groupBy(F.pmod(F.hash(*names), F.lit(found[v])).alias("_bucket")).agg(
+        F.min("_k0").alias("low"), F.max("_k0").alias("high"))
+    spans = spans.collect()  # a row per bucket
+    state = state.where(f"not {_DELETED}")
+    if len(spans) < found[v]:
+        # a condition on the file name prunes the file list; the bucket is its last number
+        at = F.regexp_extract(F.col("_metadata.file_name"), r"_([0-9]+)\.c[0-9]+[^_]*$", 1).cast("int")
+        state = state.where(at.isin([r["_bucket"] for r in spans]))
+    if spans:
+        low, high = min(r["low"] for r in spans), max(r["high"] for r in spans)
+        state = state.where(F.col(keys[0]).between(F.lit(low), F.lit(high)))
+    return state.drop(_ORDER, _DELETED)
+
+
 def _stored(spark: SparkSession, path: str, keys, buckets: int) -> DataFrame:
     """Stored rows, tombstones and bookkeeping columns included."""
     schema = spark.read.parquet(f"{path}/_schema").schema

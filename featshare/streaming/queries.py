@@ -26,6 +26,7 @@ from featshare.sources.fixtures import DERIVED, base, derived
 from featshare.sources.publish import publish_snapshot, read_published
 from featshare.streaming.publish_stream import publish_stream
 from featshare.streaming.readiness_stream import ROCKSDB, readiness_stream, readiness_stream_from_first
+from featshare.streaming.score_stream import score_stream
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +120,9 @@ def t3_own_start(spark, sf_dir):
 
 # ---------------------------------------------------------------- T4
 
+T4_BUCKET_ROWS = 200
+
+
 def t4(spark, sf_dir):
     model = fitted(spark, sf_dir)
     gap = derived(spark, sf_dir, "feature_gap")
@@ -129,6 +133,19 @@ def t4(spark, sf_dir):
     return spark.read.parquet(out).withColumn("prediction", F.round("prediction", 2))
 
 
+def t4_published(spark, sf_dir):
+    """The features lie in a published copy; a micro-batch reads its buckets of it."""
+    target, out, ckpt = work_dir(spark, "t4-target"), work_dir(spark, "t4-out"), work_dir(spark, "t4-ckpt")
+    publish_snapshot(derived(spark, sf_dir, "feature_gap"), target, ["id"], rows_per_bucket=T4_BUCKET_ROWS)
+    requests = derived_on(spark, events_stream(spark, sf_dir), "score_requests")
+    q = score_stream(requests, "body", "k bigint", fitted(spark, sf_dir), target, "k", out, ckpt, table_key="id",
+                     id_cols=["event_id"])
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return spark.read.parquet(out).drop("batch_id").withColumn("prediction", F.round("prediction", 2))
+
+
 # ---------------------------------------------------------------- T5
 
 T5_COLUMNS = ["user_id", "commit_version", "commit_ts", "value"]
@@ -157,6 +174,8 @@ from objs o left join dc d on o.object_name = d.object_name""")(t3)
              oracle="select object_name, start_ts, verdict, decided_at from rd")(t3_own_start)
     register("t4_score_stream", fixtures=["labels_frame", "feature_gap"], ctes={**OLS_CTES, **REQUEST_CTES},
              oracle=SCORED)(t4)
+    register("t4_score_published", fixtures=["labels_frame", "feature_gap"], ctes={**OLS_CTES, **REQUEST_CTES},
+             oracle=SCORED)(t4_published)
     register("t5_publish_stream", fixtures=["change_rows"], oracle="""
 select c.user_id, c.commit_version, c.commit_ts, c.value
 from change_rows c join (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import featshare.operators.changes as changes_module
 from featshare.operators import change_feed, change_feed_by_blocks, publish_rollup, snapshot_as_of
 from featshare.session import work_dir
-from featshare.sources import publish_changes, publish_many, publish_snapshot, read_published
+from featshare.sources import publish_changes, publish_many, publish_snapshot, read_published, read_published_for
 from featshare.sources import fs
 from featshare.sources.fixtures import Fixtures
 from featshare.sources.publish import _stored, apply_changes, bucket_counts, versions
@@ -106,6 +106,54 @@ def test_refused_and_unfinished_versions_do_not_count(spark):
     assert publish_snapshot(good.limit(1), target, ["id"]) == 2 and read_published(spark, target).count() == 1
 
 
+def files_read(df) -> int:
+    """Files that the scan of a collected frame opened."""
+    df.collect()
+    read = df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numFiles")
+    return read.get().value() if read.isDefined() else 0
+
+
+def test_few_keys_read_few_files_of_a_published_copy(spark):
+    target = work_dir(spark, "t-few")
+    publish_snapshot(spark.range(0, 2000).selectExpr("id", "id * 2 as f"), target, ["id"], rows_per_bucket=100)
+    publish_changes(spark, target, spark.sql("select 7L as id, 0L as f, 'delete' as change_type, 1 as o"), ["id"], "o")
+    assert bucket_counts(spark, target)[2] == 20
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for keys, files in (("(3)", 1), ("(3), (3), (null), (1203)", 2), ("(null)", 0), ("(99999999999)", 1)):
+            batch = spark.sql(f"select cast(col1 as bigint) as k from values {keys}")
+            part = read_published_for(batch, target, "id", "k")
+            assert files_read(part) <= files
+            got = batch.join(part, batch["k"] == part["id"], "left").select("k", "f").collect()
+            assert sorted((r["k"] or -1, r["f"] or -1) for r in got) == sorted(
+                (r["k"] or -1, r["k"] * 2 if r["k"] and r["k"] < 2000 else -1) for r in batch.collect())
+        everything = spark.range(-50, 2100).selectExpr("cast(id as int) as k")  # an int meets the bigint's buckets
+        part = read_published_for(everything, target, "id", "k")
+        assert files_read(part) == 20 and sorted(r["id"] for r in part.collect()) == [i for i in range(2000) if i != 7]
+        joined = everything.join(part.hint("merge"), F.col("k").cast("bigint") == part["id"], "left")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange") == 1 and joined.where("f is not null").count() == 1999
+        assert read_published_for(everything.limit(0), target, "id", "k").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    with pytest.raises(ValueError, match="published id is bigint"):
+        read_published_for(spark.sql("select '3' as k"), target, "id", "k")
+    with pytest.raises(FileNotFoundError):
+        read_published_for(everything, work_dir(spark, "t-none"), "id", "k")
+
+
+def test_pruned_read_of_compound_and_text_keys(spark):
+    target = work_dir(spark, "t-few2")
+    rows2 = spark.range(0, 600).selectExpr("concat('k', id % 50) as a", "id as b", "id * 3 as f")
+    publish_snapshot(rows2, target, ["a", "b"], rows_per_bucket=50)
+    batch = spark.sql("select * from values ('k3', 53L), ('k3', 54L), ('k49', 549L), (null, 1L), ('k1', null) as t(a, b)")
+    part = read_published_for(batch, target, ["a", "b"])
+    got = batch.join(part, ["a", "b"], "left").collect()
+    assert sorted((r["a"] or "", r["b"] or 0, r["f"] or 0) for r in got) == [
+        ("", 1, 0), ("k1", 0, 0), ("k3", 53, 159), ("k3", 54, 0), ("k49", 549, 1647)]
+
+
 def test_lookup_on_a_published_copy_moves_only_the_labels(spark):
     target = work_dir(spark, "t-lookup")
     publish_snapshot(spark.range(0, 4000).selectExpr("id", "id * 2 as f"), target, ["id"], rows_per_bucket=1000)
