@@ -98,8 +98,11 @@ def _write_metadata(spark: SparkSession, path: str, keys, description: str) -> N
 
 def create_feature_table(df: DataFrame, path: str, primary_keys, description: str = "",
                          check: bool = True) -> str:
-    """Check K1 and K2, write the parquet folder, record keys and description.
-    Fails if the folder exists."""
+    """Write the parquet folder, check K1 and K2, record keys and description.
+    Fails if the folder exists.
+
+    ``df`` is evaluated once: the keys are checked on the key columns of the written copy. It
+    has no ``_SUCCESS`` marker and no record until they hold, and is deleted if they don't."""
     spark = df.sparkSession
     keys = [primary_keys] if isinstance(primary_keys, str) else list(primary_keys)
     missing = [k for k in keys if k not in df.columns]
@@ -107,9 +110,14 @@ def create_feature_table(df: DataFrame, path: str, primary_keys, description: st
         raise ValueError(f"primary key column(s) {missing} not in frame")
     if fs.exists(spark, path):
         raise FileExistsError(f"feature table {path} already exists")
+    df.write.mode("errorifexists").options(**fs.UNMARKED).parquet(path)
     if check:
-        assert_keys(df, keys)
-    df.write.mode("errorifexists").parquet(path)
+        try:
+            assert_keys(spark.read.schema(df.schema).parquet(path), keys)
+        except Exception:
+            fs.delete(spark, path)
+            raise
+    fs.mark_complete(spark, path)
     _write_metadata(spark, path, keys, description)
     return path
 

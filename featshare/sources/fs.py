@@ -6,6 +6,10 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+#: writer options of a folder whose ``_SUCCESS`` marker is set later, by :func:`mark_complete`
+UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

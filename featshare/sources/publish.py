@@ -33,8 +33,6 @@ _ORDER, _DELETED = "_order", "_deleted"
 _FOLDER = re.compile(r"v(\d{10})-b(\d+)")
 #: rows of one bucket, about
 ROWS_PER_BUCKET = 1_000_000
-#: the marker of a complete version is set here, not by the write
-_UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 
 
 def _order_value(df: DataFrame, order_col: str | None) -> Column:
@@ -139,27 +137,38 @@ def _stored(spark: SparkSession, path: str, keys, buckets: int) -> DataFrame:
     return out
 
 
-def _write_version(df: DataFrame, target: str, version: int, keys, buckets: int, check: bool) -> None:
-    """Write rows (with their bookkeeping columns) as a version. With ``check``, null and
-    repeated keys are counted while the rows are written, and the version counts only if
-    there are none."""
+def _write_version(df: DataFrame, target: str, version: int, keys, buckets: int, check: bool,
+                   rows_per_bucket: int | None = None) -> None:
+    """Write rows (with their bookkeeping columns) as a version. Rows are counted while they are
+    written, with ``check`` null and repeated keys too, and the version counts only if
+    there are none. With ``rows_per_bucket``, a version whose buckets turn out over twice or
+    under a quarter of that is dealt anew from its files before it counts."""
     spark, path = df.sparkSession, _path(target, version, buckets)
     if fs.exists(spark, path):
         fs.delete(spark, path)  # debris of a failed attempt at this version
     seen = Observation()
+    metrics, out = [F.count(F.lit(1)).alias("rows")], df
     if check:
         again = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) > 1  # the rows lie by key already
         null = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
-        df = (df.withColumn("_again", again).observe(seen, F.count_if(null).alias("nulls"), F.count_if("_again").alias("repeats"))
-              .drop("_again"))
+        metrics += [F.count_if(null).alias("nulls"), F.count_if("_again").alias("repeats")]
+        out = out.withColumn("_again", again)
+    out = out.observe(seen, *metrics).drop("_again")
     table = f"published_{uuid.uuid4().hex[:16]}"
-    (df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).options(**_UNMARKED).option("path", path)
+    (out.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).options(**fs.UNMARKED).option("path", path)
      .saveAsTable(table))
     spark.sql(f"DROP TABLE {table}")
-    df.limit(0).coalesce(1).write.parquet(f"{path}/_schema")  # a bucketed write leaves no file where no row is
+    out.limit(0).coalesce(1).write.parquet(f"{path}/_schema")  # a bucketed write leaves no file where no row is
     if check and (seen.get["nulls"] or seen.get["repeats"]):
         fs.delete(spark, path)
         raise ValueError(f"key {keys}: {seen.get['nulls']} null and {seen.get['repeats']} repeated rows")
+    if rows_per_bucket:
+        right = _buckets(seen.get["rows"], rows_per_bucket)
+        if right > 2 * buckets or buckets > 4 * right:
+            written = spark.read.schema(df.schema).parquet(path)
+            _write_version(written.repartition(right, *keys), target, version, keys, right, False)
+            fs.delete(spark, path)
+            return
     fs.mark_complete(spark, path)
 
 
@@ -168,17 +177,24 @@ def _buckets(rows: int, rows_per_bucket: int) -> int:
 
 
 def publish_snapshot(source_df: DataFrame, target: str, primary_keys, check: bool = True,
-                     order_col: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+                     order_col: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
+                     buckets: int | None = None) -> int:
     """Full refresh of the online copy, one row per key; null or repeated keys are an error
     and publish nothing. Returns the version. With ``order_col`` the rows keep that order
-    value, and later changes must exceed it. The keys are checked in the pass that writes."""
+    value, and later changes must exceed it. The keys are checked in the pass that writes.
+
+    A refresh evaluates its source once: it starts from the buckets of the version before and
+    is dealt anew from its own files if the rows no longer fit them. The first version of a
+    target counts its rows before, unless ``buckets`` is given (and then kept)."""
     spark = source_df.sparkSession
     keys = [primary_keys] if isinstance(primary_keys, str) else list(primary_keys)
-    buckets = _buckets(source_df.count(), rows_per_bucket)
+    found = bucket_counts(spark, target)
+    last = max(found, default=0)
+    fitting = None if buckets else rows_per_bucket
+    buckets = buckets or found.get(last) or _buckets(source_df.count(), rows_per_bucket)
     rows = source_df.withColumn(_ORDER, _order_value(source_df, order_col)).withColumn(_DELETED, F.lit(False))
-    version = (current_version(spark, target) or 0) + 1
-    _write_version(rows.repartition(buckets, *keys), target, version, keys, buckets, check)
-    return version
+    _write_version(rows.repartition(buckets, *keys), target, last + 1, keys, buckets, check, fitting)
+    return last + 1
 
 
 def last_change_per_key(changes: DataFrame, keys, order_col: str | None = None,

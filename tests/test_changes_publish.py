@@ -154,6 +154,32 @@ def test_pruned_read_of_compound_and_text_keys(spark):
         ("", 1, 0), ("k1", 0, 0), ("k3", 53, 159), ("k3", 54, 0), ("k49", 549, 1647)]
 
 
+def counted(spark, df, ticks):
+    """``df`` with every evaluated row counted."""
+    return df.mapInPandas(lambda parts: (ticks.add(len(p)) or p for p in parts), df.schema)
+
+
+def test_a_refresh_evaluates_its_source_once_and_fits_its_buckets(spark):
+    target = work_dir(spark, "t-refresh")
+    frame = lambda n: spark.range(0, n, 1, 4).selectExpr("id", "id * 2 as f")
+    assert publish_snapshot(frame(1000), target, ["id"], rows_per_bucket=100) == 1
+    for version, (n, buckets) in enumerate([(1500, 10), (5000, 50), (900, 9), (0, 1), (150, 1)], 2):
+        ticks = spark.sparkContext.accumulator(0)
+        assert publish_snapshot(counted(spark, frame(n), ticks), target, ["id"], rows_per_bucket=100) == version
+        assert ticks.value == n and bucket_counts(spark, target)[version] == buckets
+        assert read_published(spark, target).count() == n
+        joined = frame(n).join(read_published(spark, target, keys=["id"]).withColumnRenamed("f", "g"), "id")
+        assert joined.where("f = g").count() == n
+    assert set(fs.list_dirs(spark, target)) == {f"v{v:010d}-b{b}" for v, b in bucket_counts(spark, target).items()}
+    ticks = spark.sparkContext.accumulator(0)
+    with pytest.raises(ValueError, match="1 repeated"):
+        publish_snapshot(counted(spark, frame(10).union(frame(1)), ticks), target, ["id"])
+    assert ticks.value == 11 and len(versions(spark, target)) == 6
+    fresh, ticks = work_dir(spark, "t-given"), spark.sparkContext.accumulator(0)
+    publish_snapshot(counted(spark, frame(100), ticks), fresh, ["id"], rows_per_bucket=1, buckets=3)
+    assert ticks.value == 100 and bucket_counts(spark, fresh) == {1: 3}
+
+
 def test_lookup_on_a_published_copy_moves_only_the_labels(spark):
     target = work_dir(spark, "t-lookup")
     publish_snapshot(spark.range(0, 4000).selectExpr("id", "id * 2 as f"), target, ["id"], rows_per_bucket=1000)

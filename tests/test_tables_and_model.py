@@ -10,7 +10,7 @@ from featshare.sources import (check_not_null, check_primary_key, create_feature
                                ensure_feature_table, ensure_registered_table, infer_request_signature,
                                parse_score_requests, read_feature_table, read_score_requests, read_share, request_rejects,
                                register_feature_table)
-from featshare.sources import feature_tables
+from featshare.sources import feature_tables, fs
 from featshare.sources.feature_tables import read_metadata, table_location
 
 DEMO_SCHEMA = "id bigint, feature_1 double, feature_2 double, target double"
@@ -43,6 +43,23 @@ def test_create_rejects_bad_keys(spark, demo):
     assert [tuple(r) for r in check_primary_key(dup, ["id"]).collect()] == [(1, 2)]
 
 
+def test_create_evaluates_its_source_once_and_leaves_nothing_behind(spark):
+    ticks = spark.sparkContext.accumulator(0)
+    def source(n):
+        return spark.range(0, n, 1, 4).selectExpr("id % 60 as id", "id as f").mapInPandas(
+            lambda parts: (ticks.add(len(p)) or p for p in parts), "id bigint, f bigint")
+    path = work_dir(spark, "t-once")
+    create_feature_table(source(60), path, ["id"])
+    assert ticks.value == 60 and read_feature_table(spark, path).count() == 60 and fs.is_complete(spark, path)
+    bad = work_dir(spark, "t-once-bad")
+    with pytest.raises(ValueError, match="40 key"):
+        create_feature_table(source(100), bad, ["id"])
+    assert ticks.value == 160 and not fs.exists(spark, bad)
+    empty = work_dir(spark, "t-once-empty")
+    create_feature_table(source(0), empty, ["id"])
+    assert read_metadata(spark, empty)["primary_keys"] == ["id"] and fs.is_complete(spark, empty)
+
+
 def test_ensure_outcomes(spark, demo):
     path = work_dir(spark, "t-ensure")
     assert ensure_feature_table(demo, path, ["id"]) == "created"
