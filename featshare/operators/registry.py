@@ -115,8 +115,13 @@ def dependency_summary(versions: DataFrame, deps: DataFrame) -> DataFrame:
     listed. A list holds one model version's distinct dependencies, which is bounded by
     that version's definition.
     """
+    return _with_dependencies(versions.select("model_name", "version"), deps)
+
+
+def _with_dependencies(wanted: DataFrame, deps: DataFrame) -> DataFrame:
+    """A1's columns behind those of ``wanted`` (model, version and any others)."""
     keys = ["model_name", "version"]
-    wanted = versions.select(*keys)
+    others = [c for c in wanted.columns if c not in keys]
     g = (cut_to_versions(deps, wanted)
          .groupBy("model_name", "version", "dep_type", "dep_name")
          .agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("_rows")))
@@ -128,13 +133,13 @@ def dependency_summary(versions: DataFrame, deps: DataFrame) -> DataFrame:
         F.sum(F.when(~readable, F.col("_rows"))).alias("n_unreadable"))
     empty = F.array().cast("array<string>")
     out = wanted.join(lists, keys, "left").select(
-        *keys,
+        *keys, *others,
         F.coalesce("tables", empty).alias("tables"),
         F.coalesce("functions", empty).alias("functions"),
         F.coalesce("n_other_types", F.lit(0)).cast("bigint").alias("n_other_types"),
         F.coalesce("n_unreadable", F.lit(0)).cast("bigint").alias("n_unreadable"))
     return out.select(
-        *keys, "tables", "functions",
+        *keys, *others, "tables", "functions",
         F.size("tables").cast("bigint").alias("n_tables"),
         F.size("functions").cast("bigint").alias("n_functions"),
         (F.size("tables") > 0).alias("has_feature_lookups"),
@@ -152,25 +157,27 @@ def wanted_objects(requests: DataFrame, model_versions: DataFrame, deps: DataFra
 
     ``include_all_types`` keeps other dependency types too (CONNECTION), for P5.
     """
-    latest = latest_model_version(model_versions).select("model_name", "version")
-    cut = cut_to_versions(deps, latest)
-    if include_all_types:
-        d = (cut.where(F.col("dep_name").isNotNull())
-             .groupBy("model_name", "version", "dep_type", "dep_name").agg(F.min("pos").alias("pos")))
-    else:
-        d = distinct_dependencies(cut)
+    latest = latest_model_version(model_versions.select("model_name", "version"))
+    # a model is an object of its own: every version carries it along like a dependency, so the
+    # latest versions are found once and one join cuts both (they are unique; a semi join would be
+    # pushed through the union and find them twice)
+    own = model_versions.select("model_name", "version", F.lit("MODEL").alias("object_type"),
+                                F.col("model_name").alias("object_name"), F.lit(0).cast("bigint").alias("pos"),
+                                F.lit(0).alias("type_rank"))
+    named = deps.where(F.col("dep_name").isNotNull())
+    if not include_all_types:
+        named = named.where(F.col("dep_type").isin(*DEP_TYPES))
     rank = (F.when(F.col("dep_type") == "TABLE", 1).when(F.col("dep_type") == "FUNCTION", 2)
             .otherwise(3))
-    # the model is an object of its own, so the requests are joined once; a model without a
-    # version still wants itself
-    dep_rows = d.select("model_name", "version", F.col("dep_name").alias("object_name"),
-                        F.col("dep_type").alias("object_type"), rank.alias("type_rank"),
-                        F.col("pos").cast("bigint").alias("pos"))
-    model_rows = latest.select("model_name", "version", F.col("model_name").alias("object_name"),
-                               F.lit("MODEL").alias("object_type"), F.lit(0).alias("type_rank"),
-                               F.lit(0).cast("bigint").alias("pos"))
+    needed = named.select("model_name", "version", F.col("dep_type").alias("object_type"),
+                          F.col("dep_name").alias("object_name"), F.col("pos").cast("bigint").alias("pos"),
+                          rank.alias("type_rank"))
+    objects = (own.unionByName(needed).join(latest, ["model_name", "version"])
+               .groupBy("model_name", "version", "object_type", "object_name", "type_rank")
+               .agg(F.min("pos").alias("pos")))
+    # a model without a version still wants itself
     j = (requests.select("share_name", "model_name", "recipient_name")
-         .join(model_rows.unionByName(dep_rows), "model_name", "left"))
+         .join(objects, "model_name", "left"))
     none = F.col("object_name").isNull()
     return j.select("share_name", "model_name", "recipient_name", "version",
                     F.coalesce("object_name", "model_name").alias("object_name"),
@@ -222,11 +229,10 @@ def discover_model(registered_models: DataFrame, model_versions: DataFrame, deps
              .agg(F.min(F.struct("schema_name", "model_name")).alias("_f"))
              .select("catalog_name", F.col("_f.schema_name").alias("schema_name"),
                      F.col("_f.model_name").alias("model_name")))
-    latest = latest_model_version(model_versions.join(first.select("model_name"), "model_name", "left_semi"))
-    found = first.join(latest.select("model_name", "version"), "model_name", "left") \
+    versions = model_versions.select("model_name", "version").join(first.select("model_name"), "model_name", "left_semi")
+    found = first.join(latest_model_version(versions), "model_name", "left") \
         .withColumn("version", F.coalesce("version", F.lit("1")))
-    summary = dependency_summary(found.select("model_name", "version").distinct(), deps)
-    return found.join(summary, ["model_name", "version"], "left")
+    return _with_dependencies(found, deps)
 
 
 def effective_share(model_shares: DataFrame) -> DataFrame:
