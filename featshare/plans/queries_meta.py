@@ -26,6 +26,7 @@ from featshare.plans.registry import (HOST, PLAN_CTES, SOURCE_CTES, dns_sql, end
                                       online_table_state_sql, register)
 from featshare.plans.source_plan import source_plan
 from featshare.plans.target_plan import deployment_decision, store_plan, target_plan
+from featshare.session import materialize
 from featshare.sources.fixtures import Fixtures
 
 REQ_FX = ["model_versions", "dependencies", "share_requests"]
@@ -103,7 +104,7 @@ left join (select x.model_name, x.version,
 group by l.model_name, l.version""")
 def a1(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    latest = latest_model_version(fx.model_versions).select("model_name", "version")
+    latest = latest_model_version(fx.model_versions.select("model_name", "version"))
     return _summary_cols(dependency_summary(latest, fx.dependencies))
 
 
@@ -116,7 +117,7 @@ join (select dep_type, dep_name, count(distinct model_name) as n_models from lde
   on p.dep_type = c.dep_type and p.dep_name = c.dep_name""")
 def a8(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    latest = latest_model_version(fx.model_versions).select("model_name", "version")
+    latest = latest_model_version(fx.model_versions.select("model_name", "version"))
     deps = distinct_dependencies(cut_to_versions(fx.dependencies, latest))
     return shared_by_many(deps)
 
@@ -150,7 +151,7 @@ def a8_share(spark, sf_dir):
 
 def _latest_dependencies(fx):
     """Models with a version, and the distinct dependencies of their latest one."""
-    latest = latest_model_version(fx.model_versions).select("model_name", "version")
+    latest = materialize(latest_model_version(fx.model_versions.select("model_name", "version")), "latest-versions")
     return latest.select("model_name"), distinct_dependencies(cut_to_versions(fx.dependencies, latest))
 
 
@@ -669,7 +670,7 @@ TABLE_TIMEOUT_S = 6 * 3600
 def _model_tables(fx):
     """Online tables of every model's latest version with their publish outcomes, and the
     readiness of just those tables."""
-    latest = latest_model_version(fx.model_versions).select("model_name", "version")
+    latest = latest_model_version(fx.model_versions.select("model_name", "version"))
     deps = distinct_dependencies(cut_to_versions(fx.dependencies, latest))
     tables = (deps.where(F.col("dep_type") == "TABLE")
               .select("model_name", F.col("dep_name").alias("source_table_name"),

@@ -141,3 +141,31 @@ def test_hot_dependency_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_components_read_once_and_shrink(spark, monkeypatch):
+    """A consolidated share evaluates the dependencies once, and its rounds write less and less."""
+    rng = random.Random(7)
+    models = [f"m{i:03}" for i in range(60)]
+    pairs = [(m, "TABLE", f"d{i}") for m in models for i in rng.sample(range(45), 2)]
+    read, written = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    def write(df, name="stage"):
+        out = materialize(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr("featshare.operators.components.materialize", write)
+    deps = spark.createDataFrame(pairs, "model_name string, dep_type string, dep_name string")
+    m = spark.createDataFrame([(x,) for x in models], "model_name string")
+    got = {(r.component, r.object_name) for r in consolidated_share(m, deps.mapInArrow(counted, deps.schema)).collect()
+           if r.object_type == "MODEL"}
+    assert got == {(label, who) for who, label in components_of(pairs, models).items()}
+    assert read.value == len(pairs)
+    links = [n for name, n in written if name == "links"]
+    assert links[-1] == 0 and all(b < a for a, b in zip(links, links[1:])) and sum(links) <= 2 * links[0]
