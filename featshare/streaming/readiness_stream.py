@@ -13,8 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -54,10 +53,20 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 FORGET_S = 366 * 86400
 
 
+def _timer_ms(at_us: int) -> int:
+    """The timer that fires once the watermark is past ``at_us``."""
+    return -(-at_us // 1000) + 1
+
+
+def _row(key, verdict: str, first_us: int, decided_us: int | None) -> Row:
+    return Row(object_name=key[0], verdict=verdict, first_us=first_us, decided_us=decided_us)
+
+
 class _Wait(StatefulProcessor):
     """One object's wait. Slices of its log come in time order, because a slice leaves the
     aggregation before when the watermark passes its end: the first one holds the object's
-    first event, and no earlier deciding event can follow a later one."""
+    first event, and no earlier deciding event can follow a later one. A timer that the watermark
+    has passed already is not set: what it would do is done at once."""
 
     def __init__(self, timeout_us: int, slice_us: int, forget_us: int):
         self.timeout_us, self.slice_us, self.forget_us = timeout_us, slice_us, forget_us
@@ -68,40 +77,43 @@ class _Wait(StatefulProcessor):
 
     def _set(self, first_us: int, over: bool, at_us: int, old_ms: int | None) -> None:
         """Keep the wait and move its one timer past ``at_us``."""
-        at_ms = -(-at_us // 1000) + 1
-        if old_ms is not None and old_ms != at_ms:
-            self.handle.deleteTimer(old_ms)
-        self.handle.registerTimer(at_ms)
+        at_ms = _timer_ms(at_us)
+        if old_ms != at_ms:
+            if old_ms is not None:
+                self.handle.deleteTimer(old_ms)
+            self.handle.registerTimer(at_ms)
         self.wait.update((first_us, over, at_ms))
 
-    def _row(self, key, verdict: str, first_us: int, decided_us: int | None) -> pd.DataFrame:
-        return pd.DataFrame({"object_name": [key[0]], "verdict": [verdict], "first_us": [first_us],
-                             "decided_us": pd.array([decided_us], "Int64")})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows))  # at most one row per slice
-        held = self.wait.get() if self.wait.exists() else None
-        first = int(part["lo_us"].min()) if held is None else held[0]
-        over, old = (False, None) if held is None else (held[1], held[2])
-        last = int(part["hi_us"].max())
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        lo = hi = best = None  # over at most one row per slice
+        for r in rows:
+            lo = r.lo_us if lo is None else min(lo, r.lo_us)
+            hi = r.hi_us if hi is None else max(hi, r.hi_us)
+            if r.packed is not None:
+                best = r.packed if best is None else min(best, r.packed)
+        first, over, old = self.wait.get() or (lo, False, None)
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        deadline = first + self.timeout_us
         if not over:
-            deadline = first + self.timeout_us
-            packed = part["packed"].dropna()
-            best = int(packed.min()) if len(packed) else None
             if best is not None and best // 2 < deadline:
                 over = True
-                yield self._row(key, "failed" if best % 2 else "ready", first, best // 2)
-            elif last >= deadline:
+                yield _row(key, "failed" if best % 2 else "ready", first, best // 2)
+            elif hi >= deadline or _timer_ms(deadline + self.slice_us) < now_ms:
                 over = True
-                yield self._row(key, "timeout", first, None)
-        self._set(first, over, last + self.forget_us if over else first + self.timeout_us + self.slice_us, old)
+                yield _row(key, "timeout", first, None)
+        at_us = hi + self.forget_us if over else deadline + self.slice_us
+        if _timer_ms(at_us) >= now_ms:
+            self._set(first, over, at_us, old)
+        elif old is not None:  # over, and silent for long enough by now
+            self.handle.deleteTimer(old)
+            self.wait.clear()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         first, over, _ = self.wait.get()
         if over:
             self.wait.clear()
         else:  # the watermark passed the deadline, and no slice before it decided
-            yield self._row(key, "timeout", first, None)
+            yield _row(key, "timeout", first, None)
             self._set(first, True, max(first + self.timeout_us + self.forget_us,
                                        timerValues.getCurrentWatermarkInMs() * 1000), None)
 
@@ -132,7 +144,7 @@ def readiness_stream_from_first(events: DataFrame, timeout_s: int, slice_s: int
     slices = ev.groupBy("object_name", F.window("ts", f"{int(slice_s)} seconds").alias("w")).agg(
         F.min(F.unix_micros("ts")).alias("lo_us"), F.max(F.unix_micros("ts")).alias("hi_us"), F.min(packed).alias("packed"))
     wait = _Wait(int(timeout_s) * 1_000_000, int(slice_s) * 1_000_000, int(forget_s) * 1_000_000)
-    out = slices.groupBy("object_name").transformWithStateInPandas(
+    out = slices.drop("w").groupBy("object_name").transformWithState(
         wait, "object_name string, verdict string, first_us long, decided_us long", "Append", "EventTime")
     return out.select("object_name", from_micros(F.col("first_us"), own).alias("start_ts"), "verdict",
                       from_micros(F.col("decided_us"), own).alias("decided_at"))

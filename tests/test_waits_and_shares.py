@@ -169,3 +169,22 @@ def test_components_read_once_and_shrink(spark, monkeypatch):
     assert read.value == len(pairs)
     links = [n for name, n in written if name == "links"]
     assert links[-1] == 0 and all(b < a for a, b in zip(links, links[1:])) and sum(links) <= 2 * links[0]
+
+
+def test_own_start_of_the_past_costs_no_state(spark):
+    """Waits that the watermark has passed, their time to be remembered included, get their verdicts
+    without a write to the state or a timer."""
+    rows = log(11, 80)
+    folder, out, ckpt = (work_dir(spark, n) for n in ("past-in", "past-out", "past-ckpt"))
+    spark.createDataFrame([*rows, ("end", datetime(2099, 1, 1), None)], SCHEMA).coalesce(1).write.parquet(folder)
+    with state_store(spark, ROCKSDB):
+        q = (readiness_stream_from_first(spark.readStream.schema(SCHEMA).parquet(folder), 900).writeStream.format("parquet")
+             .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+    assert q.exception() is None
+    want = [tuple(r) for r in readiness(spark.createDataFrame(rows, SCHEMA), 900)
+            .select("object_name", "start_ts", "verdict", "decided_at").collect()]
+    assert sorted(map(repr, map(tuple, spark.read.parquet(out).collect()))) == sorted(map(repr, want))
+    waits = [p["stateOperators"][0] for p in q.recentProgress if p["stateOperators"]]
+    assert {r[2] for r in want} >= {"ready", "timeout"}
+    assert all(w["numRowsUpdated"] == 0 and w["numRowsTotal"] == 0 for w in waits)
