@@ -86,11 +86,13 @@ class _Wait(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         lo = hi = best = None  # over at most one row per slice
-        for r in rows:
-            lo = r.lo_us if lo is None else min(lo, r.lo_us)
-            hi = r.hi_us if hi is None else max(hi, r.hi_us)
-            if r.packed is not None:
-                best = r.packed if best is None else min(best, r.packed)
+        for *_, r_lo, r_hi, packed in rows:  # by place: a Row looks its names up one by one
+            if lo is None or r_lo < lo:
+                lo = r_lo
+            if hi is None or r_hi > hi:
+                hi = r_hi
+            if packed is not None and (best is None or packed < best):
+                best = packed
         first, over, old = self.wait.get() or (lo, False, None)
         now_ms = timerValues.getCurrentWatermarkInMs()
         deadline = first + self.timeout_us
